@@ -194,3 +194,41 @@ def classes(prints: DataFrame, threshold: int = 2) -> DataFrame:
 def op7(docs: DataFrame, width: int = 3, threshold: int = 2) -> DataFrame:
     prints = written(fingerprints(docs, width), "simhash")
     return classes(prints, threshold).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def similarity(a: bytes, b: bytes, width: int) -> float:
+    """Jaccard similarity of the sets of word shingles, A-Z in lower case; 1 for two texts without words."""
+    sets = []
+    for text in (a, b):
+        w = text.lower().split()
+        sets.append({b" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set())
+    both = len(sets[0] | sets[1])
+    return len(sets[0] & sets[1]) / both if both else 1.0
+
+
+def deduplicated(docs: DataFrame, width: int = 5, threshold: int = 4, least: float = 0.8) -> DataFrame:
+    """`docs` without near copies: of each group the smallest doc_id stays (null first; of equal ids the least text
+    hash), and whatever is less similar to it than `least`.
+
+    Groups are those of classes(); a member goes if its shingles are similar to those of the one that stays, so each
+    is compared once, not with all others.
+    """
+    th = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    keyed = docs.withColumn("__t", th)
+    prints = written(fingerprints(docs, width), "prints")
+    group = classes(prints, threshold).select(F.col("doc_id").alias("d"), "fp", "component_id").distinct()
+    many = group.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component_id")
+    members = written(group.join(many, "component_id").select("d", F.col("component_id").alias("stays")).distinct(), "simhash-members")
+    texts = keyed.join(members, F.col("doc_id").eqNullSafe(F.col("d"))).select("d", "stays", "__t", F.col("text").cast("string").alias("text"))
+    first = texts.where(F.col("d").eqNullSafe(F.col("stays"))).groupBy("stays").agg(F.min("__t").alias("ft"), F.min_by("text", "__t").alias("kept")).withColumnRenamed("stays", "s")
+    pairs = texts.join(first, F.col("stays").eqNullSafe(F.col("s"))).where(~(F.col("d").eqNullSafe(F.col("stays")) & (F.col("__t") == F.col("ft")))).select("d", "__t", "text", "kept")
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = [x == y or similarity((x or "").encode("utf-8", "surrogatepass"), (y or "").encode("utf-8", "surrogatepass"), width) >= least for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["d", "t"]).filter(pa.array(near))
+
+    gone = written(pairs.mapInArrow(judge, "d bigint, t bigint").distinct(), "near-copies")
+    kept = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("__t") == F.col("t")), "left_anti")
+    again = keyed.groupBy("doc_id", "__t").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+    return (kept.dropDuplicates(["doc_id", "__t"]) if again else kept).drop("__t")
