@@ -1,0 +1,6 @@
+"""All queries over the reference tables and their SQL twins."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
