@@ -110,7 +110,8 @@ def judged(docs: DataFrame, text: str = "text") -> DataFrame:
     table = posteriors(counts(docs.select(F.col(f"`{text}`").alias("text"))).select(pattern(rules()).alias("pattern")))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = seen.join(F.broadcast(table), "pattern").drop("pattern").withColumn("base_failed", failed)
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= KEEP))
+    # one condition over both sides of the join: a filter on it stays above the counts instead of being unfolded below
+    return out.withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(F.col("quality") >= KEEP))
 
 
 def op9(docs: DataFrame, save=lambda df: df) -> DataFrame:
