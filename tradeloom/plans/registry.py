@@ -1,6 +1,102 @@
-"""All queries over the reference tables and their SQL twins."""
+"""All queries over the derived domain tables, and their SQL twins."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from collections.abc import Callable
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text
+from ..operators import gaps, graph, ingest, matching, promote, provenance, resolve, sessions, trust
+from ..sources import payloads
+from ..sources.fixtures import ctes, frame
+from . import twins
+
+Query = Callable[[SparkSession, str], DataFrame]
+AS_OF = datetime(1999, 6, 1)
+
+
+def over(*names: str) -> Callable[[Callable[..., DataFrame]], Query]:
+    """A query that reads the named tables and fixtures."""
+
+    def wrap(f: Callable[..., DataFrame]) -> Query:
+        return lambda spark, sf_dir: f(*[frame(spark, sf_dir, n) for n in names])
+
+    return wrap
+
+
+PAIRS = ("requirements", "criteria", "requirement_certificates", "offerings", "products", "product_attributes", "companies", "company_documents")
+
+
+def all_pairs(requirements, criteria, certificates, offerings, products, attributes, companies, documents) -> DataFrame:
+    scores = trust.trust_scores(companies, documents)
+    return matching.pairs(requirements, criteria, certificates, offerings, products, attributes, companies, documents, scores)
+
+
+def batch(documents: DataFrame) -> DataFrame:
+    external = F.when(F.col("doc_id") % 3 != 0, F.floor(F.col("doc_id") / 2).cast("string"))
+    return documents.select(F.col("doc_id").alias("item_id"), "source", external.alias("external_id"), F.sha2("text", 256).alias("content_hash"), (F.col("doc_id") % 50 == 7).alias("empty"))
+
+
+def history(documents: DataFrame) -> DataFrame:
+    rows = batch(documents.where("doc_id % 4 = 0"))
+    return rows.select("source", "external_id", "content_hash")
+
+
+def names(companies: DataFrame) -> DataFrame:
+    n = F.col("name")
+    return companies.select("company_id", text.match_name(n).alias("match_name"), text.match_domain(F.col("website")).alias("domain"), text.match_place(F.col("city")).alias("place"), text.slug(n).alias("slug"), text.squeezed(n).alias("display"))
+
+
+def certificates(frame_: DataFrame) -> DataFrame:
+    return frame_.select("requirement_id", "n", *[text.phrase_in(F.col("certificate"), label).alias(f"is_{kind}") for kind, label in (("iso", "iso"), ("ce", "ce"), ("bis", "bis"), ("licence", "factory license"))])
+
+
+def actions(provenance_: DataFrame) -> DataFrame:
+    act = F.when((F.col("record_id") + F.col("k")) % 4 == 0, "verify").when((F.col("record_id") + F.col("k")) % 4 == 1, "review").when((F.col("record_id") + F.col("k")) % 4 == 2, "reject").otherwise("expire")
+    rows = provenance_.select("record_id", F.explode(F.sequence(F.lit(0), (F.col("record_id") % 3).cast("int"))).alias("k"))
+    return rows.select("record_id", F.col("k").alias("seq"), act.alias("action"), F.when(F.col("record_id") % 2 == 0, "because").alias("note"))
+
+
+QUERIES: dict[str, Query] = {
+    "names": over("companies")(names),
+    "certificate_words": over("requirement_certificates")(certificates),
+    "trust_scores": over("companies", "company_documents")(trust.trust_scores),
+    "verified_sync": over("companies", "company_documents")(lambda c, d: trust.verified_sync(trust.trust_scores(c, d))),
+    "match_candidates": over("offerings", "products")(lambda o, p: matching.candidates(o, p).select("category_id", "offering_id", "more_exist")),
+    "match_ranked": over(*PAIRS)(lambda *t: matching.ranked(all_pairs(*t))),
+    "match_summary": over(*PAIRS)(lambda *t: matching.summary(t[0], all_pairs(*t))),
+    "gap_categories": over("search_events", "requirements", "search_candidates")(gaps.category_gaps),
+    "gap_specifications": over("criteria", "requirements", "offerings", "products", "product_attributes")(gaps.specification_gaps),
+    "ingest_outcomes": over("documents")(lambda d: ingest.outcomes(batch(d), history(d))),
+    "ingest_rollup": over("documents")(lambda d: ingest.job_rollup(ingest.outcomes(batch(d), history(d)), "source")),
+    "registry_pages": over("companies")(lambda c: payloads.registry(payloads.as_registry_pages(c))),
+    "resolve_signals": over("observations", "companies")(lambda o, c: resolve.exact_signals(o, c).select("observation_id", "signal", "company_id")),
+    "resolve_decisions": over("observations", "companies")(lambda o, c: resolve.decide(o, resolve.exact_signals(o, c))),
+    "resolve_fuzzy": over("observations", "companies")(lambda o, c: resolve.fuzzy_signals(o, c, resolve.exact_signals(o, c)).select("observation_id", "company_id", "ratio")),
+    "promote": over("observations", "companies")(promote.promote),
+    "slugs": over("observations", "companies")(lambda o, c: promote.allocate_slugs(o.where("name IS NOT NULL").select(F.col("observation_id").alias("id"), "name"), c.select(text.slug(F.col("name")).alias("slug")).distinct())),
+    "provenance_unpivot": over("observations")(lambda o: provenance.unpivot(o, ["name", "strong_id", "state"], ["city", "website"])),
+    "conflicts": over("provenance")(provenance.conflicts),
+    "field_quality": over("provenance")(lambda p: provenance.field_quality(p, AS_OF)),
+    "quality_scores": over("provenance")(lambda p: provenance.quality_score(provenance.field_quality(p, AS_OF))),
+    "review_queue": over("provenance")(provenance.review_queue),
+    "review_replay": over("provenance")(lambda p: provenance.replay(p, actions(p))),
+    "graph_edges": over("offerings")(graph.offering_edges),
+    "graph_distributors": over("offerings")(lambda o: graph.in_role(o, "distributor", "NATION_2")),
+    "graph_manufacturers": over("offerings")(lambda o: graph.in_role(o, "manufacturer")),
+    "graph_traversal": over("companies", "offerings", "products")(graph.traversal),
+    "company_search": over("companies")(lambda c: graph.company_search(c, name="zone 1", page=1, size=10)),
+    "product_search": over("products", "offerings")(lambda p, o: graph.product_search(p, o, "ring")),
+    "discover": over("companies")(lambda c: graph.discover(c, "on")),
+    "requirement_search": over("requirements", "companies")(graph.requirement_search),
+    "integrity": over("offerings", "companies", "provenance")(graph.integrity),
+    "token_reuse": over("auth_events")(sessions.token_reuse),
+    "session_expiry": over("auth_events")(lambda e: sessions.session_expiry(e, 3600)),
+    "keep_last": over("auth_events")(sessions.keep_last),
+    "rate_limit": over("auth_events")(lambda e: sessions.rate_limit(e, 3600, 2)),
+    "lockouts": over("auth_events")(sessions.lockouts),
+}
+ORACLES: dict[str, str] = {name: ctes(*tables) + body if tables else body for name, (tables, body) in twins.TWINS.items()}
