@@ -27,6 +27,8 @@ from .quality import BLANKS
 MOST_BLOCKS = 4096
 BLOCK_WORDS = 20_000
 WEIGHTS = 3
+#: Sources up to which their table is broadcast; beyond, it is joined by shuffle.
+MOST_BROADCAST = 50_000
 
 
 def word_count(text: str) -> Column:
@@ -113,9 +115,15 @@ def blocked(rows: DataFrame, goal: DataFrame) -> DataFrame:
     return joined.withColumn("block", F.pmod("rank", F.greatest(n, F.lit(1))).cast("int"))
 
 
-def taken(rows: DataFrame, shards: int = 16, seed: int = 7, most: int = 3) -> DataFrame:
-    """rows of sized() -> with source_size, target, draws array<struct<pass, shard>> of each document."""
-    goal = targets(rows, most)
+def taken(rows: DataFrame, shards: int = 16, seed: int = 7, most: int = 3, save=lambda df: df) -> DataFrame:
+    """rows of sized() -> with source_size, target, draws array<struct<pass, shard>> of each document.
+
+    Documents are not dealt by source, of which one may hold most: the table of sources, its size checked, is sent to
+    every task.
+    """
+    goal = save(targets(rows, most))
+    if goal.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        goal = F.broadcast(goal)
     dealt = blocked(rows, goal)
     drawn = dealt.join(draws(dealt.select("s", "block", "size"), goal, shards, seed), ["s", "block"], "left")
     # only blocks at an edge are drawn in part; there documents fill the room in the order of their hash
@@ -135,7 +143,7 @@ def mixed(docs: DataFrame, save, shards: int = 16, seed: int = 7) -> DataFrame:
     save cuts the lineage of the narrow rows. Equal rows of docs are drawn as often as their rows together.
     """
     rows = save(sized(docs))
-    chosen = taken(rows, shards, seed).where(F.size("draws") > 0).select("doc_id", "rank", F.explode("draws").alias("d"))
+    chosen = taken(rows, shards, seed, save=save).where(F.size("draws") > 0).select("doc_id", "rank", F.explode("draws").alias("d"))
     counted = chosen.groupBy("doc_id", "rank", "d.pass", "d.shard").agg(F.count(F.lit(1)).alias("times"))
     same = rows.groupBy("doc_id", "rank").agg(F.count(F.lit(1)).alias("rows"))
     per_row = counted.join(same.toDF("i", "r", "rows"), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("rank") == F.col("r")))
@@ -148,6 +156,6 @@ def mixed(docs: DataFrame, save, shards: int = 16, seed: int = 7) -> DataFrame:
 
 
 def op10(docs: DataFrame, save) -> DataFrame:
-    out = taken(save(sized(docs)))
+    out = taken(save(sized(docs)), save=save)
     words = F.col("size") * F.coalesce(F.greatest(F.size("draws"), F.lit(0)), F.lit(0))
     return out.select("doc_id", "size", "source_size", "target", words.cast("bigint").alias("taken"))
