@@ -30,33 +30,62 @@ SEED = 42
 GOLAY, BLOCK = 0xC75, 23
 #: Groups up to this size are compared pair by pair; larger ones through the points between.
 PAIRWISE = 96
+#: Groups of candidates up to this size give all their close pairs.
+FEW = 8
+
+
+def majority(h: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """For each of n owners (`owner` ascends): bit i is 1 if set in over half of its hashes."""
+    counts = np.zeros((n, 64), np.int32)
+    for i in range(0, len(h), 1 << 18):  # a bounded table of bits at a time
+        own = owner[i : i + (1 << 18)]
+        heads = np.flatnonzero(np.diff(own, prepend=-1))
+        bits = np.unpackbits(h[i : i + (1 << 18)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        counts[own[heads]] += np.add.reduceat(bits, heads, axis=0, dtype=np.int32)
+    total = np.bincount(owner, minlength=n)
+    return np.packbits(2 * counts > total[:, None], axis=1).reshape(-1, 8).copy().view(">u8").ravel().astype(np.uint64).view(np.int64)
+
+
+def hashes(raw: bytes, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(raw[x:y], SEED) for x, y in zip(a.tolist(), b.tolist())), np.uint64, len(a))
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """(doc_id, fp bigint): bit i is 1 if set in over half the XXH64 hashes of the word shingles, repeats included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh64_intdigest
         for part, data, offsets in text_chunks(batches, "text", 2 << 20):
             text, starts, ends, first = words(data, offsets)
             a, b, owner = spans(first, starts, ends, width)
-            raw, out = text.tobytes(), np.zeros(len(part), ">u8")
-            for i in range(0, len(a), 1 << 18):  # a bounded table of bits at a time
-                j = min(i + (1 << 18), len(a))
-                h = np.fromiter((digest(raw[x:y], SEED) for x, y in zip(a[i:j].tolist(), b[i:j].tolist())), np.uint64, j - i)
-                heads = np.flatnonzero(np.diff(owner[i:j], prepend=-1))
-                some = np.add.reduceat(np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1), heads, axis=0, dtype=np.int32)
-                if not i:
-                    counts = np.zeros((len(part), 64), np.int32)
-                np.add.at(counts, owner[i:j][heads], some)
-            if len(a):
-                total = np.bincount(owner, minlength=len(part))
-                out = np.packbits(2 * counts > total[:, None], axis=1).reshape(-1, 8).copy().view(">u8").ravel()
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out.astype(np.uint64).view(np.int64))], ["doc_id", "fp"])
+            fp = majority(hashes(text.tobytes(), a, b), owner, len(part))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp)], ["doc_id", "fp"])
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, fp bigint")
 
 
+def word_prints(docs: DataFrame) -> DataFrame:
+    """(d, t, key, fp): doc_id, hash of the text, hash of its words in lower case, fingerprint of its distinct words.
+
+    A changed word touches five shingles of five words but one word, so texts whose shingles are similar have
+    fingerprints of words that differ in few bits.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, offsets in text_chunks(batches, "text", 2 << 20):
+            text, starts, ends, first = words(data, offsets)
+            raw, owner = text.tobytes(), np.repeat(np.arange(len(part)), np.diff(first))
+            h = hashes(raw, starts, ends)
+            order = np.lexsort((h, owner))
+            h, owner = h[order], owner[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+            key = [xxhash.xxh64_intdigest(raw[starts[x] : ends[y - 1]] if y > x else b"", SEED) for x, y in zip(first[:-1].tolist(), first[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.array(key, np.uint64).view(np.int64)), pa.array(majority(h[new], owner[new], len(part)))], ["d", "t", "key", "fp"])
+
+    return docs.select("doc_id", "__t", F.col("text").cast("string").alias("text")).mapInArrow(run, "d bigint, t bigint, key bigint, fp bigint")
+
+
 class Covering:
     def __init__(self) -> None:
         one = np.zeros(BLOCK, np.int64)
@@ -206,29 +235,113 @@ def similarity(a: bytes, b: bytes, width: int) -> float:
     return len(sets[0] & sets[1]) / both if both else 1.0
 
 
-def deduplicated(docs: DataFrame, width: int = 5, threshold: int = 4, least: float = 0.8) -> DataFrame:
-    """`docs` without near copies: of each group the smallest doc_id stays (null first; of equal ids the least text
-    hash), and whatever is less similar to it than `least`.
+def close_pairs(anchor: np.ndarray, key: np.ndarray, fp: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows sorted by (anchor, key), whole groups: index pairs (later, earlier) within `reach` bits.
 
-    Groups are those of classes(); a member goes if its shingles are similar to those of the one that stays, so each
-    is compared once, not with all others.
+    All such pairs of small groups. In larger ones each row is paired with one leader: the first row of the group
+    that no earlier leader reached.
     """
-    th = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    keyed = docs.withColumn("__t", th)
-    prints = written(fingerprints(docs, width), "prints")
-    group = classes(prints, threshold).select(F.col("doc_id").alias("d"), "fp", "component_id").distinct()
-    many = group.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component_id")
-    members = written(group.join(many, "component_id").select("d", F.col("component_id").alias("stays")).distinct(), "simhash-members")
-    texts = keyed.join(members, F.col("doc_id").eqNullSafe(F.col("d"))).select("d", "stays", "__t", F.col("text").cast("string").alias("text"))
-    first = texts.where(F.col("d").eqNullSafe(F.col("stays"))).groupBy("stays").agg(F.min("__t").alias("ft"), F.min_by("text", "__t").alias("kept")).withColumnRenamed("stays", "s")
-    pairs = texts.join(first, F.col("stays").eqNullSafe(F.col("s"))).where(~(F.col("d").eqNullSafe(F.col("stays")) & (F.col("__t") == F.col("ft")))).select("d", "__t", "text", "kept")
+    n = len(fp)
+    heads = np.flatnonzero(np.diff(anchor, prepend=anchor[0] - 1 if n else 0))
+    size = np.diff(np.append(heads, n))
+    left = np.repeat(heads + size, size) - np.arange(n) - 1
+    small = np.repeat(size <= FEW, size)
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for lag in range(1, FEW):
+        x = np.flatnonzero(small & (left >= lag))
+        x = x[bit_count(fp[x] ^ fp[x + lag]) <= reach]
+        a.append(x + lag)
+        b.append(x)
+    for g in np.flatnonzero(size > FEW):
+        rest = np.arange(heads[g], heads[g] + size[g])
+        while len(rest) > 1:
+            near = bit_count(fp[rest] ^ fp[rest[0]]) <= reach
+            members = rest[near][1:]
+            a.append(members)
+            b.append(np.full(len(members), rest[0]))
+            rest = rest[~near]
+    return np.concatenate(a), np.concatenate(b)
+
+
+def candidates(nodes: DataFrame, radius: int, reach: int) -> DataFrame:
+    """Distinct (key, fp) -> distinct pairs of keys (u > v) that meet at an anchor, within `reach` bits."""
+
+    def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cover = Covering()
+        for batch in batches:
+            key, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for i in range(0, len(fp), 2_000):
+                anchor, row = cover.anchors(fp[i : i + 2_000], radius)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(key[i : i + 2_000][row]), pa.array(fp[i : i + 2_000][row])], ["anchor", "key", "fp"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 3
+
+        def pairs(anchor: np.ndarray, key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+            x, y = close_pairs(anchor, key, fp, reach)
+            return pa.RecordBatch.from_arrays([pa.array(key[x]), pa.array(key[y])], ["u", "v"])
+
+        for batch in batches:
+            held = [np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held)]
+            cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # the last group may go on
+            if cut:
+                yield pairs(*[h[:cut] for h in held])
+                held = [h[cut:] for h in held]
+        if len(held[0]):
+            yield pairs(*held)
+
+    dealt = nodes.select("key", "fp").mapInArrow(replicate, "anchor bigint, key bigint, fp bigint").repartition("anchor").sortWithinPartitions("anchor", "key")
+    return dealt.mapInArrow(meet, "u bigint, v bigint").where("u <> v").distinct()
+
+
+def similar(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
+    """The pairs (u, v) of keys whose texts' word shingles have at least that Jaccard similarity, exactly."""
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = [x == y or similarity((x or "").encode("utf-8", "surrogatepass"), (y or "").encode("utf-8", "surrogatepass"), width) >= least for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["d", "t"]).filter(pa.array(near))
+            near = [similarity(x.encode("utf-8", "surrogatepass"), y.encode("utf-8", "surrogatepass"), width) >= least for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(near, pa.bool_()))
+
+    one, other = (texts.toDF(k, f"{k}_text") for k in "uv")
+    return pairs.join(one, "u").join(other, "v").select("u", "v", "u_text", "v_text").mapInArrow(judge, "u bigint, v bigint")
 
-    gone = written(pairs.mapInArrow(judge, "d bigint, t bigint").distinct(), "near-copies")
-    kept = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("__t") == F.col("t")), "left_anti")
+
+def near_links(prints: DataFrame, keyed: DataFrame, width: int, least: float, radius: int, reach: int) -> DataFrame:
+    """Links (u, v) of keys of similar texts, enough to join each group.
+
+    First every key is compared with the smallest of its candidates, which joins most of a large group at one
+    comparison a member; then come the candidates still in different groups.
+    """
+    pairs = written(candidates(prints.select("key", "fp").distinct(), radius, reach), "near-candidates")
+    ends = pairs.select(F.col("u").alias("key")).union(pairs.select(F.col("v").alias("key"))).distinct()
+    shown = written(prints.groupBy("key").agg(F.min(F.struct("d", "t")).alias("first")).join(ends, "key").select("key", "first.*"), "near-shown")
+    texts = keyed.select("doc_id", "__t", "text").join(shown, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("__t") == F.col("t"))).select("key", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = written(texts.dropDuplicates(["key"]), "near-texts")
+    tried = written(pairs.groupBy("u").agg(F.min("v").alias("v")), "near-tried")
+    found = written(similar(tried, texts, width, least), "near-found")
+    root = components(found, "near-joined")
+    at = {k: root.select(F.col("node").alias(k), F.col("root").alias(f"{k}_root")) for k in "uv"}
+    apart = pairs.join(tried, ["u", "v"], "left_anti").join(at["u"], "u", "left").join(at["v"], "v", "left").where("coalesce(u_root, u) <> coalesce(v_root, v)").select("u", "v")
+    return found.union(similar(written(apart, "near-apart"), texts, width, least))
+
+
+def deduplicated(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int = 2, reach: int = 10) -> DataFrame:
+    """`docs` without near copies: of each group the smallest doc_id stays (null first; of equal ids the least text hash).
+
+    A group is joined by links of texts whose shingles of `width` words have a similarity of `least` or more, each
+    checked exactly. Candidates are texts whose fingerprints of distinct words meet at an anchor of a point within
+    `radius` bits and differ in at most `reach`. Texts alike but for blanks and the case of A-Z are copies; null and
+    empty texts are copies of each other.
+    """
+    keyed = docs.withColumn("__t", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    prints = written(word_prints(keyed), "prints")
+    root = components(near_links(prints, keyed, width, least, radius, reach), "near-links")
+    first = prints.groupBy("key").agg(F.min(F.struct("d", "t")).alias("first"), F.count(F.lit(1)).alias("n"))
+    rooted = first.join(root.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    stays = rooted.groupBy("root").agg(F.min("first").alias("stay"), F.sum("n").alias("n")).where("n > 1").select("root", "stay.*")
+    copies = written(rooted.join(stays, "root").select("key", F.col("d").alias("stay_d"), F.col("t").alias("stay_t")), "near-groups")
+    leaves = ~(F.col("d").eqNullSafe(F.col("stay_d")) & (F.col("t") == F.col("stay_t")))
+    gone = written(prints.join(copies, "key").where(leaves).select(F.col("d").alias("__d"), F.col("t").alias("__gone")).distinct(), "near-copies")
+    kept = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__t") == F.col("__gone")), "left_anti")
     again = keyed.groupBy("doc_id", "__t").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
     return (kept.dropDuplicates(["doc_id", "__t"]) if again else kept).drop("__t")
