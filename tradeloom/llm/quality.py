@@ -53,10 +53,11 @@ def counts(docs: DataFrame, text: str = "text") -> DataFrame:
     out = docs.drop(*COUNTS).withColumn("__text", F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
     trimmed = F.btrim(F.col("__text"), F.lit(BLANKS))
     out = out.withColumn("__words", F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, "[ \\t-\\r]+")))
+    # the few characters that rules count, found in one pass
+    out = out.withColumn("__marks", F.regexp_replace("__text", "[^\\p{Lu}!#*$%&|<>]+", ""))
     out = out.withColumn("__lines", F.filter(F.split("__text", "\n", -1), lambda x: F.btrim(x, F.lit(BLANKS)) != "")).withColumn("__n", F.size("__words"))
-    take = F.greatest(n - 2, F.lit(0))
-    zipped = F.arrays_zip(F.slice("__words", 1, take).alias("a"), F.slice("__words", 2, take).alias("b"), F.slice("__words", 3, take).alias("c"))
-    out = out.withColumn("__windows", F.transform(zipped, lambda x: F.xxhash64(x)))
+    # the words of a window are looked up in place: zipping three shifted arrays would copy every word three times
+    out = out.withColumn("__windows", F.expr("transform(slice(__words, 1, greatest(__n - 2, 0)), (w, i) -> xxhash64(w, get(__words, i + 1), get(__words, i + 2)))"))
     # windows sorted by hash, with their place in the low bits; equal ones are then side by side
     out = out.withColumn("__again", F.size(F.array_distinct(windows)) < F.size(windows)).withColumn("__low", F.expr("shiftleft(1L, length(bin(__n))) - 1"))
     out = out.withColumn("__ranked", F.expr("CASE WHEN __again THEN sort_array(transform(__windows, (h, i) -> (h & ~__low) | CAST(i AS BIGINT))) END"))
@@ -67,12 +68,12 @@ def counts(docs: DataFrame, text: str = "text") -> DataFrame:
         *[F.col(f"`{c}`") for c in docs.drop(*COUNTS).columns],
         n.cast("bigint").alias("n_words"),
         F.length(F.array_join("__words", "")).cast("bigint").alias("word_chars"),
-        without("__text", "[#*$%&|<>]").cast("bigint").alias("n_symbols"),
+        without("__marks", "[#*$%&|<>]").cast("bigint").alias("n_symbols"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("bigint").alias("n_dup_lines"),
         F.when(F.col("__again"), covered).otherwise(F.lit(0)).cast("bigint").alias("n_repeat_words"),
         F.size("__lines").cast("bigint").alias("n_lines"),
-        without("__text", "\\p{Lu}").cast("bigint").alias("n_upper"),
-        without("__text", "!").cast("bigint").alias("n_shouts"),
+        without("__marks", "\\p{Lu}").cast("bigint").alias("n_upper"),
+        without("__marks", "!").cast("bigint").alias("n_shouts"),
     )
 
 
@@ -104,10 +105,13 @@ def posteriors(patterns: DataFrame) -> DataFrame:
     return fitted.select("k", "m", F.explode("p").alias("x")).select("x.pattern", F.expr(belief.format(m="m", v="x.v")).alias("quality"))
 
 
-def judged(docs: DataFrame, text: str = "text") -> DataFrame:
-    """`docs` with COUNTS, base_failed, quality (posterior probability of good) and kept."""
-    seen = counts(docs, text).withColumn("pattern", pattern(rules()))
-    table = posteriors(counts(docs.select(F.col(f"`{text}`").alias("text"))).select(pattern(rules()).alias("pattern")))
+def judged(docs: DataFrame, text: str = "text", save=lambda df: df) -> DataFrame:
+    """`docs` with COUNTS, base_failed, quality (posterior probability of good) and kept.
+
+    save: keeps the counted rows between their two readers, so that texts are counted once.
+    """
+    seen = save(counts(docs, text).withColumn("pattern", pattern(rules())))
+    table = posteriors(seen.select("pattern"))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = seen.join(F.broadcast(table), "pattern").drop("pattern").withColumn("base_failed", failed)
     # one condition over both sides of the join: a filter on it stays above the counts instead of being unfolded below
