@@ -32,6 +32,10 @@ GOLAY, BLOCK = 0xC75, 23
 PAIRWISE = 96
 #: Groups of candidates up to this size give all their close pairs.
 FEW = 8
+#: Rows of crowded groups meet up to this many rows apart at first, then by as many times more in each round.
+FAR = 64
+#: Buckets of a text's sketch.
+SKETCH = 128
 
 
 def majority(h: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
@@ -225,21 +229,29 @@ def op7(docs: DataFrame, width: int = 3, threshold: int = 2) -> DataFrame:
     return classes(prints, threshold).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def similarity(a: bytes, b: bytes, width: int) -> float:
-    """Jaccard similarity of the sets of word shingles, A-Z in lower case; 1 for two texts without words."""
-    sets = []
-    for text in (a, b):
-        w = text.lower().split()
-        sets.append({b" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set())
-    both = len(sets[0] | sets[1])
-    return len(sets[0] & sets[1]) / both if both else 1.0
+def shingle_set(text: str, width: int) -> set[bytes]:
+    """Distinct word shingles, A-Z in lower case; fewer words: the whole sequence."""
+    w = text.encode("utf-8", "surrogatepass").lower().split()
+    return {b" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
 
 
-def close_pairs(anchor: np.ndarray, key: np.ndarray, fp: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows sorted by (anchor, key), whole groups: index pairs (later, earlier) within `reach` bits.
+def similarity(a: set[bytes], b: set[bytes]) -> float:
+    """Jaccard similarity; 1 for two texts without words."""
+    both = len(a & b)
+    return both / (len(a) + len(b) - both) if a or b else 1.0
 
-    All such pairs of small groups. In larger ones each row is paired with one leader: the first row of the group
-    that no earlier leader reached.
+
+def sketch(shingles: set[bytes]) -> bytes:
+    """How many distinct shingles fall into each of SKETCH buckets."""
+    h = np.fromiter((xxhash.xxh64_intdigest(x, SEED) % SKETCH for x in shingles), np.int64, len(shingles))
+    return np.bincount(h, minlength=SKETCH).astype("<i4").tobytes()
+
+
+def close_pairs(anchor: np.ndarray, key: np.ndarray, fp: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows sorted by (anchor, key), whole groups: index pairs (later, earlier) within `reach` bits, anchors left open.
+
+    All such pairs of small groups. In larger ones each row is paired with one leader, the first row of the group
+    that no earlier leader reached; their anchors stay open for open_pairs.
     """
     n = len(fp)
     heads = np.flatnonzero(np.diff(anchor, prepend=anchor[0] - 1 if n else 0))
@@ -260,26 +272,57 @@ def close_pairs(anchor: np.ndarray, key: np.ndarray, fp: np.ndarray, reach: int)
             a.append(members)
             b.append(np.full(len(members), rest[0]))
             rest = rest[~near]
-    return np.concatenate(a), np.concatenate(b)
+    return np.concatenate(a), np.concatenate(b), anchor[heads[size > FEW]]
 
 
-def candidates(nodes: DataFrame, radius: int, reach: int) -> DataFrame:
-    """Distinct (key, fp) -> distinct pairs of keys (u > v) that meet at an anchor, within `reach` bits."""
+def open_pairs(anchor: np.ndarray, fp: np.ndarray, root: np.ndarray, reach: int, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows sorted by (anchor, key), whole groups: index pairs (later, earlier) within `reach` bits, of different roots
+    and `low` to `high` - 1 rows apart; anchors that have such pairs farther apart."""
+    n = len(fp)
+    heads = np.flatnonzero(np.diff(anchor, prepend=anchor[0] - 1 if n else 0))
+    ends = np.append(heads, n)[1:]
+    a, b, still = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+    for start, end in zip(heads.tolist(), ends.tolist()):
+        f, r = fp[start:end], root[start:end]
+        _, kind, count = np.unique(r, return_inverse=True, return_counts=True)
+        if len(count) < 2:
+            continue
+        # pairs within the largest component need no look, so one side of each pair is outside it
+        outside, places = kind != count.argmax(), np.arange(end - start)
+        rows, far = np.flatnonzero(outside), False
+        for i in range(0, len(rows), step := max(1, (1 << 20) // len(f))):
+            mine = rows[i : i + step, None]
+            x, y = np.nonzero((bit_count(f[mine] ^ f[None, :]) <= reach) & (r[mine] != r[None, :]) & (~outside[None, :] | (places[None, :] < mine)))
+            x = mine[x, 0]
+            lag = np.abs(x - y)
+            far = far or bool((lag >= high).any())
+            now = (lag >= low) & (lag < high)
+            a.append(np.maximum(x, y)[now] + start)
+            b.append(np.minimum(x, y)[now] + start)
+        if far:
+            still.append(anchor[start])
+    return np.concatenate(a), np.concatenate(b), np.array(still, np.int64)
+
+
+def candidates(nodes: DataFrame, radius: int, reach: int, still: DataFrame | None = None, low: int = 1, high: int = 1) -> DataFrame:
+    """Distinct (key, fp[, root]) -> pairs of keys (u > v) that meet at an anchor, within `reach` bits, and, as rows
+    with u = v, the anchors that have more of them. With `still` (anchor), the pairs of open_pairs at those anchors."""
+    columns = ["key", "fp"] + (["root"] if still is not None else [])
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cover = Covering()
         for batch in batches:
-            key, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for i in range(0, len(fp), 2_000):
-                anchor, row = cover.anchors(fp[i : i + 2_000], radius)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(key[i : i + 2_000][row]), pa.array(fp[i : i + 2_000][row])], ["anchor", "key", "fp"])
+            held = [c.to_numpy() for c in batch.columns]
+            for i in range(0, batch.num_rows, 2_000):
+                anchor, row = cover.anchors(held[1][i : i + 2_000], radius)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), *[pa.array(h[i : i + 2_000][row]) for h in held]], ["anchor", *columns])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 3
+        held = [np.zeros(0, np.int64)] * (len(columns) + 1)
 
-        def pairs(anchor: np.ndarray, key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-            x, y = close_pairs(anchor, key, fp, reach)
-            return pa.RecordBatch.from_arrays([pa.array(key[x]), pa.array(key[y])], ["u", "v"])
+        def pairs(anchor: np.ndarray, key: np.ndarray, fp: np.ndarray, *root: np.ndarray) -> pa.RecordBatch:
+            x, y, more = open_pairs(anchor, fp, *root, reach, low, high) if root else close_pairs(anchor, key, fp, reach)
+            return pa.RecordBatch.from_arrays([pa.array(np.append(key[x], more)), pa.array(np.append(key[y], more))], ["u", "v"])
 
         for batch in batches:
             held = [np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held)]
@@ -290,39 +333,77 @@ def candidates(nodes: DataFrame, radius: int, reach: int) -> DataFrame:
         if len(held[0]):
             yield pairs(*held)
 
-    dealt = nodes.select("key", "fp").mapInArrow(replicate, "anchor bigint, key bigint, fp bigint").repartition("anchor").sortWithinPartitions("anchor", "key")
-    return dealt.mapInArrow(meet, "u bigint, v bigint").where("u <> v").distinct()
+    schema = ", ".join(f"{c} bigint" for c in ["anchor", *columns])
+    dealt = nodes.select(*columns).mapInArrow(replicate, schema)
+    if still is not None:
+        dealt = dealt.join(still, "anchor", "left_semi")
+    return dealt.repartition("anchor").sortWithinPartitions("anchor", "key").mapInArrow(meet, "u bigint, v bigint").distinct()
 
 
 def similar(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
-    """The pairs (u, v) of keys whose texts' word shingles have at least that Jaccard similarity, exactly."""
+    """The pairs (u, v) of keys whose texts' word shingles have at least that Jaccard similarity, exactly.
+
+    Two texts share no more shingles than the lesser counts of each bucket add up to, so pairs whose sketches rule
+    out the similarity go, none that has it, before any text is sent.
+    """
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<i4").reshape(-1, SKETCH) for i in (2, 3))
+            both = np.minimum(a, b).sum(1)
+            ok = both + 1e-6 >= least * (a.sum(1) + b.sum(1) - both)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(ok))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = [similarity(x.encode("utf-8", "surrogatepass"), y.encode("utf-8", "surrogatepass"), width) >= least for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            near = [similarity(shingle_set(x, width), shingle_set(y, width)) >= least for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(near, pa.bool_()))
 
-    one, other = (texts.toDF(k, f"{k}_text") for k in "uv")
-    return pairs.join(one, "u").join(other, "v").select("u", "v", "u_text", "v_text").mapInArrow(judge, "u bigint, v bigint")
+    def joined(df: DataFrame, column: str) -> DataFrame:
+        one, other = (texts.select(F.col("key").alias(k), F.col(column).alias(f"{k}_{column}")) for k in "uv")
+        return df.join(one, "u").join(other, "v").select("u", "v", f"u_{column}", f"v_{column}")
+
+    left = written(joined(pairs, "sketch").mapInArrow(possible, "u bigint, v bigint"), "near-possible")
+    return joined(left, "text").mapInArrow(judge, "u bigint, v bigint")
 
 
 def near_links(prints: DataFrame, keyed: DataFrame, width: int, least: float, radius: int, reach: int) -> DataFrame:
-    """Links (u, v) of keys of similar texts, enough to join each group.
+    """Links (u, v) of keys of similar texts, enough to join each group: no candidate pair stays uncompared unless
+    its ends are joined already.
 
-    First every key is compared with the smallest of its candidates, which joins most of a large group at one
-    comparison a member; then come the candidates still in different groups.
+    Anchors of few texts give all their pairs at once, crowded ones those with their leaders; then crowded anchors
+    whose texts are still in different groups give their other pairs, near rows first and farther ones in later rounds.
     """
-    pairs = written(candidates(prints.select("key", "fp").distinct(), radius, reach), "near-candidates")
+    spark, nodes = prints.sparkSession, prints.select("key", "fp").distinct()
+    edges = spark.createDataFrame([], "u bigint, v bigint")
+    seen, still, low, high = edges, None, 1, FAR
+    while True:
+        if still is None:
+            met = written(candidates(nodes, radius, reach), "near-candidates")
+        else:
+            rooted = nodes.join(components(edges, "near-rounds").withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+            met = written(candidates(rooted, radius, reach, still, low, high), "near-candidates")
+            low, high = high, high * FAR
+        pairs = written(met.where("u <> v").join(seen, ["u", "v"], "left_anti"), "near-pairs")
+        if not pairs.isEmpty():
+            edges = edges.union(written(similar(pairs, shown_texts(pairs, prints, keyed, width), width, least), "near-found"))
+        seen, still = seen.union(pairs), met.where("u = v").select(F.col("u").alias("anchor"))
+        if still.isEmpty():
+            return edges
+
+
+def shown_texts(pairs: DataFrame, prints: DataFrame, keyed: DataFrame, width: int) -> DataFrame:
+    """(key, text, sketch) of the keys in `pairs`; of copies one text."""
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sketches = [sketch(shingle_set(x, width)) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sketches, pa.binary())], ["key", "text", "sketch"])
+
     ends = pairs.select(F.col("u").alias("key")).union(pairs.select(F.col("v").alias("key"))).distinct()
     shown = written(prints.groupBy("key").agg(F.min(F.struct("d", "t")).alias("first")).join(ends, "key").select("key", "first.*"), "near-shown")
     texts = keyed.select("doc_id", "__t", "text").join(shown, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("__t") == F.col("t"))).select("key", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    texts = written(texts.dropDuplicates(["key"]), "near-texts")
-    tried = written(pairs.groupBy("u").agg(F.min("v").alias("v")), "near-tried")
-    found = written(similar(tried, texts, width, least), "near-found")
-    root = components(found, "near-joined")
-    at = {k: root.select(F.col("node").alias(k), F.col("root").alias(f"{k}_root")) for k in "uv"}
-    apart = pairs.join(tried, ["u", "v"], "left_anti").join(at["u"], "u", "left").join(at["v"], "v", "left").where("coalesce(u_root, u) <> coalesce(v_root, v)").select("u", "v")
-    return found.union(similar(written(apart, "near-apart"), texts, width, least))
+    return written(texts.dropDuplicates(["key"]).mapInArrow(sketched, "key bigint, text string, sketch binary"), "near-texts")
 
 
 def deduplicated(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int = 2, reach: int = 10) -> DataFrame:
