@@ -51,8 +51,7 @@ SELECT c_custkey AS requirement_id, CASE WHEN c_custkey % 20 = 0 THEN NULL ELSE
   CASE WHEN c_custkey % 4 = 1 THEN NULL ELSE ' ' || lower(n_name) END AS country, CASE WHEN c_custkey % 4 < 2 THEN NULL ELSE r_name END AS state,
   CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE {CITY.format('c_custkey')} END AS city, CAST(c_custkey % 4 AS INT) AS certificate_set,
   c_mktsegment || ' ' || c_name AS name
-FROM customer JOIN part ON p_partkey = c_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey
-WHERE c_custkey % 10 IN (0, 3)""",
+FROM customer JOIN part ON p_partkey = c_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey""",
     "requirement_certificates": """
 SELECT requirement_id, n, certificate FROM requirements JOIN (
   SELECT 1 AS cs, 0 AS n, 'ISO 9001' AS certificate UNION ALL SELECT 2, 0, 'CE mark' UNION ALL SELECT 2, 1, 'BIS'
@@ -61,8 +60,7 @@ SELECT requirement_id, n, certificate FROM requirements JOIN (
 SELECT c_custkey AS requirement_id, specification, operator, low, high, text_value FROM customer JOIN (
   SELECT 0 AS k, 'color' AS specification, 'eq' AS operator, CAST(NULL AS DOUBLE) AS low, CAST(NULL AS DOUBLE) AS high, ' RED ' AS text_value
   UNION ALL SELECT 1, 'size', 'gte', 20.0, NULL, NULL UNION ALL SELECT 2, 'price', 'lte', 1500.0, NULL, NULL
-  UNION ALL SELECT 3, 'size', 'range', 10.0, 40.0, NULL UNION ALL SELECT 3, 'price', 'lte', 1900.0, NULL, NULL) c ON c_custkey % 5 = k
-WHERE c_custkey % 10 IN (0, 3)""",
+  UNION ALL SELECT 3, 'size', 'range', 10.0, 40.0, NULL UNION ALL SELECT 3, 'price', 'lte', 1900.0, NULL, NULL) c ON c_custkey % 5 = k""",
     "provenance": """
 SELECT o_orderkey AS record_id, CAST(floor(o_custkey / 15.0) AS BIGINT) AS company_id,
   CASE CAST(o_orderkey % 8 AS INT) WHEN 0 THEN 'name' WHEN 1 THEN 'cin' WHEN 2 THEN 'website' WHEN 3 THEN 'industry' WHEN 4 THEN 'country' WHEN 5 THEN 'gst_number' WHEN 6 THEN 'city' ELSE 'authorized_capital' END AS field_name,
