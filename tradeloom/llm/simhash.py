@@ -36,6 +36,8 @@ FEW = 8
 FAR = 64
 #: Buckets of a text's sketch.
 SKETCH = 128
+#: Independent fingerprints of a text's words.
+PRINTS = 4
 
 
 def majority(h: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
@@ -55,6 +57,16 @@ def hashes(raw: bytes, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.fromiter((digest(raw[x:y], SEED) for x, y in zip(a.tolist(), b.tolist())), np.uint64, len(a))
 
 
+def reseeded(h: np.ndarray, n: int) -> np.ndarray:
+    """The n-th family of hashes from one; the first is h itself."""
+    if not n:
+        return h
+    z = h + np.uint64(n * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """(doc_id, fp bigint): bit i is 1 if set in over half the XXH64 hashes of the word shingles, repeats included."""
 
@@ -69,11 +81,13 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
 
 
 def word_prints(docs: DataFrame) -> DataFrame:
-    """(d, t, key, fp): doc_id, hash of the text, hash of its words in lower case, fingerprint of its distinct words.
+    """(d, t, key, fp0, fp1, ...): doc_id, hash of the text, hash of its words in lower case, PRINTS independent
+    fingerprints of its distinct words.
 
     A changed word touches five shingles of five words but one word, so texts whose shingles are similar have
-    fingerprints of words that differ in few bits.
+    fingerprints of words that differ in few bits, and a pair that one fingerprint misses is found by another.
     """
+    names = [f"fp{n}" for n in range(PRINTS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in text_chunks(batches, "text", 2 << 20):
@@ -85,9 +99,10 @@ def word_prints(docs: DataFrame) -> DataFrame:
             new = np.ones(len(h), bool)
             new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
             key = [xxhash.xxh64_intdigest(raw[starts[x] : ends[y - 1]] if y > x else b"", SEED) for x, y in zip(first[:-1].tolist(), first[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.array(key, np.uint64).view(np.int64)), pa.array(majority(h[new], owner[new], len(part)))], ["d", "t", "key", "fp"])
+            fps = [pa.array(majority(reseeded(h[new], n), owner[new], len(part))) for n in range(PRINTS)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.array(key, np.uint64).view(np.int64)), *fps], ["d", "t", "key", *names])
 
-    return docs.select("doc_id", "__t", F.col("text").cast("string").alias("text")).mapInArrow(run, "d bigint, t bigint, key bigint, fp bigint")
+    return docs.select("doc_id", "__t", F.col("text").cast("string").alias("text")).mapInArrow(run, ", ".join(f"{c} bigint" for c in ["d", "t", "key", *names]))
 
 
 class Covering:
@@ -275,6 +290,16 @@ def close_pairs(anchor: np.ndarray, key: np.ndarray, fp: np.ndarray, reach: int)
     return np.concatenate(a), np.concatenate(b), anchor[heads[size > FEW]]
 
 
+def apart_pairs(anchor: np.ndarray, key: np.ndarray, fp: np.ndarray, root: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """close_pairs without pairs of one root and without open anchors that have one root only."""
+    x, y, more = close_pairs(anchor, key, fp, reach)
+    ends = np.append(np.flatnonzero(np.diff(anchor)) + 1, len(anchor)) if len(anchor) else np.zeros(0, np.int64)
+    heads = np.append(0, ends)[:-1]
+    several = anchor[heads[np.minimum.reduceat(root, heads) < np.maximum.reduceat(root, heads)]] if len(heads) else anchor
+    apart = root[x] != root[y]
+    return x[apart], y[apart], more[np.isin(more, several)]
+
+
 def open_pairs(anchor: np.ndarray, fp: np.ndarray, root: np.ndarray, reach: int, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows sorted by (anchor, key), whole groups: index pairs (later, earlier) within `reach` bits, of different roots
     and `low` to `high` - 1 rows apart; anchors that have such pairs farther apart."""
@@ -306,8 +331,10 @@ def open_pairs(anchor: np.ndarray, fp: np.ndarray, root: np.ndarray, reach: int,
 
 def candidates(nodes: DataFrame, radius: int, reach: int, still: DataFrame | None = None, low: int = 1, high: int = 1) -> DataFrame:
     """Distinct (key, fp[, root]) -> pairs of keys (u > v) that meet at an anchor, within `reach` bits, and, as rows
-    with u = v, the anchors that have more of them. With `still` (anchor), the pairs of open_pairs at those anchors."""
-    columns = ["key", "fp"] + (["root"] if still is not None else [])
+    with u = v, the anchors that have more of them. Of nodes with roots, pairs of different roots. With `still`
+    (anchor), the pairs of open_pairs at those anchors."""
+    columns = ["key", "fp"] + (["root"] if "root" in nodes.columns else [])
+    later = still is not None
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cover = Covering()
@@ -321,7 +348,10 @@ def candidates(nodes: DataFrame, radius: int, reach: int, still: DataFrame | Non
         held = [np.zeros(0, np.int64)] * (len(columns) + 1)
 
         def pairs(anchor: np.ndarray, key: np.ndarray, fp: np.ndarray, *root: np.ndarray) -> pa.RecordBatch:
-            x, y, more = open_pairs(anchor, fp, *root, reach, low, high) if root else close_pairs(anchor, key, fp, reach)
+            if later:
+                x, y, more = open_pairs(anchor, fp, *root, reach, low, high)
+            else:
+                x, y, more = apart_pairs(anchor, key, fp, *root, reach) if root else close_pairs(anchor, key, fp, reach)
             return pa.RecordBatch.from_arrays([pa.array(np.append(key[x], more)), pa.array(np.append(key[y], more))], ["u", "v"])
 
         for batch in batches:
@@ -371,25 +401,32 @@ def near_links(prints: DataFrame, keyed: DataFrame, width: int, least: float, ra
     """Links (u, v) of keys of similar texts, enough to join each group: no candidate pair stays uncompared unless
     its ends are joined already.
 
-    Anchors of few texts give all their pairs at once, crowded ones those with their leaders; then crowded anchors
-    whose texts are still in different groups give their other pairs, near rows first and farther ones in later rounds.
+    Each fingerprint in turn: anchors of few texts give all their pairs at once, crowded ones those with their
+    leaders; then crowded anchors whose texts are still in different groups give their other pairs, near rows first
+    and farther ones in later rounds. The next fingerprint gives pairs of different groups only.
     """
-    spark, nodes = prints.sparkSession, prints.select("key", "fp").distinct()
-    edges = spark.createDataFrame([], "u bigint, v bigint")
-    seen, still, low, high = edges, None, 1, FAR
-    while True:
-        if still is None:
-            met = written(candidates(nodes, radius, reach), "near-candidates")
-        else:
-            rooted = nodes.join(components(edges, "near-rounds").withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-            met = written(candidates(rooted, radius, reach, still, low, high), "near-candidates")
-            low, high = high, high * FAR
-        pairs = written(met.where("u <> v").join(seen, ["u", "v"], "left_anti"), "near-pairs")
-        if not pairs.isEmpty():
-            edges = edges.union(written(similar(pairs, shown_texts(pairs, prints, keyed, width), width, least), "near-found"))
-        seen, still = seen.union(pairs), met.where("u = v").select(F.col("u").alias("anchor"))
-        if still.isEmpty():
-            return edges
+    edges = prints.sparkSession.createDataFrame([], "u bigint, v bigint")
+    seen = edges
+
+    def rooted(nodes: DataFrame) -> DataFrame:
+        return nodes.join(components(edges, "near-rounds").withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+
+    for n in range(PRINTS):
+        nodes = prints.select("key", F.col(f"fp{n}").alias("fp")).distinct()
+        still, low, high = None, 1, FAR
+        while True:
+            if still is None:
+                met = written(candidates(rooted(nodes) if n else nodes, radius, reach), "near-candidates")
+            else:
+                met = written(candidates(rooted(nodes), radius, reach, still, low, high), "near-candidates")
+                low, high = high, high * FAR
+            pairs = written(met.where("u <> v").join(seen, ["u", "v"], "left_anti"), "near-pairs")
+            if not pairs.isEmpty():
+                edges = edges.union(written(similar(pairs, shown_texts(pairs, prints, keyed, width), width, least), "near-found"))
+            seen, still = seen.union(pairs), met.where("u = v").select(F.col("u").alias("anchor"))
+            if still.isEmpty():
+                break
+    return edges
 
 
 def shown_texts(pairs: DataFrame, prints: DataFrame, keyed: DataFrame, width: int) -> DataFrame:
@@ -410,8 +447,8 @@ def deduplicated(docs: DataFrame, width: int = 5, least: float = 0.8, radius: in
     """`docs` without near copies: of each group the smallest doc_id stays (null first; of equal ids the least text hash).
 
     A group is joined by links of texts whose shingles of `width` words have a similarity of `least` or more, each
-    checked exactly. Candidates are texts whose fingerprints of distinct words meet at an anchor of a point within
-    `radius` bits and differ in at most `reach`. Texts alike but for blanks and the case of A-Z are copies; null and
+    checked exactly. Candidates are texts of which one of PRINTS fingerprints of distinct words meets at an anchor of
+    a point within `radius` bits and differs in at most `reach`. Texts alike but for blanks and the case of A-Z are copies; null and
     empty texts are copies of each other.
     """
     keyed = docs.withColumn("__t", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
