@@ -1,5 +1,8 @@
 """Queries do their whole job, not a part of it."""
 
+import difflib
+
+from tradeloom.operators import resolve
 from tradeloom.plans import registry
 from tradeloom.sources.fixtures import frame
 
@@ -15,3 +18,32 @@ def test_every_customer_with_a_part_is_a_requirement(spark):
     kinds = {(r.specification, r.operator) for r in frame(spark, SF, "criteria").collect()}
     assert kinds == {("color", "eq"), ("size", "gte"), ("price", "lte"), ("size", "range")}
     assert {r.requirement_id % 5 for r in frame(spark, SF, "criteria").collect()} == {0, 1, 2, 3}
+
+
+def test_similar_names_decide(spark):
+    o = spark.createDataFrame([(1, "Alpha Bearings Works", None), (2, "Zeta Quartz", None), (3, "Omega Pipe Mill", None), (4, None, None), (5, "Alpha Bearing Work", "U3"), (6, "Gamma Tool", None)], "observation_id bigint, name string, strong_id string").selectExpr("*", "string(null) AS website", "string(null) AS state", "string(null) AS city")
+    c = spark.createDataFrame([(1, "Alpha Bearing Works", None), (2, "Alpha Bearings Worx", "U2"), (3, "Omega Pipes Mill", "U3"), (4, "Gamma Tools", None)], "company_id bigint, name string, cin string").selectExpr("*", "string(null) AS website", "string(null) AS state", "string(null) AS city")
+    out = {r.observation_id: (r.state, r.company_id, r.signals) for r in resolve.all_decisions(o, c).collect()}
+    # observation 1: company 1 is more similar or as similar, but company 2 has a CIN
+    assert out == {1: ("REVIEW_REQUIRED", 2, "fuzzy"), 2: ("NEW", None, ""), 3: ("REVIEW_REQUIRED", 3, "fuzzy"), 4: ("NO_MATCH", None, ""), 5: ("AUTO_MATCH", 3, "fuzzy,strong_id"), 6: ("REVIEW_REQUIRED", 4, "fuzzy")}
+
+
+def test_all_decisions_equal_brute_force(spark):
+    o, c = frame(spark, SF, "observations"), frame(spark, SF, "companies")
+    known = [r for r in resolve.keyed(c).collect() if r.k_name]
+    want, fuzzy = {}, 0
+    for r in resolve.keyed(o).collect():
+        if r.name is None:
+            want[r.observation_id] = ("NO_MATCH", None)
+            continue
+        strong = [k.company_id for k in known if r.strong_id and k.cin == r.strong_id]
+        domain = [k.company_id for k in known if r.k_domain and k.k_domain == r.k_domain]
+        name = [k for k in known if k.k_name == r.k_name]
+        there = [k for k in name if r.k_state and r.k_city and (k.k_state, k.k_city) == (r.k_state, r.k_city)]
+        near = sorted([(-ratio, k.company_id, k) for k in known if not name and (ratio := difflib.SequenceMatcher(None, r.k_name, k.k_name).ratio()) >= 0.72], key=lambda x: x[:2])
+        conflict = [k.company_id for k in name + [x[2] for x in near] if k.cin]
+        weak = [min(ids) for ids in (domain, [k.company_id for k in there], [k.company_id for k in name], [x[1] for x in near[:1]]) if ids]
+        fuzzy += bool(near) and not strong and not domain
+        want[r.observation_id] = ("AUTO_MATCH", min(strong)) if strong else ("REVIEW_REQUIRED", min(conflict) if conflict else weak[0]) if conflict or weak else ("NEW", None)
+    got = {r.observation_id: (r.state, r.company_id) for r in registry.QUERIES["resolve_all_decisions"](spark, SF).collect()}
+    assert fuzzy and got == want

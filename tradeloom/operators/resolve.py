@@ -40,7 +40,7 @@ def decide(observations: DataFrame, signals: DataFrame) -> DataFrame:
     """One aggregate by observation, then the ordered rules."""
     names = ("strong_id", "domain", "name_address", "name", "fuzzy")
     per = signals.groupBy("observation_id").agg(
-        *[F.min(F.when(F.col("signal") == s, F.col("company_id"))).alias(s) for s in names], F.min(F.when(F.col("signal").isin("name", "name_address"), F.col("with_cin"))).alias("conflict"), F.array_join(F.array_sort(F.collect_set("signal")), ",").alias("signals")
+        *[F.min(F.when(F.col("signal") == s, F.col("company_id"))).alias(s) for s in names], F.min(F.when(F.col("signal").isin("name", "name_address", "fuzzy"), F.col("with_cin"))).alias("conflict"), F.array_join(F.array_sort(F.collect_set("signal")), ",").alias("signals")
     )
     out = observations.select("observation_id", F.col("name").alias("given")).join(per, "observation_id", "left")
     weak = F.coalesce("domain", "name_address", "name", "fuzzy")
@@ -81,9 +81,15 @@ def similar_names(left: DataFrame, right: DataFrame, least: float = SIMILAR) ->
 
 
 def fuzzy_signals(observations: DataFrame, companies: DataFrame, exact: DataFrame) -> DataFrame:
-    """Best similar name of each observation that no name equals."""
+    """Best similar name of each observation that no name equals; with_cin is the first of all similar ones that has a CIN."""
     unnamed = keyed(observations.where("name IS NOT NULL")).join(exact.where("signal = 'name'"), "observation_id", "left_anti").where("k_name IS NOT NULL")
-    known = keyed(companies).where("k_name IS NOT NULL").groupBy("k_name").agg(F.min("company_id").alias("company_id"))
+    known = keyed(companies).where("k_name IS NOT NULL").groupBy("k_name").agg(F.min("company_id").alias("company_id"), F.min(F.when(F.col("cin").isNotNull(), F.col("company_id"))).alias("with_cin"))
     pairs = similar_names(unnamed.select(F.col("k_name").alias("a")).distinct(), known.select(F.col("k_name").alias("b")))
-    best = pairs.join(known, F.col("b") == F.col("k_name")).groupBy("a").agg(F.max_by("company_id", F.struct("ratio", -F.col("company_id"))).alias("company_id"), F.max("ratio").alias("ratio"))
-    return unnamed.join(best, F.col("k_name") == F.col("a")).select("observation_id", F.lit("fuzzy").alias("signal"), "company_id", F.lit(None).cast("bigint").alias("with_cin"), "ratio")
+    best = pairs.join(known, F.col("b") == F.col("k_name")).groupBy("a").agg(F.max_by("company_id", F.struct("ratio", -F.col("company_id"))).alias("company_id"), F.min("with_cin").alias("with_cin"), F.max("ratio").alias("ratio"))
+    return unnamed.join(best, F.col("k_name") == F.col("a")).select("observation_id", F.lit("fuzzy").alias("signal"), "company_id", "with_cin", "ratio")
+
+
+def all_decisions(observations: DataFrame, companies: DataFrame) -> DataFrame:
+    """decide over exact and similar names."""
+    exact = exact_signals(observations, companies)
+    return decide(observations, exact.unionByName(fuzzy_signals(observations, companies, exact).drop("ratio")))

@@ -75,6 +75,7 @@ QUERIES: dict[str, Query] = {
     "registry_pages": over("companies")(lambda c: payloads.registry(payloads.as_registry_pages(c))),
     "resolve_signals": over("observations", "companies")(lambda o, c: resolve.exact_signals(o, c).select("observation_id", "signal", "company_id")),
     "resolve_decisions": over("observations", "companies")(lambda o, c: resolve.decide(o, resolve.exact_signals(o, c))),
+    "resolve_all_decisions": over("observations", "companies")(resolve.all_decisions),
     "resolve_fuzzy": over("observations", "companies")(lambda o, c: resolve.fuzzy_signals(o, c, resolve.exact_signals(o, c)).select("observation_id", "company_id", "ratio")),
     "promote": over("observations", "companies")(promote.promote),
     "slugs": over("observations", "companies")(lambda o, c: promote.allocate_slugs(o.where("name IS NOT NULL").select(F.col("observation_id").alias("id"), "name"), c.select(text.slug(F.col("name")).alias("slug")).distinct())),
