@@ -2,7 +2,7 @@
 
 import difflib
 
-from tradeloom.operators import resolve
+from tradeloom.operators import graph, resolve
 from tradeloom.plans import registry
 from tradeloom.sources.fixtures import frame
 
@@ -47,3 +47,33 @@ def test_all_decisions_equal_brute_force(spark):
         want[r.observation_id] = ("AUTO_MATCH", min(strong)) if strong else ("REVIEW_REQUIRED", min(conflict) if conflict else weak[0]) if conflict or weak else ("NEW", None)
     got = {r.observation_id: (r.state, r.company_id) for r in registry.QUERIES["resolve_all_decisions"](spark, SF).collect()}
     assert fuzzy and got == want
+
+
+def searched(requirements, companies):
+    """(requirement, company, matched_on), one requirement at a time."""
+    low = lambda x: None if x is None else x.lower()
+    out = set()
+    for r in requirements:
+        term, country, city = [(low(x) or "").strip() for x in (r.term, r.country, r.city)]
+        held = lambda x, y: not x or (y is not None and x in low(y))
+        here = [c for c in companies if c.status == "active" and held(country, c.country) and held(city, c.city)]
+        hits = [c for c in here if held(term, c.industry)] or [c for c in here if term and held(term, c.name)]
+        for c in hits:
+            on = {"term": term and (term in (low(c.industry) or "") or term in low(c.name)), "country": country and low(c.country) == country, "city": city and low(c.city) == city}
+            out.add((r.requirement_id, c.company_id, ",".join(k for k, v in on.items() if v)))
+    return out
+
+
+def test_requirements_are_searched_by_term(spark):
+    c = spark.createDataFrame([(1, "Bolt House", "Steel", "India", "Pune", "active"), (2, "Old Bolts", "steel", "India", "Pune", "archived"), (3, "Ring Works", "Steel pipes", "INDIA", "Surat", "active"), (4, "Bolt Shop", None, "Norway", None, "active"), (5, "X", "Wood", None, "Oslo", "active")], "company_id bigint, name string, industry string, country string, city string, status string")
+    r = spark.createDataFrame([(1, "steel", " india", None), (2, "Steel", None, "Pune"), (3, "bolt", None, None), (4, "bolt", "norway", "Oslo"), (5, None, None, "oslo"), (6, "glass", "India", "Pune"), (7, None, None, None), (8, " ", "India", "")], "requirement_id bigint, term string, country string, city string")
+    got = [tuple(x) for x in graph.term_search(r, c).collect()]
+    assert len(got) == len(set(got)) and set(got) == searched(r.collect(), c.collect())
+    assert {(1, 1, "term,country"), (1, 3, "term,country"), (3, 4, "term"), (5, 5, "city")} <= set(got) and {k for k, *_ in got} == {1, 2, 3, 5, 7, 8}
+
+
+def test_term_search_equals_brute_force(spark):
+    r, c = frame(spark, SF, "requirements"), frame(spark, SF, "companies")
+    got = [tuple(x) for x in registry.QUERIES["requirement_term_search"](spark, SF).collect()]
+    want = searched(r.selectExpr("requirement_id", "split_part(category_id, '/', 1) AS term", "country", "city").collect(), c.collect())
+    assert len(got) == len(set(got)) and set(got) == want and want

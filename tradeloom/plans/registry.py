@@ -93,6 +93,7 @@ QUERIES: dict[str, Query] = {
     "product_search": over("products", "offerings")(lambda p, o: graph.product_search(p, o, "ring")),
     "discover": over("companies")(lambda c: graph.discover(c, "on")),
     "requirement_search": over("requirements", "companies")(graph.requirement_search),
+    "requirement_term_search": over("requirements", "companies")(lambda r, c: graph.term_search(r.withColumn("term", F.split_part("category_id", F.lit("/"), F.lit(1))), c)),
     "integrity": over("offerings", "companies", "provenance")(graph.integrity),
     "token_reuse": over("auth_events")(sessions.token_reuse),
     "session_expiry": over("auth_events")(lambda e: sessions.session_expiry(e, 3600)),
