@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Scratch
 
 
 def large_star(edges: DataFrame) -> DataFrame:
@@ -21,20 +21,20 @@ def small_star(edges: DataFrame) -> DataFrame:
     return down.join(least, "u").where("v <> m").select("v", "m").union(least.select("u", "m")).toDF("u", "v").distinct()
 
 
-def components(edges: DataFrame, name: str = "stars") -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, name: str = "stars") -> DataFrame:
     """edges (u, v) of one ordered type -> (node, root): root is the smallest node reachable, for nodes with links.
 
     Stops when a round leaves the edge set as it was (row count and two order-free sums of hashes). Nothing but
-    these three numbers reaches the driver.
+    these three numbers reaches the driver. The result is the scratch table `name`; each round replaces the last.
     """
-    edges = written(edges.where("u <> v").select("u", "v").distinct(), name)
+    edges = scratch.write(name, edges.where("u <> v").select("u", "v").distinct())
     mark = None
     while True:
         sums = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.hash("v", "u").cast("bigint"))).first()
         if mark == tuple(sums) or not sums[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         mark = tuple(sums)
-        edges = written(small_star(large_star(edges)), name)
+        edges = scratch.write(name, small_star(large_star(edges)))
 
 
 def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -25,9 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import byte_values, powers
 from .common import local_path, mix64, new_path, text_chunks, written
-from .shingles import words
+from .shingles import word_hashes, words
 
 START, UNKNOWN = 0xFFFFFFFE, 0xFFFFFFFF
 END_HASH = np.uint64(0x1D1E57A0C0FFEE11)
@@ -45,14 +44,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     is_end = np.zeros(len(out), bool)
     is_end[np.cumsum(n + 1) - 1] = True
     out[is_end] = END_HASH
-    if len(starts):
-        size = np.diff(np.append(starts, len(text)))
-        place = np.arange(len(text)) - np.repeat(starts, size)
-        most = int(size.max())
-        up, _ = powers(1 << max(12, most.bit_length()))
-        mixed = byte_values()[text] * up[place]
-        mixed[ends[:-1]] = 0  # the blanks between words
-        out[~is_end] = mix64(np.add.reduceat(mixed, starts) ^ (ends - starts).astype(np.uint64))
+    out[~is_end] = word_hashes(text, starts, ends)
     return out, n + 1
 
 

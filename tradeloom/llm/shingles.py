@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 
+from .anchors import STEP, byte_values, powers
+from .common import mix64
+
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -40,3 +43,25 @@ def spans(first: np.ndarray, starts: np.ndarray, ends: np.ndarray, width: int) -
     at = first[:-1][owner] + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
     last = np.minimum(at + width, first[1:][owner]) - 1
     return starts[at], ends[last], owner
+
+
+def word_hashes(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word of words()."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    size = np.diff(np.append(starts, len(text)))
+    place = np.arange(len(text)) - np.repeat(starts, size)
+    up, _ = powers(1 << max(12, int(size.max()).bit_length()))
+    mixed = byte_values()[text] * up[place]
+    mixed[ends[:-1]] = 0  # the blanks between words
+    return mix64(np.add.reduceat(mixed, starts) ^ (ends - starts).astype(np.uint64))
+
+
+def shingle_hashes(h: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, owner) of each shingle of `width` words, from words' hashes; fewer words: the whole sequence."""
+    at, _, owner = spans(first, np.arange(len(h)), np.arange(len(h)), width)
+    stop, out = first[1:][owner], np.zeros(len(at), np.uint64)
+    for k in range(width):
+        inside = at + k < stop
+        out = mix64(out * STEP + np.where(inside, h[np.minimum(at + k, len(h) - 1)], np.uint64(0)) + np.uint64(1))
+    return out, owner

@@ -13,6 +13,7 @@ an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_chunks, written
+from .common import Scratch, text_chunks
 from .components import components, local_components
 from .shingles import spans, words
 
@@ -30,26 +31,33 @@ SEED = 42
 GOLAY, BLOCK = 0xC75, 23
 #: Groups up to this size are compared pair by pair; larger ones through the points between.
 PAIRWISE = 96
-#: Groups of candidates up to this size give all their close pairs.
-FEW = 8
-#: Rows of crowded groups meet up to this many rows apart at first, then by as many times more in each round.
-FAR = 64
-#: Buckets of a text's sketch.
-SKETCH = 128
-#: Independent fingerprints of a text's words.
-PRINTS = 4
-
-
-def majority(h: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    """For each of n owners (`owner` ascends): bit i is 1 if set in over half of its hashes."""
-    counts = np.zeros((n, 64), np.int32)
-    for i in range(0, len(h), 1 << 18):  # a bounded table of bits at a time
-        own = owner[i : i + (1 << 18)]
-        heads = np.flatnonzero(np.diff(own, prepend=-1))
-        bits = np.unpackbits(h[i : i + (1 << 18)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        counts[own[heads]] += np.add.reduceat(bits, heads, axis=0, dtype=np.int32)
+
+
+@lru_cache(1)
+def lanes() -> np.ndarray:
+    """The bits of each byte, one to each byte of a 64-bit number."""
+    return np.array([sum((b >> k & 1) << 8 * k for k in range(8)) for b in range(256)], np.uint64)
+
+
+def majority(h: np.ndarray, owner: np.ndarray, n: int, used: int = 8) -> np.ndarray:
+    """For each of n owners (`owner` ascends): bit i is 1 if set in over half of its hashes, in the lowest `used` bytes.
+
+    Eight bits are added at once, in stretches of at most 255 hashes, which no lane outgrows.
+    """
     total = np.bincount(owner, minlength=n)
-    return np.packbits(2 * counts > total[:, None], axis=1).reshape(-1, 8).copy().view(">u8").ravel().astype(np.uint64).view(np.int64)
+    counts = np.zeros((n, 8 * used), np.int64)
+    if len(h):
+        place = np.arange(len(h)) - np.repeat(np.cumsum(total) - total, total)
+        heads = np.flatnonzero(place % 255 == 0)
+        own = owner[heads]
+        firsts = np.flatnonzero(np.diff(own, prepend=-1))
+        each = h.astype("<u8").view(np.uint8).reshape(-1, 8)
+        for b in range(used):
+            part = np.add.reduceat(lanes()[each[:, b]], heads).astype("<u8").view(np.uint8).reshape(-1, 8)
+            counts[own[firsts], 8 * b : 8 * b + 8] = np.add.reduceat(part, firsts, axis=0, dtype=np.int64)
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :used] = np.packbits(2 * counts > total[:, None], axis=1, bitorder="little")
+    return out.view("<i8").ravel().astype(np.int64)
 
 
 def hashes(raw: bytes, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -57,16 +65,6 @@ def hashes(raw: bytes, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.fromiter((digest(raw[x:y], SEED) for x, y in zip(a.tolist(), b.tolist())), np.uint64, len(a))
 
 
-def reseeded(h: np.ndarray, n: int) -> np.ndarray:
-    """The n-th family of hashes from one; the first is h itself."""
-    if not n:
-        return h
-    z = h + np.uint64(n * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
-
-
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """(doc_id, fp bigint): bit i is 1 if set in over half the XXH64 hashes of the word shingles, repeats included."""
 
@@ -80,31 +78,6 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, fp bigint")
 
 
-def word_prints(docs: DataFrame) -> DataFrame:
-    """(d, t, key, fp0, fp1, ...): doc_id, hash of the text, hash of its words in lower case, PRINTS independent
-    fingerprints of its distinct words.
-
-    A changed word touches five shingles of five words but one word, so texts whose shingles are similar have
-    fingerprints of words that differ in few bits, and a pair that one fingerprint misses is found by another.
-    """
-    names = [f"fp{n}" for n in range(PRINTS)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in text_chunks(batches, "text", 2 << 20):
-            text, starts, ends, first = words(data, offsets)
-            raw, owner = text.tobytes(), np.repeat(np.arange(len(part)), np.diff(first))
-            h = hashes(raw, starts, ends)
-            order = np.lexsort((h, owner))
-            h, owner = h[order], owner[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-            key = [xxhash.xxh64_intdigest(raw[starts[x] : ends[y - 1]] if y > x else b"", SEED) for x, y in zip(first[:-1].tolist(), first[1:].tolist())]
-            fps = [pa.array(majority(reseeded(h[new], n), owner[new], len(part))) for n in range(PRINTS)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.array(key, np.uint64).view(np.int64)), *fps], ["d", "t", "key", *names])
-
-    return docs.select("doc_id", "__t", F.col("text").cast("string").alias("text")).mapInArrow(run, ", ".join(f"{c} bigint" for c in ["d", "t", "key", *names]))
-
-
 class Covering:
     def __init__(self) -> None:
         one = np.zeros(BLOCK, np.int64)
@@ -199,6 +172,22 @@ def compare(anchor: np.ndarray, fp: np.ndarray, threshold: int) -> tuple[np.ndar
     return fp[rows[far]], fp[label[far]]
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """The columns of sorted rows in stretches that end where the first column changes."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        columns = [c.to_numpy() for c in batch.columns]
+        if not batch.num_rows:
+            continue
+        if held and (cut := int(np.searchsorted(columns[0], columns[0][-1]))) + (held[-1][0][-1] != columns[0][0]):  # else one group goes on
+            held.append([c[:cut] for c in columns])
+            yield tuple(np.concatenate(x) for x in zip(*held))
+            held, columns = [], [c[cut:] for c in columns]
+        held.append(columns)
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held))
+
+
 def links(prints: DataFrame, threshold: int = 2) -> DataFrame:
     """Distinct fp -> edges (u, v) whose components are those of all links; at most one edge per replica."""
 
@@ -211,255 +200,26 @@ def links(prints: DataFrame, threshold: int = 2) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(fp[i : i + step][row])], ["anchor", "fp"])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
-
-        def edges(anchor: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        for anchor, fp in whole_groups(batches):
             u, v = compare(anchor, fp, threshold)
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
-
-        for batch in batches:
-            anchor, fp = (np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held))
-            cut = int(np.searchsorted(anchor, anchor[-1])) if len(anchor) else 0  # the last group may go on
-            if cut:
-                yield edges(anchor[:cut], fp[:cut])
-            held = [anchor[cut:], fp[cut:]]
-        if len(held[0]):
-            yield edges(*held)
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
     dealt = prints.select("fp").distinct().mapInArrow(replicate, "anchor bigint, fp bigint").repartition("anchor").sortWithinPartitions("anchor", "fp")
     return dealt.mapInArrow(link, "u bigint, v bigint")
 
 
-def classes(prints: DataFrame, threshold: int = 2) -> DataFrame:
+def classes(prints: DataFrame, scratch: Scratch, threshold: int = 2) -> DataFrame:
     """(doc_id, fp) -> (doc_id, fp, component_id): the smallest doc_id reachable over links of fingerprints."""
-    root = components(links(prints, threshold), "simhash-links")
+    root = components(links(prints, threshold), scratch, "simhash-links")
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     rooted = least.join(root.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(rooted.join(named, "root").select("fp", "component_id"), "fp")
+    named = scratch.write("simhash-classes", rooted.join(named, "root").select("fp", "component_id"))  # written, so that a join on a hot fingerprint can be split
+    scratch.drop("simhash-links")
+    return prints.join(named, "fp")
 
 
 def op7(docs: DataFrame, width: int = 3, threshold: int = 2) -> DataFrame:
-    prints = written(fingerprints(docs, width), "simhash")
-    return classes(prints, threshold).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def shingle_set(text: str, width: int) -> set[bytes]:
-    """Distinct word shingles, A-Z in lower case; fewer words: the whole sequence."""
-    w = text.encode("utf-8", "surrogatepass").lower().split()
-    return {b" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
-
-
-def similarity(a: set[bytes], b: set[bytes]) -> float:
-    """Jaccard similarity; 1 for two texts without words."""
-    both = len(a & b)
-    return both / (len(a) + len(b) - both) if a or b else 1.0
-
-
-def sketch(shingles: set[bytes]) -> bytes:
-    """How many distinct shingles fall into each of SKETCH buckets."""
-    h = np.fromiter((xxhash.xxh64_intdigest(x, SEED) % SKETCH for x in shingles), np.int64, len(shingles))
-    return np.bincount(h, minlength=SKETCH).astype("<i4").tobytes()
-
-
-def close_pairs(anchor: np.ndarray, key: np.ndarray, fp: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows sorted by (anchor, key), whole groups: index pairs (later, earlier) within `reach` bits, anchors left open.
-
-    All such pairs of small groups. In larger ones each row is paired with one leader, the first row of the group
-    that no earlier leader reached; their anchors stay open for open_pairs.
-    """
-    n = len(fp)
-    heads = np.flatnonzero(np.diff(anchor, prepend=anchor[0] - 1 if n else 0))
-    size = np.diff(np.append(heads, n))
-    left = np.repeat(heads + size, size) - np.arange(n) - 1
-    small = np.repeat(size <= FEW, size)
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for lag in range(1, FEW):
-        x = np.flatnonzero(small & (left >= lag))
-        x = x[bit_count(fp[x] ^ fp[x + lag]) <= reach]
-        a.append(x + lag)
-        b.append(x)
-    for g in np.flatnonzero(size > FEW):
-        rest = np.arange(heads[g], heads[g] + size[g])
-        while len(rest) > 1:
-            near = bit_count(fp[rest] ^ fp[rest[0]]) <= reach
-            members = rest[near][1:]
-            a.append(members)
-            b.append(np.full(len(members), rest[0]))
-            rest = rest[~near]
-    return np.concatenate(a), np.concatenate(b), anchor[heads[size > FEW]]
-
-
-def apart_pairs(anchor: np.ndarray, key: np.ndarray, fp: np.ndarray, root: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """close_pairs without pairs of one root and without open anchors that have one root only."""
-    x, y, more = close_pairs(anchor, key, fp, reach)
-    ends = np.append(np.flatnonzero(np.diff(anchor)) + 1, len(anchor)) if len(anchor) else np.zeros(0, np.int64)
-    heads = np.append(0, ends)[:-1]
-    several = anchor[heads[np.minimum.reduceat(root, heads) < np.maximum.reduceat(root, heads)]] if len(heads) else anchor
-    apart = root[x] != root[y]
-    return x[apart], y[apart], more[np.isin(more, several)]
-
-
-def open_pairs(anchor: np.ndarray, fp: np.ndarray, root: np.ndarray, reach: int, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows sorted by (anchor, key), whole groups: index pairs (later, earlier) within `reach` bits, of different roots
-    and `low` to `high` - 1 rows apart; anchors that have such pairs farther apart."""
-    n = len(fp)
-    heads = np.flatnonzero(np.diff(anchor, prepend=anchor[0] - 1 if n else 0))
-    ends = np.append(heads, n)[1:]
-    a, b, still = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
-    for start, end in zip(heads.tolist(), ends.tolist()):
-        f, r = fp[start:end], root[start:end]
-        _, kind, count = np.unique(r, return_inverse=True, return_counts=True)
-        if len(count) < 2:
-            continue
-        # pairs within the largest component need no look, so one side of each pair is outside it
-        outside, places = kind != count.argmax(), np.arange(end - start)
-        rows, far = np.flatnonzero(outside), False
-        for i in range(0, len(rows), step := max(1, (1 << 20) // len(f))):
-            mine = rows[i : i + step, None]
-            x, y = np.nonzero((bit_count(f[mine] ^ f[None, :]) <= reach) & (r[mine] != r[None, :]) & (~outside[None, :] | (places[None, :] < mine)))
-            x = mine[x, 0]
-            lag = np.abs(x - y)
-            far = far or bool((lag >= high).any())
-            now = (lag >= low) & (lag < high)
-            a.append(np.maximum(x, y)[now] + start)
-            b.append(np.minimum(x, y)[now] + start)
-        if far:
-            still.append(anchor[start])
-    return np.concatenate(a), np.concatenate(b), np.array(still, np.int64)
-
-
-def candidates(nodes: DataFrame, radius: int, reach: int, still: DataFrame | None = None, low: int = 1, high: int = 1) -> DataFrame:
-    """Distinct (key, fp[, root]) -> pairs of keys (u > v) that meet at an anchor, within `reach` bits, and, as rows
-    with u = v, the anchors that have more of them. Of nodes with roots, pairs of different roots. With `still`
-    (anchor), the pairs of open_pairs at those anchors."""
-    columns = ["key", "fp"] + (["root"] if "root" in nodes.columns else [])
-    later = still is not None
-
-    def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cover = Covering()
-        for batch in batches:
-            held = [c.to_numpy() for c in batch.columns]
-            for i in range(0, batch.num_rows, 2_000):
-                anchor, row = cover.anchors(held[1][i : i + 2_000], radius)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), *[pa.array(h[i : i + 2_000][row]) for h in held]], ["anchor", *columns])
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * (len(columns) + 1)
-
-        def pairs(anchor: np.ndarray, key: np.ndarray, fp: np.ndarray, *root: np.ndarray) -> pa.RecordBatch:
-            if later:
-                x, y, more = open_pairs(anchor, fp, *root, reach, low, high)
-            else:
-                x, y, more = apart_pairs(anchor, key, fp, *root, reach) if root else close_pairs(anchor, key, fp, reach)
-            return pa.RecordBatch.from_arrays([pa.array(np.append(key[x], more)), pa.array(np.append(key[y], more))], ["u", "v"])
-
-        for batch in batches:
-            held = [np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held)]
-            cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # the last group may go on
-            if cut:
-                yield pairs(*[h[:cut] for h in held])
-                held = [h[cut:] for h in held]
-        if len(held[0]):
-            yield pairs(*held)
-
-    schema = ", ".join(f"{c} bigint" for c in ["anchor", *columns])
-    dealt = nodes.select(*columns).mapInArrow(replicate, schema)
-    if still is not None:
-        dealt = dealt.join(still, "anchor", "left_semi")
-    return dealt.repartition("anchor").sortWithinPartitions("anchor", "key").mapInArrow(meet, "u bigint, v bigint").distinct()
-
-
-def similar(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
-    """The pairs (u, v) of keys whose texts' word shingles have at least that Jaccard similarity, exactly.
-
-    Two texts share no more shingles than the lesser counts of each bucket add up to, so pairs whose sketches rule
-    out the similarity go, none that has it, before any text is sent.
-    """
-
-    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<i4").reshape(-1, SKETCH) for i in (2, 3))
-            both = np.minimum(a, b).sum(1)
-            ok = both + 1e-6 >= least * (a.sum(1) + b.sum(1) - both)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(ok))
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            near = [similarity(shingle_set(x, width), shingle_set(y, width)) >= least for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(near, pa.bool_()))
-
-    def joined(df: DataFrame, column: str) -> DataFrame:
-        one, other = (texts.select(F.col("key").alias(k), F.col(column).alias(f"{k}_{column}")) for k in "uv")
-        return df.join(one, "u").join(other, "v").select("u", "v", f"u_{column}", f"v_{column}")
-
-    left = written(joined(pairs, "sketch").mapInArrow(possible, "u bigint, v bigint"), "near-possible")
-    return joined(left, "text").mapInArrow(judge, "u bigint, v bigint")
-
-
-def near_links(prints: DataFrame, keyed: DataFrame, width: int, least: float, radius: int, reach: int) -> DataFrame:
-    """Links (u, v) of keys of similar texts, enough to join each group: no candidate pair stays uncompared unless
-    its ends are joined already.
-
-    Each fingerprint in turn: anchors of few texts give all their pairs at once, crowded ones those with their
-    leaders; then crowded anchors whose texts are still in different groups give their other pairs, near rows first
-    and farther ones in later rounds. The next fingerprint gives pairs of different groups only.
-    """
-    edges = prints.sparkSession.createDataFrame([], "u bigint, v bigint")
-    seen = edges
-
-    def rooted(nodes: DataFrame) -> DataFrame:
-        return nodes.join(components(edges, "near-rounds").withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-
-    for n in range(PRINTS):
-        nodes = prints.select("key", F.col(f"fp{n}").alias("fp")).distinct()
-        still, low, high = None, 1, FAR
-        while True:
-            if still is None:
-                met = written(candidates(rooted(nodes) if n else nodes, radius, reach), "near-candidates")
-            else:
-                met = written(candidates(rooted(nodes), radius, reach, still, low, high), "near-candidates")
-                low, high = high, high * FAR
-            pairs = written(met.where("u <> v").join(seen, ["u", "v"], "left_anti"), "near-pairs")
-            if not pairs.isEmpty():
-                edges = edges.union(written(similar(pairs, shown_texts(pairs, prints, keyed, width), width, least), "near-found"))
-            seen, still = seen.union(pairs), met.where("u = v").select(F.col("u").alias("anchor"))
-            if still.isEmpty():
-                break
-    return edges
-
-
-def shown_texts(pairs: DataFrame, prints: DataFrame, keyed: DataFrame, width: int) -> DataFrame:
-    """(key, text, sketch) of the keys in `pairs`; of copies one text."""
-
-    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sketches = [sketch(shingle_set(x, width)) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sketches, pa.binary())], ["key", "text", "sketch"])
-
-    ends = pairs.select(F.col("u").alias("key")).union(pairs.select(F.col("v").alias("key"))).distinct()
-    shown = written(prints.groupBy("key").agg(F.min(F.struct("d", "t")).alias("first")).join(ends, "key").select("key", "first.*"), "near-shown")
-    texts = keyed.select("doc_id", "__t", "text").join(shown, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("__t") == F.col("t"))).select("key", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return written(texts.dropDuplicates(["key"]).mapInArrow(sketched, "key bigint, text string, sketch binary"), "near-texts")
-
-
-def deduplicated(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int = 2, reach: int = 10) -> DataFrame:
-    """`docs` without near copies: of each group the smallest doc_id stays (null first; of equal ids the least text hash).
-
-    A group is joined by links of texts whose shingles of `width` words have a similarity of `least` or more, each
-    checked exactly. Candidates are texts of which one of PRINTS fingerprints of distinct words meets at an anchor of
-    a point within `radius` bits and differs in at most `reach`. Texts alike but for blanks and the case of A-Z are copies; null and
-    empty texts are copies of each other.
-    """
-    keyed = docs.withColumn("__t", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    prints = written(word_prints(keyed), "prints")
-    root = components(near_links(prints, keyed, width, least, radius, reach), "near-links")
-    first = prints.groupBy("key").agg(F.min(F.struct("d", "t")).alias("first"), F.count(F.lit(1)).alias("n"))
-    rooted = first.join(root.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    stays = rooted.groupBy("root").agg(F.min("first").alias("stay"), F.sum("n").alias("n")).where("n > 1").select("root", "stay.*")
-    copies = written(rooted.join(stays, "root").select("key", F.col("d").alias("stay_d"), F.col("t").alias("stay_t")), "near-groups")
-    leaves = ~(F.col("d").eqNullSafe(F.col("stay_d")) & (F.col("t") == F.col("stay_t")))
-    gone = written(prints.join(copies, "key").where(leaves).select(F.col("d").alias("__d"), F.col("t").alias("__gone")).distinct(), "near-copies")
-    kept = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__t") == F.col("__gone")), "left_anti")
-    again = keyed.groupBy("doc_id", "__t").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
-    return (kept.dropDuplicates(["doc_id", "__t"]) if again else kept).drop("__t")
+    scratch = Scratch(docs.sparkSession)
+    prints = scratch.write("simhash", fingerprints(docs, width))
+    return classes(prints, scratch, threshold).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
