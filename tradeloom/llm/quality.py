@@ -3,10 +3,13 @@
 Each rule looks at counts of a text and votes good (1), bad (-1) or abstains (0). A text's votes are one of at most
 3 ** len(RULES) patterns; their counts, gathered in one row, are all that expectation-maximisation reads. It
 estimates the share of good texts and each rule's accuracy: how often it votes good, and bad, on texts of either kind.
-A vote counts by the ratio of its two rates; abstaining says nothing. A pattern's posterior probability of good comes
-back to the texts by a broadcast join of that bounded table.
+A vote counts by the ratio of its two rates, and only for what it says: rules are taken to be no worse than chance,
+and abstaining says nothing. With these limits the rounds are not a pure likelihood ascent; their number is fixed. A
+pattern's posterior probability of good comes back to the texts by a broadcast join of that bounded table.
 
-Null and blank texts have no words. Ties and repeated rows do not matter: all is per row. An empty table is empty.
+Null and blank texts have no words. Very long texts are counted whole; repeated windows are told by their words. Ties
+and repeated rows do not matter: all is per row. An empty table is empty. Other columns pass through, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -14,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch, whole_rows
+
 BLANKS = " \t\n\x0b\f\r"
 ROUNDS = 40
 #: A text is kept from this posterior probability of good quality on.
@@ -47,33 +52,35 @@ def without(text: str, pattern: str) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
 
 
-def counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """`docs` with the columns of COUNTS; columns of those names are replaced."""
-    n, windows = F.col("__n"), F.col("__windows")
-    out = docs.drop(*COUNTS).withColumn("__text", F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
-    trimmed = F.btrim(F.col("__text"), F.lit(BLANKS))
-    out = out.withColumn("__words", F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, "[ \\t-\\r]+")))
+def counts(rows: DataFrame, *keep: str) -> DataFrame:
+    """rows with `text` -> the columns `keep` and those of COUNTS."""
+    n, windows = F.col("w_n"), F.col("w_hashes")
+    out = rows.select(*[F.col(k).alias(f"k_{i}") for i, k in enumerate(keep)], F.coalesce(F.col("text").cast("string"), F.lit("")).alias("w_text"))
+    trimmed = F.btrim(F.col("w_text"), F.lit(BLANKS))
+    out = out.withColumn("w", F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, "[ \\t-\\r]+")))
     # the few characters that rules count, found in one pass
-    out = out.withColumn("__marks", F.regexp_replace("__text", "[^\\p{Lu}!#*$%&|<>]+", ""))
-    out = out.withColumn("__lines", F.filter(F.split("__text", "\n", -1), lambda x: F.btrim(x, F.lit(BLANKS)) != "")).withColumn("__n", F.size("__words"))
+    out = out.withColumn("w_marks", F.regexp_replace("w_text", "[^\\p{Lu}!#*$%&|<>]+", ""))
+    out = out.withColumn("w_lines", F.filter(F.split("w_text", "\n", -1), lambda x: F.btrim(x, F.lit(BLANKS)) != "")).withColumn("w_n", F.size("w"))
     # the words of a window are looked up in place: zipping three shifted arrays would copy every word three times
-    out = out.withColumn("__windows", F.expr("transform(slice(__words, 1, greatest(__n - 2, 0)), (w, i) -> xxhash64(w, get(__words, i + 1), get(__words, i + 2)))"))
-    # windows sorted by hash, with their place in the low bits; equal ones are then side by side
-    out = out.withColumn("__again", F.size(F.array_distinct(windows)) < F.size(windows)).withColumn("__low", F.expr("shiftleft(1L, length(bin(__n))) - 1"))
-    out = out.withColumn("__ranked", F.expr("CASE WHEN __again THEN sort_array(transform(__windows, (h, i) -> (h & ~__low) | CAST(i AS BIGINT))) END"))
-    twin = F.expr("transform(__ranked, (v, i) -> IF(((v ^ get(__ranked, i - 1)) & ~__low) = 0 OR ((v ^ get(__ranked, i + 1)) & ~__low) = 0, v & __low, -1L))")
-    out = out.withColumn("__starts", F.when(F.col("__again"), twin))
-    covered = F.expr("aggregate(sort_array(filter(__starts, x -> x >= 0)), named_struct('n', 0L, 'last', -3L), (a, x) -> named_struct('n', a.n + least(3L, x - a.last), 'last', x), a -> a.n)")
+    out = out.withColumn("w_hashes", F.expr("transform(slice(w, 1, greatest(w_n - 2, 0)), (x, i) -> xxhash64(x, get(w, i + 1), get(w, i + 2)))"))
+    # windows sorted by the high bits of their hash, with their place in the low ones: those that may be repeated
+    out = out.withColumn("w_again", F.size(F.array_distinct(windows)) < F.size(windows)).withColumn("w_low", F.expr("shiftleft(1L, length(bin(w_n))) - 1"))
+    out = out.withColumn("w_ranked", F.expr("CASE WHEN w_again THEN sort_array(transform(w_hashes, (h, i) -> (h & ~w_low) | CAST(i AS BIGINT))) END"))
+    out = out.withColumn("w_maybe", F.expr("filter(transform(w_ranked, (v, i) -> IF(((v ^ get(w_ranked, i - 1)) & ~w_low) = 0 OR ((v ^ get(w_ranked, i + 1)) & ~w_low) = 0, v & w_low, -1L)), x -> x >= 0)"))
+    # of those, equal ones side by side, told by their words
+    out = out.withColumn("w_sorted", F.expr("sort_array(transform(w_maybe, x -> named_struct('h', get(w_hashes, int(x)), 'w', array(get(w, int(x)), get(w, int(x) + 1), get(w, int(x) + 2)), 'i', x)))"))
+    out = out.withColumn("w_starts", F.expr("filter(transform(w_sorted, (v, i) -> IF((v.h = get(w_sorted, i - 1).h AND v.w = get(w_sorted, i - 1).w) OR (v.h = get(w_sorted, i + 1).h AND v.w = get(w_sorted, i + 1).w), v.i, -1L)), x -> x >= 0)"))
+    covered = F.expr("aggregate(sort_array(w_starts), named_struct('n', 0L, 'last', -3L), (a, x) -> named_struct('n', a.n + least(3L, x - a.last), 'last', x), a -> a.n)")
     return out.select(
-        *[F.col(f"`{c}`") for c in docs.drop(*COUNTS).columns],
+        *[F.col(f"k_{i}").alias(k) for i, k in enumerate(keep)],
         n.cast("bigint").alias("n_words"),
-        F.length(F.array_join("__words", "")).cast("bigint").alias("word_chars"),
-        without("__marks", "[#*$%&|<>]").cast("bigint").alias("n_symbols"),
-        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("bigint").alias("n_dup_lines"),
-        F.when(F.col("__again"), covered).otherwise(F.lit(0)).cast("bigint").alias("n_repeat_words"),
-        F.size("__lines").cast("bigint").alias("n_lines"),
-        without("__marks", "\\p{Lu}").cast("bigint").alias("n_upper"),
-        without("__marks", "!").cast("bigint").alias("n_shouts"),
+        F.length(F.array_join("w", "")).cast("bigint").alias("word_chars"),
+        without("w_marks", "[#*$%&|<>]").cast("bigint").alias("n_symbols"),
+        (F.size("w_lines") - F.size(F.array_distinct("w_lines"))).cast("bigint").alias("n_dup_lines"),
+        F.when(F.col("w_again"), covered).otherwise(F.lit(0)).cast("bigint").alias("n_repeat_words"),
+        F.size("w_lines").cast("bigint").alias("n_lines"),
+        without("w_marks", "\\p{Lu}").cast("bigint").alias("n_upper"),
+        without("w_marks", "!").cast("bigint").alias("n_shouts"),
     )
 
 
@@ -105,22 +112,25 @@ def posteriors(patterns: DataFrame) -> DataFrame:
     return fitted.select("k", "m", F.explode("p").alias("x")).select("x.pattern", F.expr(belief.format(m="m", v="x.v")).alias("quality"))
 
 
-def judged(docs: DataFrame, text: str = "text", save=lambda df: df) -> DataFrame:
-    """`docs` with COUNTS, base_failed, quality (posterior probability of good) and kept.
+def judged(rows: DataFrame, scratch: Scratch, *keep: str) -> DataFrame:
+    """rows with `text` -> the columns `keep`, COUNTS, base_failed, quality (posterior probability of good) and kept.
 
-    save: keeps the counted rows between their two readers, so that texts are counted once.
+    The counts, narrow, are written between their two readers, so that texts are counted once.
     """
-    seen = save(counts(docs, text).withColumn("pattern", pattern(rules())))
-    table = posteriors(seen.select("pattern"))
+    seen = scratch.write("quality-counts", counts(rows, *keep).withColumn("pattern", pattern(rules())))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    out = seen.join(F.broadcast(table), "pattern").drop("pattern").withColumn("base_failed", failed)
-    # one condition over both sides of the join: a filter on it stays above the counts instead of being unfolded below
-    return out.withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(F.col("quality") >= KEEP))
+    out = seen.join(F.broadcast(posteriors(seen.select("pattern"))), "pattern").withColumn("base_failed", failed)
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= KEEP)).drop("pattern")
 
 
-def op9(docs: DataFrame, save=lambda df: df) -> DataFrame:
-    """save: keeps the narrow counts between their two readers, for whoever has a shared folder."""
-    seen = save(counts(docs.select("doc_id", "text")).drop("text").withColumn("pattern", pattern(rules())))
-    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    out = seen.join(F.broadcast(posteriors(seen.select("pattern"))), "pattern").withColumn("base_failed", failed)
-    return out.select("doc_id", *COUNTS[:5], "base_failed", (~failed & (F.col("quality") >= KEEP)).alias("kept"), "quality")
+def kept(docs: DataFrame) -> DataFrame:
+    """`docs` without the texts that the verdict rejects; their keys, not the texts, are written on the way."""
+    scratch, rows = Scratch(docs.sparkSession), whole_rows(docs)
+    rejected = scratch.write("quality-rejected", judged(rows, scratch, "d", "t").where(~F.col("kept")).select("d", "t").distinct())
+    scratch.keep("quality-rejected")
+    return rows.join(rejected, ["d", "t"], "left_anti").select("row.*")
+
+
+def op9(docs: DataFrame) -> DataFrame:
+    out = judged(docs.select("doc_id", "text"), Scratch(docs.sparkSession), "doc_id")
+    return out.select("doc_id", *COUNTS[:5], "base_failed", "kept", "quality")
