@@ -157,7 +157,7 @@ def test_suffix_dedup_equals_brute_force(docs, nothing, hot):
 
 
 def test_quality_counts_and_verdict(docs, nothing):
-    got = quality.op9(docs, save).collect()
+    got = quality.op9(docs).collect()
     want = Counter()
     for k, text in rows_of(docs):
         w = re.findall(r"[^\x20\x09-\x0D]+", text)
@@ -167,7 +167,7 @@ def test_quality_counts_and_verdict(docs, nothing):
         want[k, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(again), len(w) < 50 or 100 * len(again) > 50 * len(w)] += 1
     assert Counter(tuple(r)[:7] for r in got) == want
     assert not any(r.kept and r.base_failed for r in got)
-    assert quality.op9(nothing, save).count() == 0
+    assert quality.op9(nothing).count() == 0
 
 
 def test_quality_posterior_equals_python(spark):
@@ -196,9 +196,9 @@ def test_quality_posterior_equals_python(spark):
 
 
 def test_mixing_targets_and_limits(docs, nothing):
-    got = mixing.op10(docs, save).collect()
+    got = mixing.op10(docs).collect()
     assert all(r.taken <= 3 * r.size and (not r.size or r.taken % r.size == 0) for r in got)
-    assert len(got) == docs.count() and sorted(map(str, got)) == sorted(map(str, mixing.op10(docs, save).collect()))
+    assert len(got) == docs.count() and sorted(map(str, got)) == sorted(map(str, mixing.op10(docs).collect()))
     source = {}
     for r in docs.select("source", "text").collect():
         source[r.source] = source.get(r.source, 0) + len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
@@ -212,8 +212,8 @@ def test_mixing_targets_and_limits(docs, nothing):
             break
         capped |= more
     assert {round(r.target, 6) for r in got} == {round(g, 6) for g in goal.values()}
-    assert mixing.op10(nothing, save).count() == 0
-    assert mixing.mixed(docs, save).columns == docs.columns
+    assert mixing.op10(nothing).count() == 0
+    assert mixing.mixed(docs).columns == docs.columns
 
 
 def test_split_tree_is_exact(spark):
@@ -221,7 +221,7 @@ def test_split_tree_is_exact(spark):
     got = mixing.split_tree(spark.createDataFrame(list(quotas.items()), "s string, quota bigint"), 6, 1).collect()
     for s, n in quotas.items():
         assert sum(r.quota for r in got if r.s == s) == n
-    per = [sum(r.quota for r in got if r.lo == i) for i in range(6)]
+    per = [sum(r.quota for r in got if r.shard == i) for i in range(6)]
     assert max(per) - min(per) <= 3
 
 

@@ -46,11 +46,11 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.op9(table(spark, sf_dir, "documents"), save=lambda df: written(df, "quality"))
+    return quality.op9(table(spark, sf_dir, "documents"))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.op10(table(spark, sf_dir, "documents"), save=lambda df: written(df, "sizes"))
+    return mixing.op10(table(spark, sf_dir, "documents"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
