@@ -74,6 +74,12 @@ def whole_rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), d.alias("d"), F.xxhash64(text_of(), no_id).alias("t"), text_of().alias("text"))
 
 
+def by_key(keys: DataFrame) -> DataFrame:
+    """Keys that whole texts are joined with: they grow with the texts, so they are merged at every size, never sent
+    to every task."""
+    return keys.hint("merge")
+
+
 def fold(doc_id: str | Column) -> Column:
     """crc32 of the id's decimal text, modulo 5."""
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % 5

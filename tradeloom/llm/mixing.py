@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, whole_rows
+from .common import Scratch, by_key, whole_rows
 from .quality import BLANKS
 
 BLOCK_WORDS = 20_000
@@ -148,7 +148,7 @@ def mixed(docs: DataFrame, shard_words: int = SHARD_WORDS, seed: int = 7) -> Dat
     per_row = chosen.where(F.size("draws") > 0).select("d", "t", F.explode("draws").alias("x")).select("d", "t", "x.pass", "x.shard").distinct()
     per_row = scratch.write("mix-draws", per_row.groupBy("d", "t").agg(F.collect_list(F.struct("pass", "shard")).alias("draws")))
     scratch.keep("mix-draws")
-    rows = whole_rows(docs).select("row", "d", "t").join(per_row, ["d", "t"]).select("row", "d", "t", F.explode("draws").alias("x"))
+    rows = whole_rows(docs).select("row", "d", "t").join(by_key(per_row), ["d", "t"]).select("row", "d", "t", F.explode("draws").alias("x"))
     return rows.repartitionById(shards, F.col("x.shard")).sortWithinPartitions(F.xxhash64("d", "t", "x.pass", F.lit(seed + 3)), "d").select("row.*")
 
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, whole_rows
+from .common import Scratch, by_key, whole_rows
 
 BLANKS = " \t\n\x0b\f\r"
 ROUNDS = 40
@@ -128,7 +128,7 @@ def kept(docs: DataFrame) -> DataFrame:
     scratch, rows = Scratch(docs.sparkSession), whole_rows(docs)
     rejected = scratch.write("quality-rejected", judged(rows, scratch, "d", "t").where(~F.col("kept")).select("d", "t").distinct())
     scratch.keep("quality-rejected")
-    return rows.join(rejected, ["d", "t"], "left_anti").select("row.*")
+    return rows.join(by_key(rejected), ["d", "t"], "left_anti").select("row.*")
 
 
 def op9(docs: DataFrame) -> DataFrame:
