@@ -1,13 +1,14 @@
 """Nearest neighbours by inner product with a vantage-point tree per shard.
 
 Largest inner product becomes least Euclidean distance by one added coordinate. A small vantage-point tree, fitted on
-a bounded sample, deals every row to a shard; shards over MOST_ROWS rows are split by a hash. Each shard's task builds
-its own tree. A query first searches its home shard, then, with the bound found there, every other shard that the
-triangle inequality does not rule out. `factor` scales the bound in that test: one is exact, less prunes more.
-
-Vectors that are null, zero, hold null or non-finite components, or have another length than most, take no part. Equal
-vectors beyond the first k + 1 by id cannot be among k nearest and are left out inside a shard. Ties go to the smaller
-id. Repeated ids are candidates of their own.
+a bounded sample, deals every row to a shard; a shard with over MOST_ROWS rows of its own is split by a hash. Each
+task builds its own tree. A query first searches its home shard, then, with the bound found there, every other shard
+that the triangle inequality does not rule out. `factor` scales the bound in that test: one is exact, less prunes more.
+
+Vectors that are null, zero, hold null or non-finite components, or have another length than most (so that they have
+no inner product with them), take no part; nor do rows without vec_id. Equal vectors beyond the first k + 1 by id
+cannot be among k nearest and are left out inside a shard. Ties of any number go to the smaller ids. Repeated ids are
+candidates of their own. An empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 
 SAMPLE, MOST_SHARDS = 4096, 256
 SHARD_ROWS, MOST_ROWS, LEAF, QUERY_BLOCK = 16_384, 32_768, 256, 4096
+#: Room for the rounding of distances, which the added coordinate of almost longest vectors makes largest.
+SLACK = 1e-7
 FACTOR = 0.55
 
 
@@ -50,12 +53,18 @@ def distance(points: np.ndarray, to: np.ndarray) -> np.ndarray:
 
 
 class Search:
-    """k nearest of many queries at once; each node is visited with the queries that need it."""
+    """k nearest of many queries at once; each node is visited with the queries that need it.
+
+    Candidates come from one matrix product with room for its rounding; which of them are nearest is settled by exact
+    products of the vectors, ties to the smaller id, however many tie.
+    """
 
-    def __init__(self, tree: Tree, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, bound: np.ndarray, k: int, factor: float):
-        self.tree, self.ids, self.queries, self.own, self.k, self.factor = tree, ids, queries, own, k, factor
-        self.far = np.full((len(queries), k), np.inf)
+    def __init__(self, tree: Tree, ids: np.ndarray, vectors: np.ndarray, queries: np.ndarray, own: np.ndarray, bound: np.ndarray, longest: float, k: int, factor: float):
+        self.tree, self.ids, self.vectors, self.queries, self.own, self.k, self.factor = tree, ids, vectors, queries, own, k, factor
+        self.norm = np.sqrt((queries * queries).sum(1)) * longest
+        self.points = lifted(queries, longest, True)
         self.best = np.full((len(queries), k), -1, np.int64)  # rows of the tree
+        self.score = np.full((len(queries), k), -np.inf)
         self.bound = bound.copy()
         self.visit(tree.root, np.arange(len(queries)))
 
@@ -63,33 +72,46 @@ class Search:
         if not len(q):
             return
         if isinstance(node, np.ndarray):
-            for i in range(0, len(q), 1024):
-                self.scan(node, q[i : i + 1024])
+            for i in range(0, len(q), step := max(1, (1 << 19) // len(node))):
+                self.scan(node, q[i : i + step])
             return
         vantage, radius, inner, outer = node
-        d = distance(self.queries[q], vantage)
+        d = distance(self.points[q], vantage)
         near = d <= radius
         self.visit(inner, q[near])
         self.visit(outer, q[~near])
         gap = np.abs(d - radius)
-        still = gap <= self.factor * self.bound[q] + 1e-9
+        still = gap <= self.factor * self.bound[q] + SLACK
         self.visit(outer, q[near & still])
         self.visit(inner, q[~near & still])
 
     def scan(self, rows: np.ndarray, q: np.ndarray) -> None:
-        x, y = self.queries[q], self.tree.points[rows]
-        d = np.round(np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * x @ y.T, 0)), 9)
-        d[self.ids[rows] == self.own[q][:, None]] = np.inf
-        take = min(len(rows), 2 * self.k + 24)
-        if take < len(rows):
-            part = np.argpartition(d, take - 1, 1)[:, :take]
-            d, rows = np.take_along_axis(d, part, 1), rows[part]
-        else:
-            rows = np.broadcast_to(rows, d.shape)
-        d, rows = np.concatenate([self.far[q], d], 1), np.concatenate([self.best[q], rows], 1)
-        order = np.lexsort((self.ids[rows], d), axis=1)[:, : self.k]
-        self.far[q], self.best[q] = np.take_along_axis(d, order, 1), np.take_along_axis(rows, order, 1)
-        self.bound[q] = np.minimum(self.bound[q], self.far[q][:, -1])
+        about = self.queries[q] @ self.vectors[rows].T
+        about[self.ids[rows] == self.own[q][:, None]] = -np.inf
+        room = 1e-9 * self.norm[q]
+        least = self.score[q, -1] - room
+        if len(rows) > self.k:
+            least = np.maximum(least, np.partition(about, len(rows) - self.k, 1)[:, len(rows) - self.k] - room)
+        at, col = np.nonzero((about >= least[:, None]) & np.isfinite(about))
+        if not len(at):
+            return
+        exact = (self.queries[q[at]] * self.vectors[rows[col]]).sum(1)
+        old, place = np.nonzero(self.best[q] >= 0)
+        of = np.concatenate([at, old])
+        row = np.concatenate([rows[col], self.best[q[old], place]])
+        score = np.concatenate([exact, self.score[q[old], place]])
+        order = np.lexsort((self.ids[row], -score, of))
+        of, row, score = of[order], row[order], score[order]
+        rank = np.arange(len(of)) - np.searchsorted(of, of)
+        keep = rank < self.k
+        self.best[q[of[keep]], rank[keep]], self.score[q[of[keep]], rank[keep]] = row[keep], score[keep]
+        self.bound[q] = np.minimum(self.bound[q], reach_of(self.score[q, -1], self.norm[q]))
+
+
+def reach_of(score: np.ndarray, norm: np.ndarray) -> np.ndarray:
+    """The distance, between points of lifted(), at which a product of `score` lies; norm: the query's length times the
+    longest."""
+    return np.where(np.isfinite(score), np.sqrt(np.maximum(2 - 2 * score / norm, 0)), np.inf)
 
 
 def lifted(v: np.ndarray, longest: float, query: bool) -> np.ndarray:
@@ -127,7 +149,7 @@ def reached(tree, points: np.ndarray, bound: np.ndarray, factor: float, names: d
             return
         d, near = distance(points[rows], node[0]), None
         near = d <= node[1]
-        still = np.abs(d - node[1]) <= factor * bound[rows] + 1e-9
+        still = np.abs(d - node[1]) <= factor * bound[rows] + SLACK
         down(node[2], rows[near | still])
         down(node[3], rows[~near | still])
 
@@ -153,11 +175,10 @@ def searched(rows: pd.DataFrame, queries: pd.DataFrame, k: int, factor: float, l
     tree, parts = Tree(lifted(vectors, longest, False), LEAF), []
     for i in range(0, len(queries), QUERY_BLOCK):
         q = queries.iloc[i : i + QUERY_BLOCK]
-        x, own = unpack(q.vector), q.vec_id.to_numpy()
-        s = Search(tree, ids, lifted(x, longest, True), own, q.bound.to_numpy(), k, factor)
-        row, col = np.nonzero(np.isfinite(s.far))
-        found = s.best[row, col]
-        parts.append(pd.DataFrame({"query_id": own[row], "vec_id": ids[found], "score": (x[row] * vectors[found]).sum(1)}))
+        own = q.vec_id.to_numpy()
+        s = Search(tree, ids, vectors, unpack(q.vector), own, q.bound.to_numpy(), longest, k, factor)
+        row, col = np.nonzero(s.best >= 0)
+        parts.append(pd.DataFrame({"query_id": own[row], "vec_id": ids[s.best[row, col]], "score": s.score[row, col]}))
     return pd.concat(parts, ignore_index=True)
 
 
@@ -174,8 +195,6 @@ def op3(vectors: DataFrame, every: int = 20, k: int = 20, factor: float = FACTOR
     sample = np.array([r.v for r in clean.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()])
     shards = min(MOST_SHARDS, max(1, -(-size.rows // shard_rows)))
     route = Tree(lifted(sample, longest, False), max(1, len(sample) // shards), max(0, (shards - 1).bit_length())).root
-    subs = max(1, -(-size.rows // (MOST_ROWS * len(leaves(route)))))
-
     def deal(batches):
         names = {id(x): i for i, x in enumerate(leaves(route))}
         for batch in batches:
@@ -185,9 +204,11 @@ def op3(vectors: DataFrame, every: int = 20, k: int = 20, factor: float = FACTOR
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(own), pa.array(q)], ["vec_id", "vector", "shard", "home"])
 
     dealt = save(clean.mapInArrow(deal, "vec_id bigint, vector binary, shard int, home int"))
-    rows = dealt.select("shard", F.pmod(F.xxhash64("vec_id"), F.lit(subs)).cast("int").alias("sub"), "vec_id", "vector")
+    held = {r.shard: r["count"] for r in dealt.groupBy("shard").count().collect()}  # a row for each of at most MOST_SHARDS shards
+    subs = F.array(*[F.lit(max(1, -(-held.get(i, 0) // MOST_ROWS))) for i in range(len(leaves(route)))])[F.col("shard")]
+    rows = dealt.select("shard", F.pmod(F.xxhash64("vec_id"), subs).cast("int").alias("sub"), "vec_id", "vector")
     asked = dealt.where(F.col("vec_id") % every == 0)
-    each = F.explode(F.sequence(F.lit(0), F.lit(subs - 1))).alias("sub")
+    each = F.explode(F.sequence(F.lit(0), subs - 1)).alias("sub")
 
     def search(q: DataFrame) -> DataFrame:
         left, right = rows.groupBy("shard", "sub"), q.groupBy("shard", "sub")
@@ -204,8 +225,7 @@ def op3(vectors: DataFrame, every: int = 20, k: int = 20, factor: float = FACTOR
                 x, at = unpack(batch.column(1).to_pylist()), batch.column(2).to_numpy()
                 score = batch.column(3).to_numpy(zero_copy_only=False).astype(float)
                 unit = lifted(x, longest, True)
-                reach = np.sqrt(np.maximum(2 - 2 * score / (np.sqrt((x * x).sum(1)) * longest), 0)) + 1e-8
-                reach[np.isnan(reach)] = np.inf
+                reach = reach_of(score, np.sqrt((x * x).sum(1)) * longest)
                 for mine, shard in reached(route, unit, reach, factor, names):
                     mine = mine[at[mine] != shard]
                     if len(mine):
