@@ -1,15 +1,18 @@
 """Interpolated modified Kneser-Ney n-gram model: counted in Spark, kept as sorted hash arrays, mapped into memory.
 
 Words get ids by their place in the sorted array of their 64-bit hashes. A counting task turns its texts into sorted
-distinct tuples of ids with counts and deals them to buckets by context, as delta and byte-plane packed columns; a
-bucket's task adds them up and writes two sorted arrays of 64-bit hashes to the shared folder: tuples with counts, and
-contexts with their total and how many tuples occur once, twice and more. The distinct tuples' suffixes, dealt on in
-the same way, give the continuation counts of the next lower order. Scoring maps the arrays (numpy memmap), looks up
-each chunk's distinct tuples, and interpolates from the lowest order up.
+distinct tuples of ids with counts and deals them to buckets by context, as delta and byte-plane packed columns; the
+number of buckets follows the bytes of text. A bucket's task adds them up and writes one file of sorted arrays of
+64-bit hashes to the shared folder: tuples with counts, and contexts with their total and how many tuples occur once,
+twice and more. The distinct tuples' suffixes, dealt on in the same way, give the continuation counts of the next
+lower order. Scoring maps the arrays (numpy memmap), looks up each chunk's distinct tuples, and interpolates from the
+lowest order up. A context's distinct tuples are in one bucket: at most as many as there are words.
 
 A document is its words and one end token; a start mark is context only. Null and blank texts are the end token
-alone. Documents without an id are learned from. The shared folder must be a mounted one (file:), as maps need.
-What is gathered from the corpus grows with it; no count is cut off.
+alone; very long ones are counted and scored whole. Documents without an id are learned from; repeated rows count and
+are scored each; without training texts every word is unknown. An empty table gives no rows; other columns are not
+read. The shared folder must be a mounted one (file:), as maps need. What is gathered from the corpus grows with it;
+no count is cut off.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import local_path, mix64, new_path, text_chunks, written
+from .common import Scratch, local_path, mix64, new_path, text_chunks
 from .shingles import word_hashes, words
 
 START, UNKNOWN = 0xFFFFFFFE, 0xFFFFFFFF
@@ -34,6 +37,8 @@ STEP = np.uint64(0x9E3779B97F4A7C15)
 BLOB = "bucket int, data binary"
 #: Tuples that a counting task gathers before it sorts and sends them.
 GATHER = 6 << 20
+#: Bytes of text that a bucket stands for, about: what a task holds does not grow with the corpus.
+BUCKET_BYTES, LEAST_BUCKETS = 12 << 20, 16
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,16 +95,26 @@ def unpack(raw: bytes, kinds: list[np.dtype]) -> list[np.ndarray]:
     return out
 
 
+def sort_order(columns: list[np.ndarray]) -> np.ndarray:
+    """Lexicographic order of rows; of ids by one sort of packed numbers where they fit into 64 bits."""
+    if len(columns) == 1:
+        return np.argsort(columns[0])
+    if columns[0].itemsize == 4:
+        most = max(int(np.where(c < START, c, 0).max()) for c in columns) + 2
+        bits = most.bit_length()
+        if bits * len(columns) <= 64:
+            key = np.zeros(len(columns[0]), np.uint64)
+            for c in columns:  # START and UNKNOWN stay the largest
+                key = key << np.uint64(bits) | np.where(c < START, c, most - 1 + (c - np.uint32(START)).astype(np.int64)).astype(np.uint64)
+            return np.argsort(key)
+    return np.lexsort(columns[::-1])
+
+
 def summed(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Distinct rows in order, counts added up."""
     if not len(counts):
         return columns, counts.astype(np.int64)
-    if len(columns) == 1:
-        order = np.argsort(columns[0], kind="stable")
-    elif len(columns) == 2 and columns[0].itemsize == 4:
-        order = np.argsort(columns[0].astype(np.uint64) << np.uint64(32) | columns[1], kind="stable")
-    else:
-        order = np.lexsort(columns[::-1])
+    order = sort_order(columns)
     columns = [c[order] for c in columns]
     new = np.zeros(len(order), bool)
     new[0] = True
@@ -119,33 +134,53 @@ def dealt(columns: list[np.ndarray], counts: np.ndarray, bucket: np.ndarray, buc
 
 
 def save(path: str, **arrays: np.ndarray) -> None:
-    """Whole files under their final names only, whichever attempt of a task is first."""
+    """The arrays in one file, whole and under its final name only, whichever attempt of a task is first.
+
+    Not a table: workers map it, which needs raw arrays in a file of a known name.
+    """
+    head, at = {}, 0
     for name, x in arrays.items():
-        part = f"{path}-{name}.npy.{uuid.uuid4().hex}"
-        with open(part, "wb") as f:
-            np.save(f, x)
-        os.replace(part, f"{path}-{name}.npy")
+        head[name] = (x.dtype.str, at, len(x))
+        at += -(-x.nbytes // 64) * 64
+    raw = json.dumps(head).encode()
+    raw += b" " * (-(len(raw) + 8) % 64)
+    part = f"{path}.{uuid.uuid4().hex}"
+    with open(part, "wb") as f:
+        f.write(len(raw).to_bytes(8, "little") + raw)
+        for x in arrays.values():
+            f.write(x.tobytes() + b"\0" * (-x.nbytes % 64))
+    os.replace(part, f"{path}.arrays")
+
+
+def mapped(path: str) -> dict[str, np.ndarray]:
+    """The arrays of a file of save(), mapped; none where it does not exist."""
+    if not os.path.exists(path):
+        return {}
+    data = np.memmap(path, np.uint8, "r")
+    size = int.from_bytes(data[:8].tobytes(), "little")
+    head = json.loads(data[8 : 8 + size].tobytes())
+    return {name: data[8 + size + at :][: n * np.dtype(kind).itemsize].view(kind) for name, (kind, at, n) in head.items()}
 
 
 class Arrays:
-    """The model's files, mapped on first use."""
+    """The model's files, mapped on first use: one a bucket and order."""
 
     def __init__(self, folder: str, buckets: int):
         self.folder, self.buckets, self.open = folder, buckets, {}
 
-    def get(self, name: str) -> np.ndarray | None:
+    def get(self, name: str) -> dict[str, np.ndarray]:
         if name not in self.open:
-            path = f"{self.folder}/{name}.npy"
-            self.open[name] = np.load(path, mmap_mode="r" if os.path.getsize(path) > 256 else None) if os.path.exists(path) else None
+            self.open[name] = mapped(f"{self.folder}/{name}.arrays")
         return self.open[name]
 
-    def look_up(self, prefix: str, keys: np.ndarray, bucket: np.ndarray, fields: list[str]) -> list[np.ndarray]:
+    def look_up(self, prefix: str, keys: np.ndarray, bucket: np.ndarray, fields: list[str], key: str = "key") -> list[np.ndarray]:
         """Fields of each key, 0 where it is missing; `found` first. Keys are sorted within buckets for the search."""
         order = np.lexsort((keys, bucket))
         stops = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
         out = [np.zeros(len(keys), np.int64) for _ in range(len(fields) + 1)]
         for b in np.flatnonzero(np.diff(stops)).tolist():
-            held = self.get(f"{prefix}-{b}-key")
+            own = self.get(f"{prefix}-{b}")
+            held = own.get(key)
             if held is None or not len(held):
                 continue
             mine = order[stops[b] : stops[b + 1]]
@@ -154,7 +189,7 @@ class Arrays:
             hit = held[at] == keys[mine]
             out[0][mine] = np.where(hit, at + 1, 0)
             for x, f in zip(out[1:], fields):
-                x[mine] = np.where(hit, self.get(f"{prefix}-{b}-{f}")[at], 0)
+                x[mine] = np.where(hit, own[f][at], 0)
         return out
 
     def counts(self, prefix: str, keys: np.ndarray, bucket: np.ndarray) -> np.ndarray:
@@ -162,7 +197,7 @@ class Arrays:
         _, small = self.look_up(prefix, keys, bucket, ["count"])
         big = np.flatnonzero(small == 255)
         if len(big):
-            small[big] = self.look_up(prefix + "-large", keys[big], bucket[big], ["count"])[1]
+            small[big] = self.look_up(prefix, keys[big], bucket[big], ["large_count"], "large_key")[1]
         return small
 
 
@@ -215,10 +250,11 @@ def reduce_blobs(df: DataFrame, kinds: list, solve, schema: str, buckets: int) -
     return df.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
 
 
-def train(docs: DataFrame, order: int = 2) -> dict:
+def train(docs: DataFrame, order: int = 3, bucket_bytes: int = BUCKET_BYTES) -> dict:
     """docs (text) -> a small description of the model: folder, sizes and discounts."""
-    spark = docs.sparkSession
-    buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("bigint"))).first()[0] or 0
+    buckets = max(LEAST_BUCKETS, -(-size // bucket_bytes))
     where = new_path(spark, "kneser-ney")
     if not where.startswith(("file:", "/")):
         raise ValueError("the n-gram model is memory-mapped: spark.checkpoint.dir must be a mounted folder")
@@ -273,13 +309,15 @@ def train(docs: DataFrame, order: int = 2) -> dict:
     schema = BLOB + ", n1 bigint, n2 bigint, n3 bigint, n4 bigint, total bigint, more bigint"
     for k in range(order, 0, -1):
         solve = order_writer(folder, k, buckets, base)
-        out = written(reduce_blobs(blobs, [np.uint32] * k, solve, schema, buckets), f"order-{k}")
+        out = scratch.write(f"order-{k}", reduce_blobs(blobs, [np.uint32] * k, solve, schema, buckets))
         s = out.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n1", "n2", "n3", "n4", "total", "more")]).first()
         shape["discounts"][str(k)] = discounts(s.n1, s.n2, s.n3, s.n4)
         if k == 1:
             d = shape["discounts"]["1"]
             shape["total"], shape["left"] = s.total, d[0] * s.n1 + d[1] * s.n2 + d[2] * s.more
+        scratch.keep(f"order-{k}")
         blobs = out.where("data IS NOT NULL").select("bucket", "data")
+    scratch.keep()
     with open(f"{folder}/model.json", "w") as f:
         json.dump(shape, f)
     return shape
@@ -304,20 +342,19 @@ def order_writer(folder: str, k: int, buckets: int, base: list[int]):
             known = ids < START
             dense = np.zeros(base[b + 1] - base[b], np.uint32)
             dense[ids[known] - base[b]] = counts[known]
-            save(f"{folder}/word-{b}", next=dense)
+            save(f"{folder}/next-{b}", next=dense)
             counts = counts[known]
         else:
             context = tuple_hash(cols[:-1])
             full = fold_in(context, cols[-1])
             order = np.argsort(full)
-            save(f"{folder}/tuple{k}-{b}", key=full[order], count=np.minimum(counts[order], 255).astype(np.uint8))
             big = order[counts[order] >= 255]
-            save(f"{folder}/tuple{k}-large-{b}", key=full[big], count=counts[big])
+            tuples = {"key": full[order], "count": np.minimum(counts[order], 255).astype(np.uint8), "large_key": full[big], "large_count": counts[big]}
             order = np.argsort(context, kind="stable")
             heads = np.flatnonzero(np.diff(context[order], prepend=context[order][0] ^ np.uint64(1)))
             c = counts[order]
             ones, twos, more = (np.add.reduceat((x).astype(np.int64), heads) for x in (c == 1, c == 2, c > 2))
-            save(f"{folder}/context{k}-{b}", key=context[order][heads], total=np.add.reduceat(c, heads), one=ones.astype(np.uint32), two=twos.astype(np.uint32), more=more.astype(np.uint32))
+            save(f"{folder}/order{k}-{b}", **tuples, context=context[order][heads], total=np.add.reduceat(c, heads), one=ones.astype(np.uint32), two=twos.astype(np.uint32), more=more.astype(np.uint32))
             suffix, left = summed(cols[1:], np.ones(len(counts), np.uint32))
             to = np.searchsorted(base, suffix[0].astype(np.int64), "right") - 1 if k == 2 else bucket_of(tuple_hash(suffix[:-1]), buckets)
             keep = suffix[0] != START if k == 2 else suffix[-1] != START
@@ -339,8 +376,12 @@ def chunk_scores(data: np.ndarray, offsets: np.ndarray, shape: dict) -> tuple[np
     h, n = tokens(data, offsets)
     known, back = np.unique(h, return_inverse=True)
     bucket = bucket_of(known, model.buckets)
-    at, count, following = model.look_up("word", known, bucket, ["count", "next"])
+    at, count = model.look_up("word", known, bucket, ["count"])
     ids = np.where(at > 0, at - 1 + np.array(shape["base"][:-1])[bucket], UNKNOWN).astype(np.uint32)
+    following = np.zeros(len(known), np.int64)
+    for b in np.unique(bucket[at > 0]).tolist():
+        mine = np.flatnonzero((bucket == b) & (at > 0))
+        following[mine] = model.get(f"next-{b}")["next"][at[mine] - 1]
     plain = np.log10((count + 0.5) / (shape["tokens"] + 0.5 * (n_words + 1)))
     total = max(shape["total"], 1)
     spare = shape["left"] / total if shape["total"] else 1.0
@@ -353,13 +394,13 @@ def chunk_scores(data: np.ndarray, offsets: np.ndarray, shape: dict) -> tuple[np
         cols = [c[use] for c in cols]
         context = tuple_hash(cols[:-1])
         c_keys, c_back = np.unique(context, return_inverse=True)
-        found, total_k, one, two, more = model.look_up(f"context{k}", c_keys, bucket_of(c_keys, model.buckets), ["total", "one", "two", "more"])
+        found, total_k, one, two, more = model.look_up(f"order{k}", c_keys, bucket_of(c_keys, model.buckets), ["total", "one", "two", "more"], "context")
         d = shape["discounts"][str(k)]
         with np.errstate(divide="ignore", invalid="ignore"):
             left = np.where(found > 0, (d[0] * one + d[1] * two + d[2] * more) / total_k, 1.0)
         full = fold_in(context, cols[-1])
         f_keys, first, f_back = np.unique(full, return_index=True, return_inverse=True)
-        counts = model.counts(f"tuple{k}", f_keys, bucket_of(context[first], model.buckets))[f_back]
+        counts = model.counts(f"order{k}", f_keys, bucket_of(context[first], model.buckets))[f_back]
         with np.errstate(divide="ignore", invalid="ignore"):
             own = np.where(found[c_back] > 0, np.maximum(counts - discount(counts, d), 0) / total_k[c_back], 0.0)
         p[use] = own + left[c_back] * p[use]
@@ -377,7 +418,7 @@ def scored(docs: DataFrame, shape: dict) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double")
 
 
-def op6(docs: DataFrame, fold: Column, order: int = 2) -> DataFrame:
+def op6(docs: DataFrame, fold: Column, order: int = 3) -> DataFrame:
     held = F.coalesce(fold == 1, F.lit(False))
     shape = train(docs.where(~held), order)
     out = scored(docs, shape).withColumn("held_out", held).withColumn("train_tokens", F.lit(shape["tokens"]).cast("bigint"))
