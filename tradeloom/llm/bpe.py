@@ -1,7 +1,8 @@
 """Byte-pair encoding and decoding with a contiguous rank array per word.
 
 The vocabulary file (JSON with `vocab` and `merges`) is a parameter and is read by each worker. A text is cut into
-words by the file's own pre-tokenisation; each distinct word is encoded once per worker and kept in a bounded table,
+words by the pattern that the file names (byte-level files without one have that of their library); a file of a kind
+not known is refused. Each distinct word is encoded once per worker and kept in a bounded table,
 so a long text costs one table look-up per word. Within a word, two parallel lists hold the parts and the rank of
 each adjacent pair; the smallest rank is found by a scan, one boundary goes, and the two neighbouring ranks are
 looked up anew. Words beyond `SHORT` parts use a heap over the same ranks, which gives the same result without the
@@ -23,12 +24,14 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SHORT = 200
 TABLE_WORDS = 400_000
 NO_RANK = 1 << 62
+#: Fixed value: the words of byte-level files that name no pattern of their own.
+BYTE_LEVEL_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Blanks to str.split() that the pattern's \\s does not take for blanks.
 ODD_BLANKS = re.compile("[\x1c-\x1f]").search
 
@@ -45,6 +48,20 @@ def byte_alphabet() -> list[str]:
     return out
 
 
+def word_pattern(spec: dict) -> str:
+    """The pattern of words that a vocabulary file names; ValueError for a file of another kind."""
+    normal, cut = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+    steps = cut.get("pretokenizers", [cut])
+    first, last = steps[0], steps[-1]
+    if any("<|" not in t["content"] for t in spec.get("added_tokens", [])) or last.get("type") != "ByteLevel" or last.get("add_prefix_space"):
+        raise ValueError("special tokens with <| and byte-level words are known, no others")
+    if not normal and len(steps) == 1 and last.get("use_regex"):
+        return BYTE_LEVEL_WORDS
+    if [x.get("type") for x in normal.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and len(steps) == 2 and first.get("type") == "Split" and first.get("invert"):
+        return first["pattern"]["Regex"]
+    raise ValueError("no pre-tokenisation is known for a vocabulary file of this kind")
+
+
 class Bpe:
     def __init__(self, path: str, width: int = 4):
         with open(path, encoding="utf-8") as f:
@@ -68,9 +85,7 @@ class Bpe:
         self.last = [vocab.get(c + self.suffix, -1) for c in alphabet]
         self.at_specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.lower = spec.get("normalizer") is not None
-        self.words = regex.compile(
-            r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+" if self.lower else r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        ).findall
+        self.words = regex.compile(word_pattern(spec)).findall
         self.byte_decoder = (spec.get("decoder") or {}).get("type") == "ByteLevel"
         self.as_bytes = {c: b for b, c in enumerate(alphabet)}
         self.pieces: list[bytes] | None = None
@@ -203,7 +218,3 @@ def encode_decode(docs: DataFrame, tokenizer: str, text: str = "text", keep: tup
 
 def op2(docs: DataFrame, tokenizer: str) -> DataFrame:
     return encode_decode(docs, tokenizer, keep=("doc_id",), ids=False)
-
-
-def column_or_null(df: DataFrame, name: str, kind: str) -> Column:
-    return F.col(name) if name in df.columns else F.lit(None).cast(kind)

@@ -3,7 +3,9 @@
 A conversation is its turns in order (ties by role, then text; repeated rows are repeated turns). The longest common
 prefix of turns is rendered once as the prompt; what follows is rendered as two completions, with the character spans
 that a loss should see: the text and end mark of each assistant turn. Null role renders as `unknown`, null text as
-empty; rows without a conversation are left out. Equal conversations have empty completions.
+empty; rows without a conversation are left out. Equal conversations have empty completions. Very long turns are
+rendered whole; a conversation is one row, so its turns must fit into one. An empty table gives no rows; other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -59,7 +61,7 @@ def format_pairs(turns: DataFrame, pairs: DataFrame) -> DataFrame:
 def op4(turns: DataFrame) -> DataFrame:
     """Conversations 2n (chosen) and 2n + 1 (rejected) are pair n."""
     ids = turns.where(F.col("conv_id").isNotNull()).select("conv_id").distinct()
-    pairs = ids.where(F.col("conv_id") % 2 == 0).select((F.col("conv_id") / 2).cast("bigint").alias("pair_id"), F.col("conv_id").alias("chosen"), (F.col("conv_id") + 1).alias("rejected"))
+    pairs = ids.where(F.pmod("conv_id", F.lit(2)) == 0).select(F.expr("conv_id div 2").cast("bigint").alias("pair_id"), F.col("conv_id").alias("chosen"), (F.col("conv_id") + 1).alias("rejected"))
     return format_pairs(turns, pairs)
 
 

@@ -6,9 +6,14 @@ dictionary and with both (the toxic one farther off, so that what is common cost
 are its distance. Windows count from a threshold that few ordinary windows reach; a logistic curve, calibrated on
 the other half of the sample, turns a text's sums into a score.
 
-The fit reads at most MOST_TOXIC + MOST_ORDINARY labelled texts of at most MOST_BYTES each, the least by a hash of
-the id; scoring reads every whole text. Null and blank texts have no windows and get the curve's lowest score. Without
-sample texts of both kinds every score is 0. Repeated labels of an id count once, toxic if any says so.
+The toxic dictionary holds stretches around word stems, as one trained on whole toxic texts tells them from ordinary
+ones too rarely (README has the figures). A text's sums are clipped before the curve, at MOST_SUM and MOST_ONE bytes:
+beyond them a text is toxic however much more it holds.
+
+The fit reads at most MOST_TOXIC + MOST_ORDINARY labelled texts, the least by a hash of the id, less those of over
+MOST_BYTES; scoring reads every whole text, however long. Null and blank texts have no windows and get the curve's
+lowest score. Without sample texts of both kinds every score is 0. Repeated labels of an id count once, toxic if any
+says so; repeated document rows are scored each. An empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,6 +37,8 @@ WINDOW, STEM, TOXIC_BYTES, ORDINARY_BYTES = 208, 5, 1400, 1200
 SHARE, RATIO = 0.015, 30
 #: Share of ordinary windows that may reach the window threshold.
 FALSE_WINDOWS = 0.002
+#: Saved bytes that count, of all windows over the threshold and of the best one.
+MOST_SUM, MOST_ONE = 40, 12
 
 
 def stems(text: bytes) -> set[bytes]:
@@ -99,7 +106,7 @@ def distances(text: str | None, model: Model) -> list[int]:
 
 def features(found: list[int], threshold: float) -> list[float]:
     over = [d for d in found if d >= threshold]
-    return [1.0, float(min(sum(over), 40)), float(min(max(found, default=0), 12)), np.log1p(len(over)), np.log1p(len(found)), sum(found) / (len(found) + 4)]
+    return [1.0, float(min(sum(over), MOST_SUM)), float(min(max(found, default=0), MOST_ONE)), np.log1p(len(over)), np.log1p(len(found)), sum(found) / (len(found) + 4)]
 
 
 def score(found: list[int], model: Model) -> float:
@@ -130,7 +137,7 @@ def fit(sample: list[tuple[str, int]], share: float | None = None) -> Model:
         for t in texts:
             counter.update(stems(t))
     marked = {s for s, c in seen[1].items() if c >= max(2, SHARE * len(toxic)) and c / len(toxic) >= RATIO * (seen[0][s] + 0.25) / len(ordinary)}
-    model = Model(trained([toxic_text(t, marked) for t in toxic], TOXIC_BYTES, 24, 6), trained([t[:2000] for t in ordinary], ORDINARY_BYTES, 48, 8))
+    model = Model(trained([toxic_text(t, marked) for t in toxic], TOXIC_BYTES, 24, 6), trained(ordinary, ORDINARY_BYTES, 48, 8))
     found = [[distances(t.decode("utf-8", "surrogatepass"), model) for t in k] for k in (more, worse)]
     every = np.array([d for x in found[0] for d in x] or [0])
     model.threshold = float(max(2, np.quantile(every, 1 - FALSE_WINDOWS)))
