@@ -75,8 +75,8 @@ def whole_rows(docs: DataFrame) -> DataFrame:
 
 
 def by_key(keys: DataFrame) -> DataFrame:
-    """Keys that whole texts are joined with: they grow with the texts, so they are merged at every size, never sent
-    to every task."""
+    """Keys that whole texts or their runs are joined with: they grow with the texts, so they are merged at every size,
+    never sent to every task."""
     return keys.hint("merge")
 
 
