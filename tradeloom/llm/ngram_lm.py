@@ -250,7 +250,7 @@ def reduce_blobs(df: DataFrame, kinds: list, solve, schema: str, buckets: int) -
     return df.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
 
 
-def train(docs: DataFrame, order: int = 3, bucket_bytes: int = BUCKET_BYTES) -> dict:
+def train(docs: DataFrame, order: int = 2, bucket_bytes: int = BUCKET_BYTES) -> dict:
     """docs (text) -> a small description of the model: folder, sizes and discounts."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("bigint"))).first()[0] or 0
@@ -418,7 +418,7 @@ def scored(docs: DataFrame, shape: dict) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double")
 
 
-def op6(docs: DataFrame, fold: Column, order: int = 3) -> DataFrame:
+def op6(docs: DataFrame, fold: Column, order: int = 2) -> DataFrame:
     held = F.coalesce(fold == 1, F.lit(False))
     shape = train(docs.where(~held), order)
     out = scored(docs, shape).withColumn("held_out", held).withColumn("train_tokens", F.lit(shape["tokens"]).cast("bigint"))
