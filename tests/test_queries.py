@@ -26,4 +26,5 @@ def test_twin(spark, duck, name):
     got, want = registry.QUERIES[name](spark, SF), duck.sql(registry.ORACLES[name])
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)
-    assert plain(got.select(*columns).collect()) == plain(want.select(*columns).fetchall())
+    rows = want.select(*columns).fetchall()
+    assert rows and plain(got.select(*columns).collect()) == plain(rows)  # a twin without rows proves nothing

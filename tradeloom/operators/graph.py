@@ -41,6 +41,10 @@ def company_search(companies: DataFrame, name: str | None = None, industry: str
     return rows.join(F.broadcast(total)).withColumn("pages", F.greatest(F.lit(1), F.ceil(F.col("total") / size)).cast("bigint"))
 
 
+def with_trust(results: DataFrame, scores: DataFrame) -> DataFrame:
+    return results.select("company_id", "name").join(scores.select("company_id", "score", "level"), "company_id")
+
+
 def product_search(products: DataFrame, offerings: DataFrame, name: str) -> DataFrame:
     counts = offerings.groupBy("product_id").agg(F.count(F.lit(1)).alias("offering_count"))
     out = products.where((F.col("status") == "published") & F.col("name").ilike(f"%{name}%")).join(counts, "product_id", "left")
@@ -48,30 +52,19 @@ def product_search(products: DataFrame, offerings: DataFrame, name: str) -> Data
 
 
 def discover(companies: DataFrame, text: str, per_field: int = 50) -> DataFrame:
-    """One scan for four fields: hits per field (first `per_field`, newest first), merged and ranked by fields hit."""
+    """Hits per field (first `per_field`, newest first: a top-k for each), merged and ranked by fields hit."""
     if len(text.strip()) < 2:
         return companies.limit(0).select("company_id", F.lit("").alias("matched_fields"), F.lit(0).alias("n_fields"), F.lit(0).alias("rank"))
     fields = ["name", "industry", "city", "country"]
     hit: dict[str, Column] = {f: F.coalesce(F.col(f).ilike(f"%{text}%"), F.lit(False)) for f in fields}
-    live = companies.where("status = 'active'").select("company_id", *[hit[f].alias(f) for f in fields]).where(" OR ".join(f"`{f}`" for f in fields))
-    for f in fields:
-        first = Window.partitionBy(f).orderBy(F.desc("company_id"))
-        live = live.withColumn(f"{f}_list", F.col(f) & (F.row_number().over(first) <= per_field))
-    listed = F.array_compact(F.array(*[F.when(F.col(f"{f}_list"), i) for i, f in enumerate(fields)]))
-    out = live.withColumn("lists", listed).where("size(lists) > 0").withColumn("n_fields", sum(F.col(f).cast("int") for f in fields))
+    live = companies.where("status = 'active'").select("company_id", *[hit[f].alias(f) for f in fields])
+    lists = [live.where(f).orderBy(F.desc("company_id")).limit(per_field).select("company_id", F.lit(i).alias("i")) for i, f in enumerate(fields)]
+    first = lists[0].union(lists[1]).union(lists[2]).union(lists[3]).groupBy("company_id").agg(F.array_sort(F.collect_list("i")).alias("lists"))
+    out = live.join(F.broadcast(first), "company_id").withColumn("n_fields", sum(F.col(f).cast("int") for f in fields))  # at most four lists of per_field
     order = Window.orderBy(F.desc("n_fields"), F.element_at("lists", 1), F.desc("company_id"))
     return out.select("company_id", F.array_join(F.array_compact(F.array(*[F.when(F.col(f), F.lit(f)) for f in fields])), ",").alias("matched_fields"), "n_fields", F.row_number().over(order).alias("rank"))
 
 
-def requirement_search(requirements: DataFrame, companies: DataFrame) -> DataFrame:
-    """By place only: country and city first; the same country where that finds nothing. term_search has the term too."""
-    live = companies.where("status = 'active'").select("company_id", F.lower("country").alias("c"), F.lower("city").alias("t"), "state")
-    asked = requirements.select("requirement_id", F.lower(F.trim("country")).alias("rc"), F.lower("city").alias("rt"), F.col("state").alias("rs"))
-    first = asked.join(live, (F.col("rc") == F.col("c")) & (F.col("rt") == F.col("t"))).select("requirement_id", "company_id", F.lit("country,city").alias("matched_on"))
-    rest = asked.join(first, "requirement_id", "left_anti")
-    return first.union(rest.join(live, F.col("rc") == F.col("c")).select("requirement_id", "company_id", F.lit("country").alias("matched_on")))
-
-
 def holding(asked: DataFrame, live: DataFrame, name: str, field: str) -> DataFrame:
     """(asked_<name>, <field>): each distinct value asked for with the field's values that contain it; null asks for all."""
     left, right = asked.select(F.col(name).alias(f"asked_{name}")).distinct(), live.select(field).distinct()

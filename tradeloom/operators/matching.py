@@ -28,10 +28,12 @@ def attribute_maps(attributes: DataFrame) -> DataFrame:
 
 
 def holds(c: Column, attributes: Column) -> Column:
-    """One criterion against a product's attributes; a missing one fails."""
+    """One criterion against a product's attributes; a missing one fails. Options of `in` are joined by bars."""
     raw = F.try_element_at(attributes, c["specification"])
     value = number(raw)
-    by = F.when(c["operator"] == "eq", F.lower(F.trim(raw)) == F.lower(F.trim(c["text_value"]))).when(c["operator"] == "gte", value >= c["low"]).when(c["operator"] == "lte", value <= c["low"]).when(c["operator"] == "range", value.between(c["low"], c["high"]))
+    options = F.transform(F.split(c["text_value"], r"\|"), lambda x: F.lower(F.trim(x)))
+    text_eq, is_text = F.lower(F.trim(raw)) == F.lower(F.trim(c["text_value"])), c["text_value"].isNotNull()
+    by = F.when(c["operator"] == "eq", F.when(is_text, text_eq).otherwise(value == c["low"])).when(c["operator"] == "in", F.array_contains(options, F.lower(F.trim(raw)))).when(c["operator"] == "gte", value >= c["low"]).when(c["operator"] == "lte", value <= c["low"]).when(c["operator"] == "range", value.between(c["low"], c["high"]))
     return F.coalesce(by, F.lit(False))
 
 

@@ -20,10 +20,27 @@ def promote(observations: DataFrame, companies: DataFrame) -> DataFrame:
 
 
 def allocate_slugs(new: DataFrame, existing: DataFrame) -> DataFrame:
-    """new (id, name), existing (slug) -> (id, slug): base, base-2, ... in order of id; sequential within a stem only."""
+    """new (id, name), existing (slug) -> (id, slug): base, base-2, ... in order of id, what is used left out.
+
+    A stem is a slug without its trailing numbers. Where no new base has such numbers, the k-th new row of a stem gets
+    its k-th free number: k plus the used numbers t_i with t_i - i < k, a running count in one window. Only stems
+    with numbered bases, whose allocations meet each other, are walked row by row.
+    """
     stem = F.regexp_replace("slug", "(-\\d+)+$", "")
     rows = new.select("id", slug(F.col("name")).alias("slug")).withColumn("stem", stem)
-    held = existing.select(F.lit(None).cast("bigint").alias("id"), "slug").withColumn("stem", stem)
+    held = existing.select("slug").distinct().withColumn("stem", stem)
+    numbered = rows.where("slug <> stem").select("stem").distinct()
+    plain, walked = rows.join(numbered, "stem", "left_anti"), rows.join(numbered, "stem", "left_semi")
+
+    rest = F.expr("substring(slug, length(stem) + 2)")
+    number = F.when(F.col("slug") == F.col("stem"), 1).when((F.length("slug") > F.length("stem")) & rest.rlike("^[1-9]\\d{0,8}$") & (rest != "1"), rest.try_cast("int"))
+    nth = F.row_number().over(Window.partitionBy("stem").orderBy("number"))
+    used = held.withColumn("number", number).where("number IS NOT NULL").select("stem", F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("int").alias("k"), (F.col("number") - nth + 0.5).cast("double").alias("at"))
+    k = F.row_number().over(Window.partitionBy("stem").orderBy("id"))
+    asked = plain.select("stem", "id", k.alias("k")).withColumn("at", F.col("k").cast("double"))
+    before = F.count_if(F.col("k").isNull()).over(Window.partitionBy("stem").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    n = F.col("k") + F.col("before")
+    done = used.unionByName(asked).withColumn("before", before).where("k IS NOT NULL").select("id", F.when(n == 1, F.col("stem")).otherwise(F.concat("stem", F.lit("-"), n.cast("string"))).alias("slug"))
 
     def allocate(group: pd.DataFrame) -> pd.DataFrame:
         used = set(group.slug[group.id.isna()])
@@ -36,4 +53,5 @@ def allocate_slugs(new: DataFrame, existing: DataFrame) -> DataFrame:
             out.append((int(i), name))
         return pd.DataFrame(out, columns=["id", "slug"]).astype({"id": "int64", "slug": "object"})
 
-    return rows.unionByName(held).groupBy("stem").applyInPandas(allocate, "id bigint, slug string")
+    near = held.join(numbered, "stem", "left_semi").select(F.lit(None).cast("bigint").alias("id"), "slug", "stem")
+    return done.union(walked.select("id", "slug", "stem").unionByName(near).groupBy("stem").applyInPandas(allocate, "id bigint, slug string"))

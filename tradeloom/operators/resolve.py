@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,14 +37,21 @@ def exact_signals(observations: DataFrame, companies: DataFrame) -> DataFrame:
     return found.union(hits(o, c, "name", {"k_name": "k_name"}))
 
 
+def source_signals(observations: DataFrame, listed: DataFrame) -> DataFrame:
+    """listed (external_id, company_id): companies that a source's identifier is linked to already; any one counts."""
+    one = listed.groupBy("external_id").agg(F.min("company_id").alias("company_id"))
+    return observations.where("name IS NOT NULL").join(one, "external_id").select("observation_id", F.lit("source_id").alias("signal"), "company_id", F.lit(None).cast("bigint").alias("with_cin"))
+
+
 def decide(observations: DataFrame, signals: DataFrame) -> DataFrame:
     """One aggregate by observation, then the ordered rules."""
-    names = ("strong_id", "domain", "name_address", "name", "fuzzy")
+    names = ("strong_id", "source_id", "domain", "name_address", "name", "fuzzy")
+    conflict = F.coalesce(*[F.min(F.when(F.col("signal") == s, F.col("with_cin"))) for s in ("name_address", "name", "fuzzy")])
     per = signals.groupBy("observation_id").agg(
-        *[F.min(F.when(F.col("signal") == s, F.col("company_id"))).alias(s) for s in names], F.min(F.when(F.col("signal").isin("name", "name_address", "fuzzy"), F.col("with_cin"))).alias("conflict"), F.array_join(F.array_sort(F.collect_set("signal")), ",").alias("signals")
+        *[F.min(F.when(F.col("signal") == s, F.col("company_id"))).alias(s) for s in names], conflict.alias("conflict"), F.array_join(F.array_sort(F.collect_set("signal")), ",").alias("signals")
     )
     out = observations.select("observation_id", F.col("name").alias("given")).join(per, "observation_id", "left")
-    weak = F.coalesce("domain", "name_address", "name", "fuzzy")
+    weak = F.coalesce("source_id", "domain", "name_address", "name", "fuzzy")
     state = F.when(F.col("given").isNull(), "NO_MATCH").when(F.col("strong_id").isNotNull(), "AUTO_MATCH").when(F.col("conflict").isNotNull() | weak.isNotNull(), "REVIEW_REQUIRED").otherwise("NEW")
     rule = F.when(F.col("strong_id").isNotNull(), F.col("strong_id")).when(F.col("conflict").isNotNull(), F.col("conflict")).otherwise(weak)
     return out.select("observation_id", state.alias("state"), rule.alias("company_id"), F.coalesce("signals", F.lit("")).alias("signals"))
@@ -53,6 +61,15 @@ def bigrams(name: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - 1, F.lit(1))), lambda i: F.substring(name, i, F.lit(2))))
 
 
+def letters(names: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """How often each of 64 kinds of letters is in each distinct name, and which distinct name each row has."""
+    code, kinds = pd.factorize(names)
+    counts = np.zeros((len(kinds), 64), np.int16)
+    for i, name in enumerate(kinds):
+        np.add.at(counts[i], np.frombuffer(name.encode("utf-32-le"), np.uint32) % 64, 1)
+    return counts, code
+
+
 def similar_names(left: DataFrame, right: DataFrame, least: float = SIMILAR) -> DataFrame:
     """Distinct names (a) and (b) -> (a, b, ratio) with ratio >= least, without a cross join.
 
@@ -74,6 +91,10 @@ def similar_names(left: DataFrame, right: DataFrame, least: float = SIMILAR) ->
 
     def ratios(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
+            # letters in common, in any order, bound the ratio from above; few pairs are left to compare
+            (x, a), (y, b) = (letters(f[c]) for c in "ab")
+            both = np.concatenate([np.minimum(x[a[i : i + 4096]], y[b[i : i + 4096]]).sum(1) for i in range(0, len(f), 4096)] or [np.zeros(0)])
+            f = f[2 * both >= (least - 1e-9) * (f.a.str.len() + f.b.str.len()).to_numpy()]
             f = f.assign(ratio=[difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(f.a, f.b)])
             yield f[f.ratio >= least]
 
@@ -89,7 +110,8 @@ def fuzzy_signals(observations: DataFrame, companies: DataFrame, exact: DataFram
     return unnamed.join(best, F.col("k_name") == F.col("a")).select("observation_id", F.lit("fuzzy").alias("signal"), "company_id", "with_cin", "ratio")
 
 
-def all_decisions(observations: DataFrame, companies: DataFrame) -> DataFrame:
-    """decide over exact and similar names."""
+def all_decisions(observations: DataFrame, companies: DataFrame, listed: DataFrame | None = None) -> DataFrame:
+    """decide over exact signals, similar names and, where given, identifiers of sources."""
     exact = exact_signals(observations, companies)
-    return decide(observations, exact.unionByName(fuzzy_signals(observations, companies, exact).drop("ratio")))
+    found = exact.unionByName(fuzzy_signals(observations, companies, exact).drop("ratio"))
+    return decide(observations, found.unionByName(source_signals(observations, listed)) if listed is not None else found)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,44 +52,57 @@ def first_hit_window(times: list[float], seconds: float, most: int, start: float
     return out, start, hits
 
 
+def sorted_logs(events: DataFrame, *columns: str) -> DataFrame:
+    """Users' logs one after the other, each in order, to be walked in bounded batches. Times are in seconds."""
+    seconds = (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t")
+    return events.repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id").select("user_id", "event_id", seconds, *columns)
+
+
+def walk_logs(batches: Iterator[pa.RecordBatch], step: Callable, names: list[str], types: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """step(state or None, time, *columns) -> (state, row or None); only the open state of one user is carried on."""
+    user, state = None, None
+    for batch in batches:
+        out: list[tuple] = []
+        for u, event, *rest in zip(*[c.to_pylist() for c in batch.columns]):
+            if u != user or u is None:
+                user, state = u, None
+            state, row = step(state, *rest)
+            if row is not None:
+                out.append((u, event, *row))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * len(types), types)], names)
+
+
 def rate_limit(events: DataFrame, seconds: int, most: int) -> DataFrame:
-    """Breaches by user. Order matters, so a user's log is walked once, sorted."""
-
-    def walk(log: pd.DataFrame) -> pd.DataFrame:
-        log = log.sort_values(["ts", "event_id"], ignore_index=True)
-        found, _, _ = first_hit_window([t.timestamp() for t in log.ts], seconds, most)
-        rows = [(int(log.user_id[i]), int(log.event_id[i]), hit, wait) for i, hit, wait in found]
-        return pd.DataFrame(rows, columns=["user_id", "event_id", "hit", "retry_after"])
-
-    return events.select("user_id", "event_id", "ts").groupBy("user_id").applyInPandas(walk, "user_id bigint, event_id bigint, hit int, retry_after double")
-
-
-def lockout_walk(log: list[tuple[float, bool, bool]]) -> list[tuple[str, int, float]]:
-    """(time, failed, succeeded) in order -> (outcome, strikes, lock seconds) of each attempt."""
-    strikes, first, until, out = 0, 0.0, 0.0, []
-    for t, failed, succeeded in log:
-        if t < until:
-            out.append(("blocked", strikes, until - t))
-            continue
-        if strikes and t >= first + FORGET:
-            strikes = 0
-        lock = 0.0
-        if failed:
-            first = first if strikes else t
-            strikes += 1
-            if strikes >= LOCK_AFTER:
-                lock = min(LOCK_FIRST * 2 ** (strikes - LOCK_AFTER), LOCK_MOST)
-                until = t + lock
-        elif succeeded:
-            strikes = 0
-        out.append(("failed" if failed else "passed", strikes, lock))
-    return out
+    """Breaches by user. Order matters, so a user's log is walked once, sorted; no log is held whole."""
+
+    def step(state: tuple | None, t: float) -> tuple:
+        found, start, hits = first_hit_window([t], seconds, most, *(state or (None, 0)))
+        return (start, hits), found[0][1:] if found else None
+
+    names, types = ["user_id", "event_id", "hit", "retry_after"], [pa.int64(), pa.int64(), pa.int32(), pa.float64()]
+    return sorted_logs(events).mapInArrow(lambda b: walk_logs(b, step, names, types), "user_id bigint, event_id bigint, hit int, retry_after double")
+
+
+def lockout_step(state: tuple | None, t: float, failed: bool, succeeded: bool) -> tuple:
+    """State (strikes, first strike, locked until) and an attempt -> the next state and (outcome, strikes, lock seconds)."""
+    strikes, first, until = state or (0, 0.0, 0.0)
+    if t < until:
+        return (strikes, first, until), ("blocked", strikes, until - t)
+    if strikes and t >= first + FORGET:
+        strikes = 0
+    lock = 0.0
+    if failed:
+        first = first if strikes else t
+        strikes += 1
+        if strikes >= LOCK_AFTER:
+            lock = float(min(LOCK_FIRST * 2 ** min(strikes - LOCK_AFTER, 30), LOCK_MOST))
+            until = t + lock
+    elif succeeded:
+        strikes = 0
+    return (strikes, first, until), ("failed" if failed else "passed", strikes, lock)
 
 
 def lockouts(events: DataFrame) -> DataFrame:
-    def walk(log: pd.DataFrame) -> pd.DataFrame:
-        log = log.sort_values(["ts", "event_id"], ignore_index=True)
-        rows = lockout_walk([(t.timestamp(), bool(f), bool(s)) for t, f, s in zip(log.ts, log.failed, log.succeeded)])
-        return pd.DataFrame({"user_id": log.user_id, "event_id": log.event_id, "outcome": [r[0] for r in rows], "strikes": [r[1] for r in rows], "lock_seconds": [float(r[2]) for r in rows]})
-
-    return events.where("failed OR succeeded").select("user_id", "event_id", "ts", "failed", "succeeded").groupBy("user_id").applyInPandas(walk, "user_id bigint, event_id bigint, outcome string, strikes int, lock_seconds double")
+    names, types = ["user_id", "event_id", "outcome", "strikes", "lock_seconds"], [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.float64()]
+    logs = sorted_logs(events.where("failed OR succeeded"), "failed", "succeeded")
+    return logs.mapInArrow(lambda b: walk_logs(b, lockout_step, names, types), "user_id bigint, event_id bigint, outcome string, strikes int, lock_seconds double")

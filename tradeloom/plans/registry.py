@@ -2,31 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import gaps, graph, ingest, matching, promote, provenance, resolve, sessions, trust
 from ..sources import payloads
-from ..sources.fixtures import ctes, frame
-from . import twins
+from ..sources.fixtures import ctes
+from . import records, twins
+from .over import Query, over
 
-Query = Callable[[SparkSession, str], DataFrame]
 AS_OF = datetime(1999, 6, 1)
 
 
-def over(*names: str) -> Callable[[Callable[..., DataFrame]], Query]:
-    """A query that reads the named tables and fixtures."""
-
-    def wrap(f: Callable[..., DataFrame]) -> Query:
-        return lambda spark, sf_dir: f(*[frame(spark, sf_dir, n) for n in names])
-
-    return wrap
-
-
 PAIRS = ("requirements", "criteria", "requirement_certificates", "offerings", "products", "product_attributes", "companies", "company_documents")
 
 
@@ -60,6 +50,12 @@ def actions(provenance_: DataFrame) -> DataFrame:
     return rows.select("record_id", F.col("k").alias("seq"), act.alias("action"), F.when(F.col("record_id") % 2 == 0, "because").alias("note"))
 
 
+def with_term(requirements: DataFrame) -> DataFrame:
+    """The product term: the family of the category, of every third requirement a colour instead, as names have it."""
+    colour = F.element_at(F.array(F.lit("red"), F.lit("blue"), F.lit("ring"), F.lit("bolt")), (F.col("requirement_id") % 4 + 1).cast("int"))
+    return requirements.withColumn("term", F.when(F.col("requirement_id") % 3 == 0, colour).otherwise(F.split_part("category_id", F.lit("/"), F.lit(1))))
+
+
 QUERIES: dict[str, Query] = {
     "names": over("companies")(names),
     "certificate_words": over("requirement_certificates")(certificates),
@@ -74,8 +70,10 @@ QUERIES: dict[str, Query] = {
     "ingest_rollup": over("documents")(lambda d: ingest.job_rollup(ingest.outcomes(batch(d), history(d)), "source")),
     "registry_pages": over("companies")(lambda c: payloads.registry(payloads.as_registry_pages(c))),
     "resolve_signals": over("observations", "companies")(lambda o, c: resolve.exact_signals(o, c).select("observation_id", "signal", "company_id")),
-    "resolve_decisions": over("observations", "companies")(lambda o, c: resolve.decide(o, resolve.exact_signals(o, c))),
+    "resolve_exact_decisions": over("observations", "companies", "listed_ids")(lambda o, c, i: resolve.decide(o, resolve.exact_signals(o, c).unionByName(resolve.source_signals(o, i)))),
+    "resolve_decisions": over("observations", "companies", "listed_ids")(resolve.all_decisions),
     "resolve_all_decisions": over("observations", "companies")(resolve.all_decisions),
+    "resolve_sources": over("observations", "listed_ids")(lambda o, i: resolve.source_signals(o, i).select("observation_id", "company_id")),
     "resolve_fuzzy": over("observations", "companies")(lambda o, c: resolve.fuzzy_signals(o, c, resolve.exact_signals(o, c)).select("observation_id", "company_id", "ratio")),
     "promote": over("observations", "companies")(promote.promote),
     "slugs": over("observations", "companies")(lambda o, c: promote.allocate_slugs(o.where("name IS NOT NULL").select(F.col("observation_id").alias("id"), "name"), c.select(text.slug(F.col("name")).alias("slug")).distinct())),
@@ -92,9 +90,9 @@ QUERIES: dict[str, Query] = {
     "company_search": over("companies")(lambda c: graph.company_search(c, name="zone 1", page=1, size=10)),
     "product_search": over("products", "offerings")(lambda p, o: graph.product_search(p, o, "ring")),
     "discover": over("companies")(lambda c: graph.discover(c, "on")),
-    "requirement_search": over("requirements", "companies")(graph.requirement_search),
-    "requirement_term_search": over("requirements", "companies")(lambda r, c: graph.term_search(r.withColumn("term", F.split_part("category_id", F.lit("/"), F.lit(1))), c)),
-    "integrity": over("offerings", "companies", "provenance")(graph.integrity),
+    "requirement_search": over("requirements", "companies")(lambda r, c: graph.term_search(with_term(r), c)),
+    "requirement_term_search": over("requirements", "companies")(lambda r, c: graph.term_search(with_term(r), c)),
+    "integrity": over("entered_offerings", "companies", "promoted_records")(graph.integrity),
     "token_reuse": over("auth_events")(sessions.token_reuse),
     "session_expiry": over("auth_events")(lambda e: sessions.session_expiry(e, 3600)),
     "keep_last": over("auth_events")(sessions.keep_last),
@@ -102,3 +100,5 @@ QUERIES: dict[str, Query] = {
     "lockouts": over("auth_events")(sessions.lockouts),
 }
 ORACLES: dict[str, str] = {name: ctes(*tables) + body if tables else body for name, (tables, body) in twins.TWINS.items()}
+QUERIES |= records.QUERIES
+ORACLES |= records.ORACLES

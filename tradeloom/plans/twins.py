@@ -33,7 +33,7 @@ CANDIDATES = """, live AS (
   FROM offerings o JOIN products p USING (product_id) WHERE o.status = 'active' AND p.status = 'published'
 ), candidates AS (SELECT *, n > 500 AS more_exist FROM live WHERE nth <= 500)"""
 MATCH = SCORES + CANDIDATES + """, checked_criteria AS (
-  SELECT r.requirement_id, c.offering_id, bool_and(coalesce(CASE k.operator WHEN 'eq' THEN lower(trim(a.value)) = lower(trim(k.text_value)) WHEN 'gte' THEN try_cast(a.value AS DOUBLE) >= k.low
+  SELECT r.requirement_id, c.offering_id, bool_and(coalesce(CASE k.operator WHEN 'eq' THEN CASE WHEN k.text_value IS NULL THEN try_cast(a.value AS DOUBLE) = k.low ELSE lower(trim(a.value)) = lower(trim(k.text_value)) END WHEN 'in' THEN lower(trim(a.value)) IN (SELECT lower(trim(x)) FROM unnest(string_split(k.text_value, '|')) t(x)) WHEN 'gte' THEN try_cast(a.value AS DOUBLE) >= k.low
     WHEN 'lte' THEN try_cast(a.value AS DOUBLE) <= k.low WHEN 'range' THEN try_cast(a.value AS DOUBLE) BETWEEN k.low AND k.high END, false)) AS ok
   FROM requirements r JOIN candidates c USING (category_id) JOIN criteria k USING (requirement_id) LEFT JOIN product_attributes a ON a.product_id = c.product_id AND a.specification = k.specification GROUP BY 1, 2
 ), wanted AS (
@@ -91,9 +91,15 @@ QUALITY = CONFLICTS + f""", latest AS (SELECT *, row_number() OVER (PARTITION BY
 ), quality AS (SELECT l.company_id, l.field_name, l.record_id, l.value_observed, l.status, {RISK.replace('field_name', 'l.field_name')} AS risk, CASE WHEN age >= {DAYS.replace('field_name', 'l.field_name')} THEN 'stale' WHEN age * 5 >= 4 * {DAYS.replace('field_name', 'l.field_name')} THEN 'approaching_stale' ELSE 'fresh' END AS freshness, t.company_id IS NOT NULL AS has_open_conflict
   FROM latest l LEFT JOIN tagged t USING (company_id, field_name) WHERE nth = 1)"""
 
+TERM_SEARCH = """, q AS (SELECT requirement_id, nullif(lower(trim(CASE WHEN requirement_id % 3 = 0 THEN ['red', 'blue', 'ring', 'bolt'][CAST(requirement_id % 4 AS INTEGER) + 1] ELSE split_part(category_id, '/', 1) END)), '') AS term, nullif(lower(trim(country)), '') AS qc, nullif(lower(trim(city)), '') AS qt FROM requirements
+), l AS (SELECT company_id, lower(name) AS nm, lower(industry) AS ind, lower(country) AS c, lower(city) AS t FROM companies WHERE status = 'active'
+), here AS (SELECT * FROM q JOIN l ON (qc IS NULL OR contains(c, qc)) AND (qt IS NULL OR contains(t, qt))
+), one AS (SELECT * FROM here WHERE term IS NULL OR contains(ind, term)
+), two AS (SELECT * FROM one UNION ALL SELECT * FROM here WHERE contains(nm, term) AND requirement_id NOT IN (SELECT requirement_id FROM one))
+SELECT requirement_id, company_id, concat_ws(',', CASE WHEN contains(ind, term) OR contains(nm, term) THEN 'term' END, CASE WHEN c = qc THEN 'country' END, CASE WHEN t = qt THEN 'city' END) AS matched_on FROM two"""
 TWINS: dict[str, tuple[list[str], str]] = {
     "names": (["companies"], f" SELECT company_id, {NAME.format(PLAIN.format('name'))} AS match_name, {DOMAIN} AS domain, {PLACE.format('city')} AS place, CASE WHEN {SLUG} = '' THEN 'company' ELSE {SLUG} END AS slug, trim(regexp_replace(name, '\\s+', ' ', 'g')) AS display FROM companies"),
-    "certificate_words": (["requirement_certificates"], " SELECT requirement_id, n, certificate IN ('ISO 9001', 'ISO') AS is_iso, certificate = 'CE mark' AS is_ce, certificate = 'BIS' AS is_bis, certificate = 'Factory license' AS is_licence FROM requirement_certificates"),
+    "certificate_words": (["requirement_certificates"], ", w AS (SELECT requirement_id, n, ' ' || array_to_string(regexp_extract_all(lower(certificate), '[a-z0-9]+'), ' ') || ' ' AS p FROM requirement_certificates) SELECT requirement_id, n, contains(p, ' iso ') AS is_iso, contains(p, ' ce ') AS is_ce, contains(p, ' bis ') AS is_bis, contains(p, ' factory license ') AS is_licence FROM w"),
     "trust_scores": (["companies", "company_documents"], SCORES + " SELECT company_id, score, level, next_level, missing, verification_status FROM scores"),
     "verified_sync": (["companies", "company_documents"], SCORES + ", w AS (SELECT company_id, CASE WHEN score >= 45 THEN 'verified' ELSE 'unverified' END AS verification_status, verification_status AS previous FROM scores) SELECT * FROM w WHERE verification_status <> previous"),
     "match_candidates": (["offerings", "products"], CANDIDATES + " SELECT category_id, offering_id, more_exist FROM candidates"),
@@ -113,8 +119,10 @@ SELECT category_id, specification, times_used, coalesce(t.n, 0) AS live_offering
     "ingest_rollup": ([], BATCH + ", r AS (SELECT source, count(*) FILTER (outcome = 'created') AS created, count(*) FILTER (outcome = 'skipped_duplicate') AS skipped_duplicate, count(*) FILTER (outcome = 'failed') AS failed FROM outcomes GROUP BY 1) SELECT *, CASE WHEN created = 0 AND skipped_duplicate = 0 AND failed > 0 THEN 'failed' ELSE 'succeeded' END AS status FROM r"),
     "registry_pages": (["companies"], " SELECT company_id // 10 AS page_id, row_number() OVER (PARTITION BY company_id // 10 ORDER BY company_id) - 1 AS pos, cin, name AS company_name, state AS registered_state, status AS company_status FROM companies QUALIFY cin IS NOT NULL"),
     "resolve_signals": (["observations", "companies"], SIGNALS + " SELECT observation_id, signal, company_id FROM signals"),
-    "resolve_decisions": (["observations", "companies"], SIGNALS + """, p AS (SELECT observation_id, min(company_id) FILTER (signal = 'strong_id') AS a, min(company_id) FILTER (signal = 'domain') AS d, min(company_id) FILTER (signal = 'name_address') AS na, min(company_id) FILTER (signal = 'name') AS n, min(with_cin) FILTER (signal IN ('name', 'name_address')) AS k, string_agg(DISTINCT signal, ',' ORDER BY signal) AS signals FROM signals GROUP BY 1)
-SELECT o.observation_id, CASE WHEN o.name IS NULL THEN 'NO_MATCH' WHEN a IS NOT NULL THEN 'AUTO_MATCH' WHEN coalesce(k, d, na, n) IS NOT NULL THEN 'REVIEW_REQUIRED' ELSE 'NEW' END AS state, coalesce(a, k, d, na, n) AS company_id, coalesce(signals, '') AS signals FROM observations o LEFT JOIN p USING (observation_id)"""),
+    "resolve_exact_decisions": (["observations", "companies", "listed_ids"], SIGNALS + """, l AS (SELECT external_id, min(company_id) AS company_id FROM listed_ids GROUP BY 1), every AS (SELECT observation_id, signal, company_id, with_cin FROM signals UNION ALL SELECT observation_id, 'source_id', l.company_id, NULL FROM observations JOIN l USING (external_id) WHERE name IS NOT NULL
+), p AS (SELECT observation_id, min(company_id) FILTER (signal = 'strong_id') AS a, min(company_id) FILTER (signal = 'source_id') AS s, min(company_id) FILTER (signal = 'domain') AS d, min(company_id) FILTER (signal = 'name_address') AS na, min(company_id) FILTER (signal = 'name') AS n, coalesce(min(with_cin) FILTER (signal = 'name_address'), min(with_cin) FILTER (signal = 'name')) AS k, string_agg(DISTINCT signal, ',' ORDER BY signal) AS signals FROM every GROUP BY 1)
+SELECT o.observation_id, CASE WHEN o.name IS NULL THEN 'NO_MATCH' WHEN a IS NOT NULL THEN 'AUTO_MATCH' WHEN coalesce(k, s, d, na, n) IS NOT NULL THEN 'REVIEW_REQUIRED' ELSE 'NEW' END AS state, coalesce(a, k, s, d, na, n) AS company_id, coalesce(signals, '') AS signals FROM observations o LEFT JOIN p USING (observation_id)"""),
+    "resolve_sources": (["observations", "listed_ids"], " SELECT observation_id, min(l.company_id) AS company_id FROM observations JOIN listed_ids l USING (external_id) WHERE name IS NOT NULL GROUP BY 1"),
     "promote": (["observations", "companies"], """, x AS (SELECT *, coalesce(name, '') <> '' AS usable, count(*) FILTER (coalesce(name, '') <> '') OVER (PARTITION BY strong_id ORDER BY observation_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier FROM observations)
 SELECT observation_id, name, name AS legal_name, strong_id AS cin, CASE WHEN NOT usable THEN 'missing_name' WHEN strong_id IS NOT NULL AND (earlier > 0 OR strong_id IN (SELECT cin FROM companies WHERE cin IS NOT NULL)) THEN 'duplicate_strong_id' ELSE 'created' END AS outcome FROM x"""),
     "provenance_unpivot": (["observations"], "".join(f" {'UNION ALL' if i else ''} SELECT observation_id, '{f}' AS field_name, {f} AS value_observed, '{'rule_based' if i < 3 else 'manual'}' AS extraction_method, {0.8 if i < 3 else 0.5}::DOUBLE AS confidence, '{'extracted' if i < 3 else 'observed'}' AS status FROM observations WHERE coalesce({f}, '') <> ''" for i, f in enumerate(["name", "strong_id", "state", "city", "website"]))),
@@ -132,9 +140,9 @@ SELECT observation_id, name, name AS legal_name, strong_id AS cin, CASE WHEN NOT
 ), n AS (SELECT *, a AND row_number() OVER (PARTITION BY a ORDER BY company_id DESC) <= 50 AS la, b AND row_number() OVER (PARTITION BY b ORDER BY company_id DESC) <= 50 AS lb, c AND row_number() OVER (PARTITION BY c ORDER BY company_id DESC) <= 50 AS lc, d AND row_number() OVER (PARTITION BY d ORDER BY company_id DESC) <= 50 AS ld FROM h WHERE a OR b OR c OR d
 ), m AS (SELECT *, a::INT + b::INT + c::INT + d::INT AS n_fields, CASE WHEN la THEN 0 WHEN lb THEN 1 WHEN lc THEN 2 ELSE 3 END AS first FROM n WHERE la OR lb OR lc OR ld)
 SELECT company_id, array_to_string(list_filter([CASE WHEN a THEN 'name' END, CASE WHEN b THEN 'industry' END, CASE WHEN c THEN 'city' END, CASE WHEN d THEN 'country' END], lambda x: x IS NOT NULL), ',') AS matched_fields, n_fields, CAST(row_number() OVER (ORDER BY n_fields DESC, first, company_id DESC) AS INTEGER) AS rank FROM m"""),
-    "requirement_search": (["requirements", "companies"], """, l AS (SELECT company_id, lower(country) AS c, lower(city) AS t FROM companies WHERE status = 'active'), q AS (SELECT requirement_id, lower(trim(country)) AS c, lower(city) AS t FROM requirements
-), f AS (SELECT requirement_id, company_id, 'country,city' AS matched_on FROM q JOIN l USING (c, t)) SELECT * FROM f UNION ALL SELECT requirement_id, company_id, 'country' FROM q JOIN l USING (c) WHERE requirement_id NOT IN (SELECT requirement_id FROM f)"""),
-    "integrity": (["offerings", "companies", "provenance"], " SELECT 'duplicate_offering' AS rule, company_id AS entity_id FROM offerings GROUP BY company_id, product_id, role HAVING count(*) > 1 UNION ALL SELECT 'unknown_company', company_id FROM offerings WHERE company_id NOT IN (SELECT company_id FROM companies) UNION ALL SELECT 'unknown_entity', record_id FROM provenance WHERE company_id NOT IN (SELECT company_id FROM companies)"),
+    "requirement_search": (["requirements", "companies"], TERM_SEARCH),
+    "requirement_term_search": (["requirements", "companies"], TERM_SEARCH),
+    "integrity": (["entered_offerings", "companies", "promoted_records"], " SELECT 'duplicate_offering' AS rule, company_id AS entity_id FROM entered_offerings GROUP BY company_id, product_id, role HAVING count(*) > 1 UNION ALL SELECT 'unknown_company', company_id FROM entered_offerings WHERE company_id NOT IN (SELECT company_id FROM companies) UNION ALL SELECT 'unknown_entity', record_id FROM promoted_records WHERE company_id NOT IN (SELECT company_id FROM companies)"),
     "token_reuse": (["auth_events"], ", n AS (SELECT *, row_number() OVER (PARTITION BY token_id ORDER BY ts, event_id) AS nth FROM auth_events) SELECT token_id, user_id, ts AS revoked_at FROM n WHERE nth = 2"),
     "session_expiry": (["auth_events"], ", g AS (SELECT *, ts - lag(ts) OVER w > INTERVAL 3600 SECOND AS gap FROM auth_events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), d AS (SELECT *, coalesce(bool_or(gap) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), false) AS dead FROM g) SELECT user_id, max(ts) FILTER (NOT dead) AS last_valid, count(*) FILTER (NOT dead) AS rotations, count(*) FILTER (dead) AS failed FROM d GROUP BY 1"),
     "keep_last": (["auth_events"], ", n AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS INTEGER) AS nth FROM auth_events) SELECT user_id, nth, event_id FROM n WHERE nth <= 5"),

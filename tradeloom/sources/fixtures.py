@@ -59,7 +59,7 @@ SELECT requirement_id, n, certificate FROM requirements JOIN (
     "criteria": """
 SELECT c_custkey AS requirement_id, specification, operator, low, high, text_value FROM customer JOIN (
   SELECT 0 AS k, 'color' AS specification, 'eq' AS operator, CAST(NULL AS DOUBLE) AS low, CAST(NULL AS DOUBLE) AS high, ' RED ' AS text_value
-  UNION ALL SELECT 1, 'size', 'gte', 20.0, NULL, NULL UNION ALL SELECT 2, 'price', 'lte', 1500.0, NULL, NULL
+  UNION ALL SELECT 1, 'size', 'gte', 20.0, NULL, NULL UNION ALL SELECT 2, 'price', 'lte', 1500.0, NULL, NULL UNION ALL SELECT 4, 'color', 'in', NULL, NULL, 'Red|blue ' UNION ALL SELECT 1, 'size', 'eq', 25.0, NULL, NULL
   UNION ALL SELECT 3, 'size', 'range', 10.0, 40.0, NULL UNION ALL SELECT 3, 'price', 'lte', 1900.0, NULL, NULL) c ON c_custkey % 5 = k""",
     "provenance": """
 SELECT o_orderkey AS record_id, CAST(floor(o_custkey / 15.0) AS BIGINT) AS company_id,
@@ -69,10 +69,10 @@ SELECT o_orderkey AS record_id, CAST(floor(o_custkey / 15.0) AS BIGINT) AS compa
 FROM orders""",
     "observations": f"""
 SELECT c_custkey AS observation_id, base, v,
-  CASE WHEN v = 7 THEN NULL WHEN v >= 8 THEN c_mktsegment || ' works ' || CAST(c_custkey AS STRING) WHEN v = 5 THEN 'other ' || c_mktsegment
+  CASE WHEN v = 7 THEN NULL WHEN v >= 8 THEN c_mktsegment || ' works ' || CAST(c_custkey AS STRING) WHEN v = 5 THEN 'other ' || c_mktsegment WHEN v = 6 THEN 'listed ' || CAST(c_custkey AS STRING)
        WHEN v = 4 THEN replace(c.name, 'e', '') WHEN v = 0 THEN c.name || ' Ltd' ELSE c.name END AS name,
   CASE WHEN v = 0 THEN c.cin WHEN v = 1 THEN 'X' || CAST(c_custkey AS STRING) END AS strong_id,
-  CASE WHEN v = 5 THEN lower(c.website) END AS website, CASE WHEN v = 3 THEN c.state END AS state, CASE WHEN v = 3 THEN c.city END AS city
+  CASE WHEN v = 5 THEN lower(c.website) END AS website, CASE WHEN v = 3 THEN c.state END AS state, CASE WHEN v = 3 THEN c.city END AS city, CASE WHEN v = 6 THEN 'R' || CAST(base AS STRING) END AS external_id
 FROM (SELECT *, CAST(floor(c_custkey / 15.0) AS BIGINT) AS base, CAST(c_custkey % 15 AS INT) AS v FROM customer) o JOIN companies c ON c.company_id = o.base""",
     "auth_events": """
 SELECT event_id, ts, user_id, event_type = 'error' AS failed, event_type = 'signup' AS succeeded, CAST(floor(event_id / 2.0) AS BIGINT) AS token_id FROM events""",
@@ -86,8 +86,83 @@ SELECT event_id AS search_id, k AS rank_no,
   '{"certification":{"requested":' || CASE WHEN (event_id + k) % 3 = 0 THEN 'true' ELSE 'false' END || ',"points":' || CAST((event_id + k) % 5 AS STRING) || '},"location":{"requested":' || CASE WHEN (event_id + k) % 2 = 0 THEN 'true' ELSE 'false' END || '},"trust":{"earned":' || CAST((event_id * k) % 50 AS STRING) || ',"possible":50}}' AS snapshot
 FROM events CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2 UNION ALL SELECT 3) ks WHERE event_type = 'view' AND event_id % 6 > 0 AND k <= event_id % 3 + 1""",
 }
+#: Tables of the records around companies: jobs, candidates, decisions, relationships, members, documents, sessions.
+FIXTURES |= {
+    "sources": """
+SELECT n_nationkey AS source_id, 'src' || CAST(n_nationkey % 8 AS STRING) AS name, CASE WHEN n_nationkey % 3 = 0 THEN 'forbidden' ELSE 'allowed' END AS policy FROM nation""",
+    "jobs": """
+SELECT s_suppkey AS job_id, 'src' || CAST(s_suppkey % 9 AS STRING) AS source_name, s_suppkey % 4 <> 0 AS production,
+  CASE CAST(s_suppkey % 4 AS INT) WHEN 0 THEN 'registry' WHEN 1 THEN 'filer' WHEN 2 THEN 'census' ELSE 'trade' END AS collector FROM supplier""",
+    "job_events": """
+SELECT c_custkey AS observation_id, CAST(floor(c_custkey / 16.0) AS BIGINT) AS job_id, CASE CAST(c_custkey % 7 AS INT) WHEN 0 THEN 'failed' WHEN 1 THEN 'skipped_duplicate' ELSE 'created' END AS outcome FROM customer""",
+    "resolution_candidates": """
+SELECT c_custkey AS observation_id, CASE CAST(c_custkey % 5 AS INT) WHEN 0 THEN 'AUTO_MATCH' WHEN 1 THEN 'NEW' WHEN 2 THEN 'NO_MATCH' ELSE 'REVIEW_REQUIRED' END AS state,
+  CASE WHEN c_custkey % 5 IN (1, 2) THEN NULL ELSE CAST(floor(c_custkey / 15.0) AS BIGINT) END AS company_id, CASE WHEN c_custkey % 11 = 0 THEN 'reject_match' END AS decision, (c_custkey * 37) % 1000 AS created_at
+FROM customer WHERE c_custkey % 6 <> 5""",
+    "decisions": """
+SELECT c_custkey AS observation_id, k AS seq, CASE CAST((c_custkey + k) % 3 AS INT) WHEN 0 THEN 'confirm_match' WHEN 1 THEN 'create_new' ELSE 'reject_match' END AS decision
+FROM customer CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) ks WHERE k <= c_custkey % 4""",
+    "relationships": """
+SELECT s_suppkey * 4 + k AS relationship_id, s_suppkey AS company_id, CASE CAST((s_suppkey + k) % 3 AS INT) WHEN 0 THEN 'has_capability' WHEN 1 THEN 'member_of' ELSE 'partner_of' END AS relationship,
+  CASE CAST((s_suppkey + k) % 3 AS INT) WHEN 0 THEN 'capability' WHEN 1 THEN 'association' ELSE 'company' END AS object_type, (s_suppkey * 7 + k) % 5 AS object_id,
+  CASE CAST((s_suppkey + 2 * k) % 5 AS INT) WHEN 0 THEN 'verified' WHEN 1 THEN 'observed' WHEN 2 THEN 'extracted' WHEN 3 THEN 'claimed' ELSE 'rejected' END AS status
+FROM supplier CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) ks""",
+    "relationship_actions": """
+SELECT relationship_id, CAST(k AS BIGINT) AS seq, CASE WHEN (relationship_id + k) % 2 = 0 THEN 'verify' ELSE 'reject' END AS action, CASE WHEN relationship_id % 3 <> 0 THEN 'seen' END AS note
+FROM relationships CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) ks WHERE k <= relationship_id % 3""",
+    "relationship_pairs": """
+SELECT relationship_id AS a, relationship_id + 1 AS b FROM relationships WHERE relationship_id % 4 = 1 AND company_id % 3 = 0""",
+    "members": """
+SELECT s_suppkey AS company_id, (s_suppkey * 3 + k) % 40 + 1 AS user_id, CASE WHEN k = 0 THEN 'owner' ELSE 'member' END AS role
+FROM supplier CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) ks WHERE k <= s_suppkey % 3""",
+    "users": """
+SELECT c_custkey AS user_id, c_custkey % 3 <> 0 AS email_verified FROM customer WHERE c_custkey <= 40""",
+    "document_uploads": """
+SELECT o_orderkey AS document_id, o_custkey % 97 * 10 + o_orderkey % 4 AS chain, o_orderdate AS uploaded_at,
+  CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderdate END AS expiry_date FROM orders""",
+    "evidence": """
+SELECT o_orderkey AS record_id, CASE WHEN o_orderkey % 9 = 0 THEN -1 ELSE (o_orderkey * 3) % 5000 + 1 END AS document_id FROM orders WHERE o_orderkey % 2 = 0""",
+    "conflict_rows": """
+SELECT o_custkey AS conflict_id, count(*) AS records FROM orders GROUP BY o_custkey""",
+    "conflict_notes": """
+SELECT o_custkey AS conflict_id, CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE 'note ' || CAST(o_orderkey AS STRING) END AS note FROM orders WHERE o_orderkey % 5 = 0""",
+    "social_links": """
+SELECT l_suppkey AS company_id, CASE CAST(l_partkey % 3 AS INT) WHEN 0 THEN 'linkedin' WHEN 1 THEN 'facebook' ELSE 'youtube' END AS platform,
+  CAST(l_orderkey AS BIGINT) * 100000 + l_partkey AS written, 'https://p' || CAST(l_partkey AS STRING) AS url FROM lineitem""",
+    "offering_requests": """
+SELECT l_suppkey AS company_id, l_partkey % 50 AS product_id, min(CAST(l_orderkey AS BIGINT) * 100000 + l_partkey) AS asked FROM lineitem GROUP BY l_suppkey, l_partkey % 50, l_orderkey""",
+    "auth_sessions": """
+SELECT event_id AS session_id, user_id, ts AS last_used_at, ts + INTERVAL '7' DAY AS expires_at, event_type = 'error' AS revoked FROM events WHERE event_id % 3 = 0""",
+    "session_tokens": """
+SELECT event_id AS token_id, event_id - event_id % 3 AS session_id FROM events""",
+    "specifications": """
+SELECT DISTINCT p_type || '/' || p_brand AS category_id, specification, datatype FROM part JOIN (
+  SELECT 0 AS k, 'size' AS specification, 'number' AS datatype UNION ALL SELECT 1, 'price', 'number' UNION ALL SELECT 2, 'color', 'text') s ON (p_size + k) % 5 <> 0""",
+    "criteria_requests": """
+SELECT c_custkey AS requirement_id, k AS n, CASE CAST((c_custkey + k) % 4 AS INT) WHEN 0 THEN 'size' WHEN 1 THEN 'color' WHEN 2 THEN 'price' ELSE 'weight' END AS specification,
+  CASE CAST((c_custkey + k * 3) % 5 AS INT) WHEN 0 THEN 'eq' WHEN 1 THEN 'gte' WHEN 2 THEN 'lte' WHEN 3 THEN 'range' ELSE 'in' END AS operator,
+  CASE CAST((c_custkey * 3 + k) % 7 AS INT) WHEN 0 THEN '5' WHEN 1 THEN '"red"' WHEN 2 THEN '[10,40]' WHEN 3 THEN '[40,10]' WHEN 4 THEN '[]' WHEN 5 THEN '["red","blue"]' ELSE '[1,"x"]' END AS value
+FROM customer CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 4) ks""",
+    "requirement_forms": """
+SELECT doc_id AS requirement_id, text AS raw_query, lang AS industry, source AS country, substr(text, 1, 130) AS state, CAST(NULL AS STRING) AS city, substr(text, 1, 120) AS quantity, '' AS budget, lang AS timeline,
+  CASE WHEN doc_id % 5 = 0 THEN NULL ELSE (doc_id % 13) / 10.0 END AS extraction_confidence FROM documents""",
+    "promoted": """
+SELECT s_suppkey AS company_id, s_suppkey - s_suppkey % 7 % 2 AS observation_id FROM supplier""",
+    "promoted_records": """
+SELECT o_orderkey AS record_id, o_custkey AS company_id, CASE WHEN o_orderkey % 41 = 0 THEN o_custkey + 1 ELSE o_custkey - o_custkey % 7 % 2 END AS observation_id, CASE WHEN o_orderkey % 53 = 0 THEN 'verified' ELSE 'extracted' END AS status FROM orders""",
+    "buyer_texts": """
+SELECT c_custkey AS id, CASE CAST(c_custkey % 6 AS INT) WHEN 0 THEN 'I need ' WHEN 1 THEN 'Looking for ' WHEN 2 THEN 'find ' WHEN 3 THEN '' WHEN 4 THEN '  Sourcing ' ELSE 'Hello, ' END
+  || p_name || CASE CAST(c_custkey % 4 AS INT) WHEN 0 THEN ' manufacturers' WHEN 1 THEN ' Exporter' WHEN 2 THEN '' ELSE ' supply' END
+  || CASE CAST(c_custkey % 5 AS INT) WHEN 0 THEN ' in India' WHEN 1 THEN ' from south korea' WHEN 2 THEN ', 1,200 pieces' WHEN 3 THEN ' ISO and CE.' ELSE ' near ' END AS text
+FROM customer JOIN part ON p_partkey = c_custkey""",
+    "entered_offerings": """
+SELECT company_id, product_id, role FROM offerings UNION ALL SELECT company_id, product_id, role FROM offerings WHERE offering_id % 97 = 0
+UNION ALL SELECT company_id + 1000000, product_id, role FROM offerings WHERE offering_id % 89 = 0""",
+    "listed_ids": """
+SELECT 'R' || CAST(company_id AS STRING) AS external_id, company_id FROM companies WHERE company_id % 4 <> 3""",
+}
 #: Which fixtures a fixture reads.
-NEEDS = {"requirement_certificates": ["requirements"], "observations": ["companies"]}
+NEEDS = {"requirement_certificates": ["requirements"], "observations": ["companies"], "relationship_actions": ["relationships"], "relationship_pairs": ["relationships"], "listed_ids": ["companies"], "entered_offerings": ["offerings"]}
 
 
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
