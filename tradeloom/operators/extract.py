@@ -39,16 +39,20 @@ def extracted(rows: DataFrame) -> DataFrame:
         "quantity": F.when(F.length(F.regexp_replace(number, ",", "")) >= 2, number),
         "certificates": F.when(F.size(found) > 0, F.array_join(found, ",")),
     })
-    rest = F.trim("text")
-    opening = first_in_front(F.lower(rest))
-    rest = F.trim(F.when(opening.isNull(), rest).otherwise(F.substring(rest, F.length(opening) + 1, F.length(rest))))
+    # step by step: each column is read more than once by the next
+    out = out.withColumn("said", F.trim("text"))
+    opening = first_in_front(F.lower("said"))
+    out = out.withColumn("opening", opening)
+    rest = F.trim(F.when(F.col("opening").isNull(), F.col("said")).otherwise(F.expr("substring(said, length(opening) + 1)")))
     for words in ROLES.values():
         for w in words:
             rest = F.trim(F.regexp_replace(rest, rf"(?i)\b{w}s?\b", ""))
-    rest = F.when(F.col("place").isNull(), rest).otherwise(F.trim(F.regexp_replace(rest, F.concat(F.lit(r"(?i)\b"), "place", F.lit(r"\b")), F.lit(""))))
-    rest = F.trim(F.regexp_replace(rest, r"(?i)\s+(in|for|from|at|near)\s*$", ""))
-    rest = F.trim(F.regexp_replace(rest, r"[.,!?]+$", ""))
-    return out.select("id", "intent", F.initcap("place").alias("country"), "quantity", "certificates", F.when(F.length(rest) >= 2, rest).alias("product"))
+    out = out.withColumn("without_roles", rest)
+    named = F.trim(F.regexp_replace("without_roles", F.concat(F.lit(r"(?i)\b"), "place", F.lit(r"\b")), F.lit("")))
+    out = out.withColumn("without_place", F.when(F.col("place").isNull(), F.col("without_roles")).otherwise(named))
+    rest = F.trim(F.regexp_replace("without_place", r"(?i)\s+(in|for|from|at|near)\s*$", ""))
+    out = out.withColumn("left", F.trim(F.regexp_replace(rest, r"[.,!?]+$", "")))
+    return out.select("id", "intent", F.initcap("place").alias("country"), "quantity", "certificates", F.when(F.length("left") >= 2, F.col("left")).alias("product"))
 
 
 def first_in_front(text: Column) -> Column:

@@ -91,7 +91,7 @@ def evidence_links(records: DataFrame, links: DataFrame, documents: DataFrame) -
     """links (record_id, document_id): the record's expiry follows its document's, its status does not change."""
     out = links.join(records.select("record_id", "status"), "record_id").join(documents.select("document_id", "expiry_date", F.lit(True).alias("known")), "document_id", "left")
     found = F.col("known").isNotNull()
-    return out.select("record_id", "document_id", "status", F.when(found, F.to_timestamp(F.col("expiry_date"))).alias("expires_at"), F.when(~found, "unknown_document").alias("reason"))
+    return out.select("record_id", "document_id", "status", F.when(found, F.col("expiry_date").cast("timestamp_ntz")).alias("expires_at"), F.when(~found, "unknown_document").alias("reason"))
 
 
 def resolve_conflicts(conflicts: DataFrame, notes: DataFrame) -> DataFrame:
