@@ -1,12 +1,15 @@
 """Rules on tiny frames, and helpers against brute force."""
 
 import difflib
+import hashlib
+import json
 import random
+import unicodedata
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from tradeloom.functions import text
+from tradeloom.functions import exact, text
 from tradeloom.operators import ingest, promote, provenance, resolve, sessions
 from tradeloom.sources import payloads
 from tradeloom.streaming import jobs
@@ -145,3 +148,55 @@ def test_streams_equal_batches(spark, tmp_path):
     q.awaitTermination()
     want = {(r.user_id, r.event_id, r.hit) for r in sessions.rate_limit(spark.createDataFrame(hits, frame), 60, 2).collect()}
     assert {(r.user_id, r.event_id, r.hit) for r in spark.table("breaches").collect()} == want
+
+
+def test_unicode_forms_and_hashes(spark):
+    for raw in ("Ｑｕｉｌｌ ﬁne", "Cafe\u0301", "Ångström 漢字", "plain", "", None):
+        for form in ("NFKC", "NFKD"):
+            assert one(spark, raw, lambda c: exact.normalized(c, form)) == (None if raw is None else unicodedata.normalize(form, raw))
+    assert one(spark, "Ｑｕｉｌｌ Ｐｖｔ. Ｌｔｄ.", lambda c: text.match_name(exact.normalized(c, "NFKC"))) == "QUILL"
+    assert one(spark, "Ångström Mühle", lambda c: text.slug(exact.normalized(c, "NFKD"))) == "angstrom-muhle"
+    body = {"z": "Mühle 漢字 😀", "a": None, "m": {"y": 1.50, "x": [True, 10**20]}}
+    want = hashlib.sha256(json.dumps(body, sort_keys=True).encode("utf-8")).hexdigest()
+    assert one(spark, json.dumps(body, ensure_ascii=False, indent=1), exact.content_hash) == want and one(spark, None, exact.content_hash) is None
+
+
+def test_trade_tables(spark):
+    groups = [{"label": "year"}, [{"columns": [{"label": "value"}, {"label": "deep", "columns": [{"label": "value"}]}]}], {"other": 1}]
+    lines = [{"rowEntries": [{"value": "2020"}, {"value": "1"}, {"value": "2"}, {"value": "beyond"}]}, {"rowEntries": [{"value": "2021"}, {"value": None}]}, {}]
+    tables = [{"column_groups": groups, "row_groups": [{"rowsNew": lines}, {"rowsNew": lines}]}, {"column_groups": [], "row_groups": []}, {"column_groups": groups}]
+    rows = spark.createDataFrame([("q", json.dumps({"dto": {"tables": tables}})), ("none", json.dumps({"dto": {}}))], "query string, body string")
+    got = {r.external_id: r.cells for r in payloads.trade_tables(rows).collect()}
+    assert got["usitc:q:measure:0:row:0"] == {"col:year": "2020", "col:value": "2"}
+    assert got["usitc:q:measure:0:row:1"] == {"col:year": "2021", "col:value": None}
+    assert all(x.startswith("usitc:q:measure:0:") for x in got)
+
+
+def test_secrets_are_hidden(spark):
+    rows = spark.sql("SELECT 'refused' AS m, map('Password', 'p', 'api_key', 'k', 'kind', 'x') AS c UNION ALL SELECT NULL, map_filter(map('a', 'b'), (k, v) -> false)")
+    row = rows.select(payloads.error_text(F.col("m"), F.col("c"))).collect()
+    assert [r[0] for r in row] == ["refused (config: {'Password': '***REDACTED***', 'api_key': '***REDACTED***', 'kind': 'x'})", "Unknown error"]
+
+
+def test_submitted_by_hand(spark):
+    rows = spark.createDataFrame([("A", "me", ""), ("", "me", "u"), ("B", None, "u"), ("C", "me", "u")], "company_name string, entered_by string, evidence_url string")
+    assert [(r.company_name, r.external_id) for r in payloads.manual(rows).collect()] == [("A", None), ("C", "u")]
+
+
+def test_conflicts_on_a_stream(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(i, rng.randint(1, 4), rng.choice(["name", "city"]), rng.choice(["x", "x", "x", "y", None])) for i in range(40)]
+    schema = "record_id bigint, company_id bigint, field_name string, value_observed string"
+    for i in range(4):
+        spark.createDataFrame(rows[10 * i : 10 * i + 10], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(str(tmp_path / "in"))
+    q = jobs.conflict_stream(stream).writeStream.format("memory").queryName("disputes").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    want = set()
+    for key in {r[1:3] for r in rows}:
+        log = [r for r in rows if r[1:3] == key and r[3] is not None]
+        at = next((i for i, r in enumerate(log) if r[3] != log[0][3]), len(log))
+        want |= {(*key, r[0], log[0][0]) for r in log[at:]}
+    assert {tuple(r) for r in spark.table("disputes").collect()} == want and want
+    batch = provenance.conflicts(spark.createDataFrame([r for r in rows if r[3]], schema)).collect()
+    assert {(r.company_id, r.field_name, r.first_record) for r in batch} == {(c, f, first) for c, f, _, first in want}

@@ -16,7 +16,7 @@ def squeezed(c: Column) -> Column:
 
 
 def match_name(c: Column) -> Column:
-    """Upper case without punctuation and without one legal suffix. Text should be NFKC already."""
+    """Upper case without punctuation and without one legal suffix. Text beyond ASCII: exact.normalized(c, "NFKC") first."""
     plain = squeezed(F.regexp_replace(F.upper(c), "[^\\p{L}\\p{N}_\\s]", ""))
     suffixes = [s.upper() for s in LEGAL_SUFFIXES]
     return F.when(plain.isin(suffixes), plain).otherwise(F.regexp_replace(plain, "^(.+?) (?:" + "|".join(suffixes) + ")$", "$1"))
@@ -32,7 +32,7 @@ def match_place(c: Column) -> Column:
 
 
 def slug(c: Column) -> Column:
-    """ASCII text only; others are decomposed beforehand."""
+    """Text beyond ASCII: exact.normalized(c, "NFKD") first."""
     out = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_replace(c, "[^\\x00-\\x7f]", "")), "[^a-z0-9]+", "-"), "^-+|-+$", "")
     return F.when(out == "", "company").otherwise(out)
 

@@ -39,3 +39,11 @@ def specification_gaps(criteria: DataFrame, requirements: DataFrame, offerings:
     out = used.join(total, "category_id", "left").join(having, ["category_id", "specification"], "left")
     out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("live_offerings", "with_value")})
     return out.withColumn("coverage_rate", F.try_divide(F.col("with_value").cast("double"), F.col("live_offerings")))
+
+
+def report(categories: DataFrame, specifications: DataFrame) -> DataFrame:
+    """Both kinds of gaps as one table: what was asked for, how often, and how often the data had no answer."""
+    unmet = F.col("zero_offering_count") + F.col("fully_excluded_count")
+    by_category = categories.select(F.lit("category").alias("kind"), F.col("category").alias("category_id"), F.lit(None).cast("string").alias("specification"), F.col("search_count").alias("asked"), unmet.alias("unmet"), "certification_gap")
+    by_value = specifications.select(F.lit("specification").alias("kind"), "category_id", "specification", F.col("times_used").alias("asked"), (F.col("live_offerings") - F.col("with_value")).alias("unmet"), F.lit(None).cast("bigint").alias("certification_gap"))
+    return by_category.unionByName(by_value)

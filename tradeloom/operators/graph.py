@@ -30,15 +30,26 @@ def traversal(companies: DataFrame, offerings: DataFrame, products: DataFrame) -
     return companies.select("company_id", "name").join(offerings.select("company_id", "product_id", "role"), "company_id").join(products.select("product_id", "category_id"), "product_id")
 
 
-def company_search(companies: DataFrame, name: str | None = None, industry: str | None = None, country: str | None = None, page: int = 1, size: int = 20) -> DataFrame:
-    """A page of active companies by name, with the total and number of pages on each row."""
+def like_any(columns: list[str], text: str) -> Column:
+    return F.exists(F.array(*[F.coalesce(F.col(c).ilike(f"%{text}%"), F.lit(False)) for c in columns]), lambda x: x)
+
+
+def paged(found: DataFrame, order: list[Column], page: int, size: int) -> DataFrame:
+    """A page of what was found, with the total and number of pages on each row."""
+    total = found.agg(F.count(F.lit(1)).alias("total"))
+    rows = found.orderBy(*order).offset((page - 1) * size).limit(size)
+    return rows.join(F.broadcast(total)).withColumn("pages", F.greatest(F.lit(1), F.ceil(F.col("total") / size)).cast("bigint"))  # one row
+
+
+def company_search(companies: DataFrame, name: str | None = None, industry: str | None = None, country: str | None = None, page: int = 1, size: int = 20, city: str | None = None, sort: str = "name", descending: bool = False) -> DataFrame:
+    """A page of active companies; `name` is looked for in the slug too where companies have one."""
     out = companies.where("status = 'active'")
-    for column, value in (("name", name), ("industry", industry), ("country", country)):
+    fields = {"name": [c for c in ("name", "slug") if c in companies.columns], "industry": ["industry"], "country": ["country"], "city": ["city"]}
+    for field, value in (("name", name), ("industry", industry), ("country", country), ("city", city)):
         if value:
-            out = out.where(F.col(column).ilike(f"%{value}%"))
-    total = out.agg(F.count(F.lit(1)).alias("total"))
-    rows = out.select("company_id", "name", "industry", "country").orderBy(F.col("name").asc_nulls_last(), "company_id").offset((page - 1) * size).limit(size)
-    return rows.join(F.broadcast(total)).withColumn("pages", F.greatest(F.lit(1), F.ceil(F.col("total") / size)).cast("bigint"))
+            out = out.where(like_any(fields[field], value))
+    order = F.col(sort).desc_nulls_last() if descending else F.col(sort).asc_nulls_last()
+    return paged(out, [order, F.col("company_id")], page, size).select("company_id", "name", "industry", "country", "total", "pages")
 
 
 def with_trust(results: DataFrame, scores: DataFrame) -> DataFrame:
@@ -51,12 +62,24 @@ def product_search(products: DataFrame, offerings: DataFrame, name: str) -> Data
     return out.select("product_id", "name", "category_id", F.coalesce("offering_count", F.lit(0)).alias("offering_count"))
 
 
+def product_page(products: DataFrame, offerings: DataFrame, name: str | None = None, category: str | None = None, industry: str | None = None, page: int = 1, size: int = 20) -> DataFrame:
+    """A page of published products, newest (largest id) first, each with its number of offerings."""
+    out = products.where("status = 'published'")
+    out = out.where(like_any(["name"], name)) if name else out
+    out = out.where(F.col("category_id") == category) if category else out
+    out = out.where(like_any(["industry"], industry)) if industry else out
+    shown = paged(out, [F.desc("product_id")], page, size)
+    counts = offerings.join(F.broadcast(shown.select("product_id")), "product_id").groupBy("product_id").agg(F.count(F.lit(1)).alias("offering_count"))  # a page of ids
+    return shown.join(counts, "product_id", "left").select("product_id", "name", "category_id", F.coalesce("offering_count", F.lit(0)).alias("offering_count"), "total", "pages")
+
+
 def discover(companies: DataFrame, text: str, per_field: int = 50) -> DataFrame:
     """Hits per field (first `per_field`, newest first: a top-k for each), merged and ranked by fields hit."""
     if len(text.strip()) < 2:
         return companies.limit(0).select("company_id", F.lit("").alias("matched_fields"), F.lit(0).alias("n_fields"), F.lit(0).alias("rank"))
     fields = ["name", "industry", "city", "country"]
-    hit: dict[str, Column] = {f: F.coalesce(F.col(f).ilike(f"%{text}%"), F.lit(False)) for f in fields}
+    text = text.strip()
+    hit = {f: like_any([f, "slug"] if f == "name" and "slug" in companies.columns else [f], text) for f in fields}
     live = companies.where("status = 'active'").select("company_id", *[hit[f].alias(f) for f in fields])
     lists = [live.where(f).orderBy(F.desc("company_id")).limit(per_field).select("company_id", F.lit(i).alias("i")) for i, f in enumerate(fields)]
     first = lists[0].union(lists[1]).union(lists[2]).union(lists[3]).groupBy("company_id").agg(F.array_sort(F.collect_list("i")).alias("lists"))

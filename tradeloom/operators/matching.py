@@ -75,12 +75,13 @@ def pairs(requirements: DataFrame, criteria: DataFrame, certificates: DataFrame,
     })
 
 
-def ranked(pairs: DataFrame) -> DataFrame:
+def ranked(pairs: DataFrame, *more: str) -> DataFrame:
+    """Candidates that pass, by score; further columns of `pairs` on demand."""
     earned = F.col("location_points") + F.col("certificate_points") + F.col("trust_points")
     possible = F.col("location_possible") + F.col("certificate_possible") + TRUST
     out = pairs.where("passes").withColumn("score", F.bround(earned / possible * 100, 2))
     order = Window.partitionBy("requirement_id").orderBy(F.desc("score"), F.desc("trust_points"), "created_at", "offering_id")
-    return out.select("requirement_id", F.row_number().over(order).alias("rank"), "offering_id", "company_id", "score", "location_points", "certificate_points", "trust_points")
+    return out.select("requirement_id", F.row_number().over(order).alias("rank"), "offering_id", "company_id", "score", "location_points", "certificate_points", "trust_points", *more)
 
 
 def summary(requirements: DataFrame, pairs: DataFrame) -> DataFrame:

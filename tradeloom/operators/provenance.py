@@ -20,6 +20,15 @@ def conflicts(records: DataFrame) -> DataFrame:
     return per.where("lo <> hi").drop("lo", "hi")
 
 
+def tag_conflicts(records: DataFrame, open_conflicts: DataFrame) -> DataFrame:
+    """(record_id, conflict_id): every record of a group with more than one value, under the group's open conflict
+    (company_id, field_name, conflict_id; the smallest) where there is one, else under its first record."""
+    keys = ["company_id", "field_name"]
+    earlier = open_conflicts.groupBy(*keys).agg(F.min("conflict_id").alias("earlier"))
+    tags = conflicts(records).join(earlier, keys, "left").select(*keys, F.coalesce("earlier", "first_record").alias("conflict_id"))
+    return records.select("record_id", *keys).join(tags, keys).select("record_id", "conflict_id")
+
+
 def current(records: DataFrame) -> DataFrame:
     latest = Window.partitionBy("company_id", "field_name").orderBy(F.desc("last_observed_at"), F.desc("record_id"))
     return records.withColumn("nth", F.row_number().over(latest)).where("nth = 1").drop("nth")

@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import gaps, graph, ingest, matching, promote, provenance, resolve, sessions, trust
-from ..sources import payloads
 from ..sources.fixtures import ctes
-from . import records, twins
+from . import collected, records, twins
 from .over import Query, over
 
 AS_OF = datetime(1999, 6, 1)
@@ -68,7 +67,6 @@ QUERIES: dict[str, Query] = {
     "gap_specifications": over("criteria", "requirements", "offerings", "products", "product_attributes")(gaps.specification_gaps),
     "ingest_outcomes": over("documents")(lambda d: ingest.outcomes(batch(d), history(d))),
     "ingest_rollup": over("documents")(lambda d: ingest.job_rollup(ingest.outcomes(batch(d), history(d)), "source")),
-    "registry_pages": over("companies")(lambda c: payloads.registry(payloads.as_registry_pages(c))),
     "resolve_signals": over("observations", "companies")(lambda o, c: resolve.exact_signals(o, c).select("observation_id", "signal", "company_id")),
     "resolve_exact_decisions": over("observations", "companies", "listed_ids")(lambda o, c, i: resolve.decide(o, resolve.exact_signals(o, c).unionByName(resolve.source_signals(o, i)))),
     "resolve_decisions": over("observations", "companies", "listed_ids")(resolve.all_decisions),
@@ -100,5 +98,5 @@ QUERIES: dict[str, Query] = {
     "lockouts": over("auth_events")(sessions.lockouts),
 }
 ORACLES: dict[str, str] = {name: ctes(*tables) + body if tables else body for name, (tables, body) in twins.TWINS.items()}
-QUERIES |= records.QUERIES
-ORACLES |= records.ORACLES
+QUERIES |= records.QUERIES | collected.QUERIES
+ORACLES |= records.ORACLES | collected.ORACLES

@@ -117,7 +117,6 @@ SELECT category, search_count, zero_offering_count, fully_excluded_count, avg_co
 SELECT category_id, specification, times_used, coalesce(t.n, 0) AS live_offerings, coalesce(h.n, 0) AS with_value, CASE WHEN t.n > 0 THEN coalesce(h.n, 0)::DOUBLE / t.n END AS coverage_rate FROM used LEFT JOIN total t USING (category_id) LEFT JOIN having_ h USING (category_id, specification)"""),
     "ingest_outcomes": ([], BATCH + "SELECT * FROM outcomes"),
     "ingest_rollup": ([], BATCH + ", r AS (SELECT source, count(*) FILTER (outcome = 'created') AS created, count(*) FILTER (outcome = 'skipped_duplicate') AS skipped_duplicate, count(*) FILTER (outcome = 'failed') AS failed FROM outcomes GROUP BY 1) SELECT *, CASE WHEN created = 0 AND skipped_duplicate = 0 AND failed > 0 THEN 'failed' ELSE 'succeeded' END AS status FROM r"),
-    "registry_pages": (["companies"], " SELECT company_id // 10 AS page_id, row_number() OVER (PARTITION BY company_id // 10 ORDER BY company_id) - 1 AS pos, cin, name AS company_name, state AS registered_state, status AS company_status FROM companies QUALIFY cin IS NOT NULL"),
     "resolve_signals": (["observations", "companies"], SIGNALS + " SELECT observation_id, signal, company_id FROM signals"),
     "resolve_exact_decisions": (["observations", "companies", "listed_ids"], SIGNALS + """, l AS (SELECT external_id, min(company_id) AS company_id FROM listed_ids GROUP BY 1), every AS (SELECT observation_id, signal, company_id, with_cin FROM signals UNION ALL SELECT observation_id, 'source_id', l.company_id, NULL FROM observations JOIN l USING (external_id) WHERE name IS NOT NULL
 ), p AS (SELECT observation_id, min(company_id) FILTER (signal = 'strong_id') AS a, min(company_id) FILTER (signal = 'source_id') AS s, min(company_id) FILTER (signal = 'domain') AS d, min(company_id) FILTER (signal = 'name_address') AS na, min(company_id) FILTER (signal = 'name') AS n, coalesce(min(with_cin) FILTER (signal = 'name_address'), min(with_cin) FILTER (signal = 'name')) AS k, string_agg(DISTINCT signal, ',' ORDER BY signal) AS signals FROM every GROUP BY 1)

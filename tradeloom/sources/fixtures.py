@@ -161,8 +161,23 @@ UNION ALL SELECT company_id + 1000000, product_id, role FROM offerings WHERE off
     "listed_ids": """
 SELECT 'R' || CAST(company_id AS STRING) AS external_id, company_id FROM companies WHERE company_id % 4 <> 3""",
 }
+#: Tables of what collectors landed: names in two Unicode forms, contents of five kinds, jobs and their settings.
+FIXTURES |= {
+    "foreign_names": """
+SELECT company_id, replace(name, 'e', CASE WHEN company_id % 2 = 0 THEN '\u00e9' ELSE 'e\u0301' END) AS name FROM companies""",
+    "collector_jobs": """
+SELECT s_suppkey AS job_id, CASE CAST(s_suppkey % 6 AS INT) WHEN 0 THEN 'registry' WHEN 1 THEN 'filer' WHEN 2 THEN 'manual' WHEN 3 THEN 'mock' WHEN 4 THEN 'census' ELSE 'trade' END AS collector,
+  CASE WHEN s_suppkey % 3 <> 0 THEN 'key ' || s_name END AS api_key, CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE 'no answer from ' || s_name END AS message FROM supplier""",
+    "collected_events": """
+SELECT c_custkey AS observation_id, 1 + CAST(floor(c_custkey / 16.0) AS BIGINT) AS job_id FROM customer WHERE c_custkey % 5 <> 0""",
+    "collected": f"""
+SELECT c_custkey AS observation_id, CASE WHEN c_custkey % 15 = 2 OR c_custkey % 25 = 5 THEN '{{"other":"' || c_name || '"}}'
+  WHEN c_custkey % 3 = 0 THEN '{{"cin":"U' || CAST(c_custkey AS STRING) || '","company_name":"  ' || c_name || '  Ltd","registered_state":"Maharashtra","registered_office_address":"7 Lake Lane, ' || {CITY.format('c_custkey')} || CASE WHEN c_custkey % 2 = 0 THEN ', maharashtra' ELSE '' END || ' 422001","principal_business_activity":"' || c_mktsegment || '","nic_code":"28"}}'
+  WHEN c_custkey % 3 = 1 THEN '{{"name":"' || c_name || '","company_name":"","sic_description":"' || c_mktsegment || '","business_address_state":"CA","business_address_city":"Fresno","cik":"' || CAST(c_custkey AS STRING) || '","website":"https://c.example"}}'
+  ELSE '{{"company_name":"' || c_name || '","industry":"' || c_mktsegment || '","country":"India","state":"","city":"Pune","notes":"seen"}}' END AS body FROM customer""",
+}
 #: Which fixtures a fixture reads.
-NEEDS = {"requirement_certificates": ["requirements"], "observations": ["companies"], "relationship_actions": ["relationships"], "relationship_pairs": ["relationships"], "listed_ids": ["companies"], "entered_offerings": ["offerings"]}
+NEEDS = {"foreign_names": ["companies"], "requirement_certificates": ["requirements"], "observations": ["companies"], "relationship_actions": ["relationships"], "relationship_pairs": ["relationships"], "listed_ids": ["companies"], "entered_offerings": ["offerings"]}
 
 
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

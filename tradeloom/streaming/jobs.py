@@ -56,3 +56,25 @@ def rate_limit_stream(events: DataFrame, seconds: int, most: int) -> DataFrame:
 def hourly_counts(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     """Attempts by kind and hour, late rows up to `late` counted."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("hour"), "event_type", "n")
+
+
+def conflict_stream(records: DataFrame) -> DataFrame:
+    """Records that disagree with an earlier one of their (company_id, field_name), under the group's first record.
+
+    State is the first record, its value and whether the group is open: no list of records. Rows of a group must come
+    in id order between micro-batches; within one they are sorted. Records from before a group opened are tagged by a
+    join on its key, as in the batch form.
+    """
+
+    def walk(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        log = pd.concat(list(parts)).dropna(subset=["value_observed"]).sort_values("record_id", ignore_index=True)
+        if log.empty:
+            return
+        first, value, opened = state.get if state.exists else (int(log.record_id[0]), log.value_observed[0], False)
+        differs = (log.value_observed != value).cummax() | opened
+        state.update((first, value, bool(differs.iloc[-1])))
+        out = log[differs]
+        yield pd.DataFrame({"company_id": int(key[0]), "field_name": key[1], "record_id": out.record_id, "conflict_id": first})
+
+    rows = records.select("company_id", "field_name", "record_id", "value_observed")
+    return rows.groupBy("company_id", "field_name").applyInPandasWithState(walk, "company_id bigint, field_name string, record_id bigint, conflict_id bigint", "first bigint, value string, opened boolean", "append", GroupStateTimeout.NoTimeout)
