@@ -7,8 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-
-from . import bpe, mixing, ngram_lm, preference, quality, simhash, suffix_dedup, token_store, toxicity, vp_search
+from . import bpe, fill_middle, mixing, ngram_lm, preference, quality, simhash, suffix_dedup, token_counts, token_store, toxicity, turn_repair, vp_search
 from .common import fold, table, written
 
 
@@ -53,6 +52,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op10(table(spark, sf_dir, "documents"))
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.op11(table(spark, sf_dir, "conversations"), save=lambda df: written(df, "decisions"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.op12(table(spark, sf_dir, "documents"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.op13(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -60,6 +71,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_bpe, op3_vantage_search, op4_preference_format, op5_token_store, op6_kneser_ney, op7_simhash, op8_suffix_dedup, op9_quality_rules, op10_mixing, pipeline)
+    f.__name__: f for f in (op1_toxicity, op2_bpe, op3_vantage_search, op4_preference_format, op5_token_store, op6_kneser_ney, op7_simhash, op8_suffix_dedup, op9_quality_rules, op10_mixing, op11_turn_repair, op12_fill_in_middle, op13_token_counts, pipeline)
 }
-ORACLES = {"op4_preference_format": preference.ORACLE}
+ORACLES = {"op4_preference_format": preference.ORACLE, "op12_fill_in_middle": fill_middle.ORACLE}
