@@ -2,7 +2,9 @@
 
 import difflib
 
-from tradeloom.operators import graph, resolve
+import pytest
+
+from tradeloom.operators import graph, resolve, search_index
 from tradeloom.plans import registry
 from tradeloom.sources.fixtures import frame
 
@@ -64,16 +66,49 @@ def searched(requirements, companies):
     return out
 
 
-def test_requirements_are_searched_by_term(spark):
-    c = spark.createDataFrame([(1, "Bolt House", "Steel", "India", "Pune", "active"), (2, "Old Bolts", "steel", "India", "Pune", "archived"), (3, "Ring Works", "Steel pipes", "INDIA", "Surat", "active"), (4, "Bolt Shop", None, "Norway", None, "active"), (5, "X", "Wood", None, "Oslo", "active")], "company_id bigint, name string, industry string, country string, city string, status string")
-    r = spark.createDataFrame([(1, "steel", " india", None), (2, "Steel", None, "Pune"), (3, "bolt", None, None), (4, "bolt", "norway", "Oslo"), (5, None, None, "oslo"), (6, "glass", "India", "Pune"), (7, None, None, None), (8, " ", "India", "")], "requirement_id bigint, term string, country string, city string")
-    got = [tuple(x) for x in graph.term_search(r, c).collect()]
-    assert len(got) == len(set(got)) and set(got) == searched(r.collect(), c.collect())
-    assert {(1, 1, "term,country"), (1, 3, "term,country"), (3, 4, "term"), (5, 5, "city")} <= set(got) and {k for k, *_ in got} == {1, 2, 3, 5, 7, 8}
+def paged(requirements, companies, page, size):
+    """A page by name for each requirement that finds any: (requirement, place, company, matched_on, total, pages)."""
+    names, hits, out = {c.company_id: c.name for c in companies}, {}, set()
+    for r, c, on in searched(requirements, companies):
+        hits.setdefault(r, []).append((names[c], c, on))
+    for r, found in hits.items():
+        shown = list(enumerate(sorted(found), 1))[(page - 1) * size : page * size]
+        out |= {(r, i, c, on, len(found), max(1, -(-len(found) // size))) for i, (_, c, on) in shown} or {(r, None, None, "", len(found), max(1, -(-len(found) // size)))}
+    return out
+
+
+COMPANIES = [
+    (1, "Bolt House", "Steel", "India", "Pune", "active"), (2, "Old Bolts", "steel", "India", "Pune", "archived"), (3, "Ring Works", "Steel pipes", "INDIA", "Surat", "active"), (4, "Bolt Shop", None, "Norway", None, "active"),
+    (5, "X", "Wood", None, "Oslo", "active"), (6, "Ring Works", "Steel pipes", "India", "Surat", "active"), (7, "\u00c5s", "\u00e9t", "", "", "active"),
+]
+ASKED = [
+    (1, "steel", " india", None), (2, "Steel", None, "Pune"), (3, "bolt", None, None), (4, "bolt", "norway", "Oslo"), (5, None, None, "oslo"), (6, "glass", "India", "Pune"), (7, None, None, None), (8, " ", "India", ""),
+    (9, "e", None, None), (10, "x", None, None), (11, "\u00e9", None, None), (12, "ee", "di", "u"), (13, "bolt", None, None), (13, "bolt", None, None), (None, "wood", None, None),
+]
+
+
+@pytest.mark.parametrize(("page", "size"), [(1, 20), (1, 2), (2, 2), (9, 3)])
+def test_requirements_are_searched_by_term(spark, page, size):
+    c = spark.createDataFrame(COMPANIES, "company_id bigint, name string, industry string, country string, city string, status string")
+    r = spark.createDataFrame(ASKED, "requirement_id bigint, term string, country string, city string")
+    got = [tuple(x) for x in search_index.term_search(r, c, page, size).collect()]
+    assert set(got) == paged(r.collect(), c.collect(), page, size) and len(got) == len(set(got)) + sum(x[0] == 13 for x in got) // 2
+    assert {x[0] for x in got} == {1, 2, 3, 5, 7, 8, 9, 10, 11, 12, 13, None}
 
 
 def test_term_search_equals_brute_force(spark):
     r, c = frame(spark, SF, "requirements"), frame(spark, SF, "companies")
-    got = [tuple(x) for x in registry.QUERIES["requirement_term_search"](spark, SF).collect()]
-    want = searched(registry.with_term(r).select("requirement_id", "term", "country", "city").collect(), c.collect())
+    found = registry.QUERIES["requirement_search"](spark, SF)
+    assert not any(x in found._jdf.queryExecution().executedPlan().toString() for x in ("CartesianProduct", "NestedLoop"))
+    got = [tuple(x) for x in found.collect()]
+    want = paged(registry.with_term(r).select("requirement_id", "term", "country", "city").collect(), c.collect(), 1, 20)
     assert len(got) == len(set(got)) and set(got) == want and want
+
+
+def test_terms_are_discovered(spark):
+    c = spark.createDataFrame(COMPANIES, "company_id bigint, name string, industry string, country string, city string, status string")
+    terms = ["bolt", " Ring ", "steel", "in", "o", "", None, "pun", "steel", "\u00c5s"]
+    got = search_index.discover_terms(spark.createDataFrame([(t,) for t in terms], "term string"), c, per_field=1)
+    one = {t: [tuple(x)[:3] + (x.rank,) for x in graph.discover(c, t, per_field=1).select("company_id", "matched_fields", "n_fields", "rank").collect()] for t in {t.strip() for t in terms if t}}
+    assert {(t, *x) for t, xs in one.items() for x in xs} == {tuple(x) for x in got.collect()}
+    assert search_index.containing(spark.createDataFrame([("",)], "asked string"), spark.createDataFrame([("a",)], "text string")).collect() == []

@@ -88,41 +88,6 @@ def discover(companies: DataFrame, text: str, per_field: int = 50) -> DataFrame:
     return out.select("company_id", F.array_join(F.array_compact(F.array(*[F.when(F.col(f), F.lit(f)) for f in fields])), ",").alias("matched_fields"), "n_fields", F.row_number().over(order).alias("rank"))
 
 
-def holding(asked: DataFrame, live: DataFrame, name: str, field: str) -> DataFrame:
-    """(asked_<name>, <field>): each distinct value asked for with the field's values that contain it; null asks for all."""
-    left, right = asked.select(F.col(name).alias(f"asked_{name}")).distinct(), live.select(field).distinct()
-    return left.join(right, F.col(f"asked_{name}").isNull() | F.col(field).contains(F.col(f"asked_{name}")))
-
-
-def term_search(requirements: DataFrame, companies: DataFrame) -> DataFrame:
-    """(requirement_id, term, country, city) against active companies: industry, country and city contain what is
-    asked for; a requirement with a term and no hit is searched again with the name instead of the industry.
-
-    Blank and null filters are left out. Values meet as distinct values, then by equality. matched_on has the term
-    where industry or name contains it, and country and city where they are equal.
-    """
-    clean = lambda c: F.lower(F.trim(c))
-    asked = requirements.select("requirement_id", *[F.nullif(clean(F.col(c)), F.lit("")).alias(c) for c in ("term", "country", "city")])
-    live = companies.where("status = 'active'").select("company_id", *[F.lower(c).alias(f"own_{c}") for c in ("name", "industry", "country", "city")])
-
-    def search(asked: DataFrame, field: str) -> DataFrame:
-        out = asked
-        for name, own in (("term", field), ("country", "own_country"), ("city", "own_city")):
-            pairs = holding(asked, live, name, own).withColumnRenamed(own, f"hit_{own}")
-            out = out.join(pairs, F.col(name).eqNullSafe(F.col(f"asked_{name}"))).drop(f"asked_{name}")
-        return out.join(live, [F.col(f"hit_{c}").eqNullSafe(F.col(c)) for c in (field, "own_country", "own_city")])
-
-    kinds = {
-        "term": F.col("own_industry").contains(F.col("term")) | F.col("own_name").contains(F.col("term")),
-        "country": F.col("own_country") == F.col("country"),
-        "city": F.col("own_city") == F.col("city"),
-    }
-    columns = ["requirement_id", "company_id", F.concat_ws(",", *[F.when(c, F.lit(k)) for k, c in kinds.items()]).alias("matched_on")]
-    first = search(asked, "own_industry").select(*columns)
-    rest = asked.where("term IS NOT NULL").join(first, "requirement_id", "left_anti")
-    return first.union(search(rest, "own_name").select(*columns))
-
-
 def integrity(offerings: DataFrame, companies: DataFrame, provenance: DataFrame) -> DataFrame:
     """Violations: repeated (company, product, role), offerings of unknown companies, records without an entity."""
     twice = offerings.groupBy("company_id", "product_id", "role").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.lit("duplicate_offering").alias("rule"), F.col("company_id").alias("entity_id"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import gaps, graph, ingest, matching, promote, provenance, resolve, sessions, trust
+from ..operators import gaps, graph, ingest, matching, promote, provenance, resolve, search_index, sessions, trust
 from ..sources.fixtures import ctes
 from . import collected, records, twins
 from .over import Query, over
@@ -88,8 +88,9 @@ QUERIES: dict[str, Query] = {
     "company_search": over("companies")(lambda c: graph.company_search(c, name="zone 1", page=1, size=10)),
     "product_search": over("products", "offerings")(lambda p, o: graph.product_search(p, o, "ring")),
     "discover": over("companies")(lambda c: graph.discover(c, "on")),
-    "requirement_search": over("requirements", "companies")(lambda r, c: graph.term_search(with_term(r), c)),
-    "requirement_term_search": over("requirements", "companies")(lambda r, c: graph.term_search(with_term(r), c)),
+    "requirement_search": over("requirements", "companies")(lambda r, c: search_index.term_search(with_term(r), c)),
+    "requirement_term_search": over("requirements", "companies")(lambda r, c: search_index.term_search(with_term(r), c, page=2, size=5).where("company_id IS NOT NULL")),
+    "discover_terms": over("requirements", "companies")(lambda r, c: search_index.discover_terms(with_term(r), c)),
     "integrity": over("entered_offerings", "companies", "promoted_records")(graph.integrity),
     "token_reuse": over("auth_events")(sessions.token_reuse),
     "session_expiry": over("auth_events")(lambda e: sessions.session_expiry(e, 3600)),

@@ -92,11 +92,18 @@ QUALITY = CONFLICTS + f""", latest AS (SELECT *, row_number() OVER (PARTITION BY
   FROM latest l LEFT JOIN tagged t USING (company_id, field_name) WHERE nth = 1)"""
 
 TERM_SEARCH = """, q AS (SELECT requirement_id, nullif(lower(trim(CASE WHEN requirement_id % 3 = 0 THEN ['red', 'blue', 'ring', 'bolt'][CAST(requirement_id % 4 AS INTEGER) + 1] ELSE split_part(category_id, '/', 1) END)), '') AS term, nullif(lower(trim(country)), '') AS qc, nullif(lower(trim(city)), '') AS qt FROM requirements
-), l AS (SELECT company_id, lower(name) AS nm, lower(industry) AS ind, lower(country) AS c, lower(city) AS t FROM companies WHERE status = 'active'
+), l AS (SELECT company_id, lower(name) AS nm, lower(industry) AS ind, lower(country) AS c, lower(city) AS t, name AS shown FROM companies WHERE status = 'active'
 ), here AS (SELECT * FROM q JOIN l ON (qc IS NULL OR contains(c, qc)) AND (qt IS NULL OR contains(t, qt))
 ), one AS (SELECT * FROM here WHERE term IS NULL OR contains(ind, term)
 ), two AS (SELECT * FROM one UNION ALL SELECT * FROM here WHERE contains(nm, term) AND requirement_id NOT IN (SELECT requirement_id FROM one))
-SELECT requirement_id, company_id, concat_ws(',', CASE WHEN contains(ind, term) OR contains(nm, term) THEN 'term' END, CASE WHEN c = qc THEN 'country' END, CASE WHEN t = qt THEN 'city' END) AS matched_on FROM two"""
+, n AS (SELECT requirement_id, company_id, shown, concat_ws(',', CASE WHEN contains(ind, term) OR contains(nm, term) THEN 'term' END, CASE WHEN c = qc THEN 'country' END, CASE WHEN t = qt THEN 'city' END) AS matched_on,
+  row_number() OVER (PARTITION BY requirement_id ORDER BY shown, company_id) AS place, count(*) OVER (PARTITION BY requirement_id) AS total FROM two)
+SELECT requirement_id, CAST(place AS INTEGER) AS place, company_id, matched_on, total, greatest(1, CAST(ceil(total / {0}.0) AS BIGINT)) AS pages FROM n WHERE place BETWEEN {1} AND {2}"""
+DISCOVER = """, q AS (SELECT DISTINCT trim(term) AS shown, lower(trim(term)) AS x FROM (SELECT CASE WHEN requirement_id % 3 = 0 THEN ['red', 'blue', 'ring', 'bolt'][CAST(requirement_id % 4 AS INTEGER) + 1] ELSE split_part(category_id, '/', 1) END AS term FROM requirements) WHERE length(trim(term)) >= 2
+), f AS (SELECT shown, company_id, contains(lower(name), x) AS h0, coalesce(contains(lower(industry), x), false) AS h1, contains(lower(city), x) AS h2, contains(lower(country), x) AS h3 FROM q JOIN companies ON status = 'active' AND (contains(lower(name), x) OR contains(lower(industry), x) OR contains(lower(city), x) OR contains(lower(country), x))
+), l AS (SELECT shown, company_id, i FROM f JOIN (VALUES (0), (1), (2), (3)) v(i) ON CASE i WHEN 0 THEN h0 WHEN 1 THEN h1 WHEN 2 THEN h2 ELSE h3 END QUALIFY row_number() OVER (PARTITION BY shown, i ORDER BY company_id DESC) <= 50
+), m AS (SELECT shown, company_id, min(i) AS first FROM l GROUP BY 1, 2), r AS (SELECT f.*, m.first, CAST(h0 AS INTEGER) + CAST(h1 AS INTEGER) + CAST(h2 AS INTEGER) + CAST(h3 AS INTEGER) AS n_fields FROM f JOIN m USING (shown, company_id))
+SELECT shown AS term, company_id, concat_ws(',', CASE WHEN h0 THEN 'name' END, CASE WHEN h1 THEN 'industry' END, CASE WHEN h2 THEN 'city' END, CASE WHEN h3 THEN 'country' END) AS matched_fields, n_fields, CAST(row_number() OVER (PARTITION BY shown ORDER BY n_fields DESC, first, company_id DESC) AS INTEGER) AS rank FROM r"""
 TWINS: dict[str, tuple[list[str], str]] = {
     "names": (["companies"], f" SELECT company_id, {NAME.format(PLAIN.format('name'))} AS match_name, {DOMAIN} AS domain, {PLACE.format('city')} AS place, CASE WHEN {SLUG} = '' THEN 'company' ELSE {SLUG} END AS slug, trim(regexp_replace(name, '\\s+', ' ', 'g')) AS display FROM companies"),
     "certificate_words": (["requirement_certificates"], ", w AS (SELECT requirement_id, n, ' ' || array_to_string(regexp_extract_all(lower(certificate), '[a-z0-9]+'), ' ') || ' ' AS p FROM requirement_certificates) SELECT requirement_id, n, contains(p, ' iso ') AS is_iso, contains(p, ' ce ') AS is_ce, contains(p, ' bis ') AS is_bis, contains(p, ' factory license ') AS is_licence FROM w"),
@@ -139,8 +146,9 @@ SELECT observation_id, name, name AS legal_name, strong_id AS cin, CASE WHEN NOT
 ), n AS (SELECT *, a AND row_number() OVER (PARTITION BY a ORDER BY company_id DESC) <= 50 AS la, b AND row_number() OVER (PARTITION BY b ORDER BY company_id DESC) <= 50 AS lb, c AND row_number() OVER (PARTITION BY c ORDER BY company_id DESC) <= 50 AS lc, d AND row_number() OVER (PARTITION BY d ORDER BY company_id DESC) <= 50 AS ld FROM h WHERE a OR b OR c OR d
 ), m AS (SELECT *, a::INT + b::INT + c::INT + d::INT AS n_fields, CASE WHEN la THEN 0 WHEN lb THEN 1 WHEN lc THEN 2 ELSE 3 END AS first FROM n WHERE la OR lb OR lc OR ld)
 SELECT company_id, array_to_string(list_filter([CASE WHEN a THEN 'name' END, CASE WHEN b THEN 'industry' END, CASE WHEN c THEN 'city' END, CASE WHEN d THEN 'country' END], lambda x: x IS NOT NULL), ',') AS matched_fields, n_fields, CAST(row_number() OVER (ORDER BY n_fields DESC, first, company_id DESC) AS INTEGER) AS rank FROM m"""),
-    "requirement_search": (["requirements", "companies"], TERM_SEARCH),
-    "requirement_term_search": (["requirements", "companies"], TERM_SEARCH),
+    "requirement_search": (["requirements", "companies"], TERM_SEARCH.format(20, 1, 20)),
+    "requirement_term_search": (["requirements", "companies"], TERM_SEARCH.format(5, 6, 10)),
+    "discover_terms": (["requirements", "companies"], DISCOVER),
     "integrity": (["entered_offerings", "companies", "promoted_records"], " SELECT 'duplicate_offering' AS rule, company_id AS entity_id FROM entered_offerings GROUP BY company_id, product_id, role HAVING count(*) > 1 UNION ALL SELECT 'unknown_company', company_id FROM entered_offerings WHERE company_id NOT IN (SELECT company_id FROM companies) UNION ALL SELECT 'unknown_entity', record_id FROM promoted_records WHERE company_id NOT IN (SELECT company_id FROM companies)"),
     "token_reuse": (["auth_events"], ", n AS (SELECT *, row_number() OVER (PARTITION BY token_id ORDER BY ts, event_id) AS nth FROM auth_events) SELECT token_id, user_id, ts AS revoked_at FROM n WHERE nth = 2"),
     "session_expiry": (["auth_events"], ", g AS (SELECT *, ts - lag(ts) OVER w > INTERVAL 3600 SECOND AS gap FROM auth_events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), d AS (SELECT *, coalesce(bool_or(gap) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), false) AS dead FROM g) SELECT user_id, max(ts) FILTER (NOT dead) AS last_valid, count(*) FILTER (NOT dead) AS rotations, count(*) FILTER (dead) AS failed FROM d GROUP BY 1"),
