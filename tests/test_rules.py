@@ -10,7 +10,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from tradeloom.functions import exact, text
-from tradeloom.operators import ingest, promote, provenance, resolve, sessions
+from tradeloom.operators import promote, provenance, resolve, sessions, similar
 from tradeloom.sources import payloads
 from tradeloom.streaming import jobs
 
@@ -41,7 +41,7 @@ def test_fuzzy_join_loses_no_pair(spark):
     left = sorted({" ".join(word() for _ in range(rng.randint(1, 3))) for _ in range(60)})
     right = sorted({(x[:-1] + rng.choice("xyz")) if rng.random() < 0.5 else word() + " " + word() for x in left for _ in range(2)})
     want = {(a, b) for a in left for b in right if difflib.SequenceMatcher(None, a, b).ratio() >= 0.72}
-    got = resolve.similar_names(spark.createDataFrame([(x,) for x in left], "a string"), spark.createDataFrame([(x,) for x in right], "b string"))
+    got = similar.similar_names(spark.createDataFrame([(x,) for x in left], "a string"), spark.createDataFrame([(x,) for x in right], "b string"), 0.72)
     assert {(r.a, r.b) for r in got.collect()} == want
 
 
@@ -126,6 +126,48 @@ def test_payloads(spark):
     assert [r.external_id for r in payloads.pattern_rows(rows, 2021).collect()] == ["cbp:2021:state:06:naics:31"]
 
 
+def test_rate_limits_on_a_stream(spark, tmp_path):
+    rng = random.Random(2)
+    start = datetime(2024, 1, 1)
+    rows = [(rng.choice([1, 1, 1, 2, 3]), i, start + timedelta(seconds=rng.randint(0, 4000)), rng.random() < 0.8) for i in range(300)]
+    log = spark.createDataFrame(rows, "user_id bigint, event_id bigint, ts timestamp, failed boolean").withColumn("succeeded", ~F.col("failed")).repartition(3)
+    got = {(r.user_id, r.event_id, r.outcome, r.strikes, r.lock_seconds) for r in sessions.lockouts(log).collect()}
+    breaches = {(r.user_id, r.event_id, r.hit) for r in sessions.rate_limit(log, 60, 2).collect()}
+    want, seen = set(), set()
+    for user in (1, 2, 3):
+        strikes = first = until = 0
+        window, hits = None, 0
+        for _, i, at, failed in sorted((r for r in rows if r[0] == user), key=lambda r: (r[2], r[1])):
+            t = at.timestamp()
+            if window is None or t >= window + 60:
+                window, hits = t, 0
+            hits += 1
+            if hits > 2:
+                seen.add((user, i, hits))
+            if t < until:
+                want.add((user, i, "blocked", strikes, until - t))
+                continue
+            strikes = 0 if strikes and t >= first + 86400 else strikes
+            lock = 0.0
+            if failed:
+                first, strikes = (first if strikes else t), strikes + 1
+                if strikes >= 5:
+                    lock = float(min(30 * 2 ** (strikes - 5), 900))
+                    until = t + lock
+            else:
+                strikes = 0
+            want.add((user, i, "failed" if failed else "passed", strikes, lock))
+    assert got == want and breaches == seen and seen and any(x[2] == "blocked" for x in want)
+
+
+def test_payloads(spark):
+    body = '{"cik": "41077", "name": "A", "tickers": ["X", "", "Y"], "addresses": {"business": {"city": "C", "stateOrCountry": "S"}}}'
+    r = payloads.submissions(spark.createDataFrame([(body,)], "body string")).first()
+    assert (r.external_id, r.tickers, r.city) == ("0000041077", "X, Y", "C")
+    rows = spark.createDataFrame([('[["ESTAB", "NAICS2017", "state"], ["12", "31", "06"]]',), ('[["ESTAB"]]',)], "body string")
+    assert [r.external_id for r in payloads.pattern_rows(rows, 2021).collect()] == ["cbp:2021:state:06:naics:31"]
+
+
 def test_streams_equal_batches(spark, tmp_path):
     rng = random.Random(2)
     rows = [(i, "s", str(rng.randint(0, 9)) if rng.random() < 0.8 else None, f"h{rng.randint(0, 5)}", rng.random() < 0.1) for i in range(60)]
@@ -181,22 +223,3 @@ def test_secrets_are_hidden(spark):
 def test_submitted_by_hand(spark):
     rows = spark.createDataFrame([("A", "me", ""), ("", "me", "u"), ("B", None, "u"), ("C", "me", "u")], "company_name string, entered_by string, evidence_url string")
     assert [(r.company_name, r.external_id) for r in payloads.manual(rows).collect()] == [("A", None), ("C", "u")]
-
-
-def test_conflicts_on_a_stream(spark, tmp_path):
-    rng = random.Random(6)
-    rows = [(i, rng.randint(1, 4), rng.choice(["name", "city"]), rng.choice(["x", "x", "x", "y", None])) for i in range(40)]
-    schema = "record_id bigint, company_id bigint, field_name string, value_observed string"
-    for i in range(4):
-        spark.createDataFrame(rows[10 * i : 10 * i + 10], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(str(tmp_path / "in"))
-    q = jobs.conflict_stream(stream).writeStream.format("memory").queryName("disputes").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    want = set()
-    for key in {r[1:3] for r in rows}:
-        log = [r for r in rows if r[1:3] == key and r[3] is not None]
-        at = next((i for i, r in enumerate(log) if r[3] != log[0][3]), len(log))
-        want |= {(*key, r[0], log[0][0]) for r in log[at:]}
-    assert {tuple(r) for r in spark.table("disputes").collect()} == want and want
-    batch = provenance.conflicts(spark.createDataFrame([r for r in rows if r[3]], schema)).collect()
-    assert {(r.company_id, r.field_name, r.first_record) for r in batch} == {(c, f, first) for c, f, _, first in want}

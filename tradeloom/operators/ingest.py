@@ -2,32 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+KEYS = ["source", "content_hash"]
+
 
 def outcomes(batch: DataFrame, existing: DataFrame) -> DataFrame:
-    """batch (item_id, source, external_id, content_hash, empty) -> with `outcome`.
+    """batch (item_id, source, external_id, content_hash, empty) -> with `outcome`; items in order of item_id.
 
     Known: same source, hash and external id, or, without an external id, same source and hash. Later items of a
     batch see earlier ones. Without an external id, several stored rows are ambiguous and the item fails.
+
+    No row waits for the rows before it: a key's rows are summed up first (rows stored, the first item of each external
+    id, the first two ids created, the first item without an id), which a hash that many rows hold combines on every
+    task; then each item is compared with its key's sums.
     """
-    keys = ["source", "content_hash"]
-    exact = existing.where("external_id IS NOT NULL").select(*keys, "external_id").distinct().withColumn("exact", F.lit(True))
-    loose = existing.groupBy(*keys).agg(F.count(F.lit(1)).alias("stored"))
-    out = batch.join(exact, [*keys, "external_id"], "left").join(loose, keys, "left")
-    by_time = Window.partitionBy(*keys).orderBy("item_id").rowsBetween(Window.unboundedPreceding, -1)
-    same_id = Window.partitionBy(*keys, "external_id").orderBy("item_id").rowsBetween(Window.unboundedPreceding, -1)
-    fine = ~F.col("empty")
-    named = F.col("external_id").isNotNull()
-    # an unnamed item is stored only where nothing of its hash is; named ones are stored once each
-    seen_name = F.coalesce(F.count_if(fine).over(same_id), F.lit(0))
-    out = out.withColumn("first_named", fine & named & F.col("exact").isNull() & (seen_name == 0))
-    stored = F.coalesce("stored", F.lit(0)) + F.coalesce(F.count_if("first_named").over(by_time), F.lit(0)) + F.when((F.coalesce("stored", F.lit(0)) == 0) & (F.coalesce(F.count_if("first_named").over(by_time), F.lit(0)) == 0) & (F.coalesce(F.count_if(fine & ~named).over(by_time), F.lit(0)) > 0), 1).otherwise(0)
-    out = out.withColumn("held", stored)
-    unnamed = F.when(F.col("held") > 1, "failed").when(F.col("held") == 1, "skipped_duplicate").otherwise("created")
-    outcome = F.when(F.col("empty"), "failed").when(named, F.when(F.col("first_named"), "created").otherwise("skipped_duplicate")).otherwise(unnamed)
-    return out.select("item_id", "source", "external_id", "content_hash", outcome.alias("outcome"))
+    exact = existing.where("external_id IS NOT NULL").select(*KEYS, "external_id").distinct()
+    stored = existing.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("stored"))
+    fine = batch.where("NOT empty")
+    created = fine.where("external_id IS NOT NULL").groupBy(*KEYS, "external_id").agg(F.min("item_id").alias("first_item")).join(exact, [*KEYS, "external_id"], "left_anti")
+    one = created.groupBy(*KEYS).agg(F.min("first_item").alias("one"))
+    two = created.join(one, KEYS).where("first_item > one").groupBy(*KEYS).agg(F.min("first_item").alias("two"))
+    bare = fine.where("external_id IS NULL").groupBy(*KEYS).agg(F.min("item_id").alias("bare"))
+    sums = bare.join(stored, KEYS, "left").join(one, KEYS, "left").join(two, KEYS, "left")  # read by items without an id only
+    later = lambda c: F.coalesce((F.col("item_id") > F.col(c)).cast("int"), F.lit(0))
+    # the first item without an id is stored only where nothing of its hash is yet
+    own = F.when(F.col("stored").isNull() & F.coalesce(F.col("bare") < F.col("one"), F.lit(True)), later("bare")).otherwise(0)
+    held = F.coalesce("stored", F.lit(0)) + later("one") + later("two") + own
+    unnamed = F.when(F.col("empty"), "failed").when(held > 1, "failed").when(held == 1, "skipped_duplicate").otherwise("created")
+    named = F.when(F.col("empty"), "failed").when(F.col("item_id") == F.col("first_item"), "created").otherwise("skipped_duplicate")
+    columns = ["item_id", "source", "external_id", "content_hash"]
+    with_id = batch.where("external_id IS NOT NULL").join(created, [*KEYS, "external_id"], "left").select(*columns, named.alias("outcome"))
+    return with_id.union(batch.where("external_id IS NULL").join(sums, KEYS, "left").select(*columns, unnamed.alias("outcome")))
 
 
 def job_rollup(events: DataFrame, by: str) -> DataFrame:

@@ -2,22 +2,21 @@
 
 from __future__ import annotations
 
-import difflib
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import exact
 from ..functions.text import match_domain, match_name, match_place
+from .similar import similar_names
 
 # Fixed value: least ratio of a similar name.
 SIMILAR = 0.72
 
 
 def keyed(df: DataFrame) -> DataFrame:
-    return df.withColumns({"k_name": F.nullif(match_name(F.col("name")), F.lit("")), "k_domain": match_domain(F.col("website")), "k_state": match_place(F.col("state")), "k_city": match_place(F.col("city"))})
+    """Names and places as they are compared: in Unicode form NFKC (only text beyond ASCII is sent to Python), upper case."""
+    form = lambda c: exact.normalized(F.col(c), "NFKC")
+    return df.withColumns({"k_name": F.nullif(match_name(form("name")), F.lit("")), "k_domain": match_domain(F.col("website")), "k_state": match_place(form("state")), "k_city": match_place(form("city"))})
 
 
 def hits(observations: DataFrame, companies: DataFrame, signal: str, on: dict[str, str]) -> DataFrame:
@@ -57,55 +56,11 @@ def decide(observations: DataFrame, signals: DataFrame) -> DataFrame:
     return out.select("observation_id", state.alias("state"), rule.alias("company_id"), F.coalesce("signals", F.lit("")).alias("signals"))
 
 
-def bigrams(name: Column) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - 1, F.lit(1))), lambda i: F.substring(name, i, F.lit(2))))
-
-
-def letters(names: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    """How often each of 64 kinds of letters is in each distinct name, and which distinct name each row has."""
-    code, kinds = pd.factorize(names)
-    counts = np.zeros((len(kinds), 64), np.int16)
-    for i, name in enumerate(kinds):
-        np.add.at(counts[i], np.frombuffer(name.encode("utf-32-le"), np.uint32) % 64, 1)
-    return counts, code
-
-
-def similar_names(left: DataFrame, right: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """Distinct names (a) and (b) -> (a, b, ratio) with ratio >= least, without a cross join.
-
-    A ratio of 0.72 needs lengths within 0.5625 of each other and, from 13 characters together on, more shared bigrams
-    than 0.08 T - 1. So a pair shares one of the rarest bigrams of its first name that cannot all be missed; only
-    tiny pairs meet by length alone.
-    """
-    a, b = left.select(F.col("a"), F.length("a").alias("la")), right.select(F.col("b"), F.length("b").alias("lb"))
-    short = a.where("la < 13").join(b.where("lb < 13"), F.expr("la + lb < 13 AND least(la, lb) >= 0.5625 * greatest(la, lb)")).select("a", "b")
-    gb = b.select("b", "lb", F.explode(bigrams(F.col("b"))).alias("g"))
-    often = gb.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    ga = a.select("a", "la", F.explode(bigrams(F.col("a"))).alias("g")).join(often, "g")
-    # of s distinct bigrams at least need are shared with any b that may match, so s - need + 1 of them are enough
-    per = ga.groupBy("a", "la").agg(F.array_sort(F.collect_list(F.struct("n", "g"))).alias("gs"))
-    need = F.greatest(F.lit(1), F.ceil(0.08 * (F.col("la") + F.ceil(F.col("la") * 0.5625)) - 1).cast("int"))
-    distinct_shared = F.greatest(F.lit(1), need - (F.col("la") - 1 - F.size(bigrams(F.col("a")))))
-    probe = per.withColumn("take", F.greatest(F.size("gs") - distinct_shared + 1, F.lit(1))).select("a", "la", F.explode(F.slice("gs", 1, "take")).alias("x")).select("a", "la", "x.g")
-    long = probe.join(gb, "g").where("la + lb >= 13 AND least(la, lb) >= 0.5625 * greatest(la, lb)").select("a", "b").distinct()
-
-    def ratios(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            # letters in common, in any order, bound the ratio from above; few pairs are left to compare
-            (x, a), (y, b) = (letters(f[c]) for c in "ab")
-            both = np.concatenate([np.minimum(x[a[i : i + 4096]], y[b[i : i + 4096]]).sum(1) for i in range(0, len(f), 4096)] or [np.zeros(0)])
-            f = f[2 * both >= (least - 1e-9) * (f.a.str.len() + f.b.str.len()).to_numpy()]
-            f = f.assign(ratio=[difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(f.a, f.b)])
-            yield f[f.ratio >= least]
-
-    return short.union(long).distinct().mapInPandas(ratios, "a string, b string, ratio double")
-
-
 def fuzzy_signals(observations: DataFrame, companies: DataFrame, exact: DataFrame) -> DataFrame:
     """Best similar name of each observation that no name equals; with_cin is the first of all similar ones that has a CIN."""
     unnamed = keyed(observations.where("name IS NOT NULL")).join(exact.where("signal = 'name'"), "observation_id", "left_anti").where("k_name IS NOT NULL")
     known = keyed(companies).where("k_name IS NOT NULL").groupBy("k_name").agg(F.min("company_id").alias("company_id"), F.min(F.when(F.col("cin").isNotNull(), F.col("company_id"))).alias("with_cin"))
-    pairs = similar_names(unnamed.select(F.col("k_name").alias("a")).distinct(), known.select(F.col("k_name").alias("b")))
+    pairs = similar_names(unnamed.select(F.col("k_name").alias("a")).distinct(), known.select(F.col("k_name").alias("b")), SIMILAR)
     best = pairs.join(known, F.col("b") == F.col("k_name")).groupBy("a").agg(F.max_by("company_id", F.struct("ratio", -F.col("company_id"))).alias("company_id"), F.min("with_cin").alias("with_cin"), F.max("ratio").alias("ratio"))
     return unnamed.join(best, F.col("k_name") == F.col("a")).select("observation_id", F.lit("fuzzy").alias("signal"), "company_id", "with_cin", "ratio")
 

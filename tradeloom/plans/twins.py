@@ -69,11 +69,12 @@ BATCH = """WITH batch AS (SELECT doc_id AS item_id, source, CASE WHEN doc_id % 3
     AND count(*) FILTER (NOT b.empty) OVER (PARTITION BY b.source, b.content_hash, b.external_id ORDER BY b.item_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 0 AS first_named
   FROM batch b LEFT JOIN loose l USING (source, content_hash) LEFT JOIN exact e ON e.source = b.source AND e.content_hash = b.content_hash AND e.external_id = b.external_id
 ), seen AS (
-  SELECT *, count(*) FILTER (first_named) OVER w AS names, count(*) FILTER (NOT empty AND external_id IS NULL) OVER w AS bare FROM named
-  WINDOW w AS (PARTITION BY source, content_hash ORDER BY item_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+  SELECT *, count(*) FILTER (first_named) OVER w AS names, count(*) FILTER (NOT empty AND external_id IS NULL) OVER w AS bare,
+    CASE WHEN stored = 0 AND min(item_id) FILTER (NOT empty AND external_id IS NULL) OVER k < coalesce(min(item_id) FILTER (first_named) OVER k, 9000000000000000000) THEN 1 ELSE 0 END AS own FROM named
+  WINDOW k AS (PARTITION BY source, content_hash), w AS (PARTITION BY source, content_hash ORDER BY item_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), outcomes AS (
   SELECT item_id, source, external_id, content_hash, CASE WHEN empty THEN 'failed' WHEN external_id IS NOT NULL THEN CASE WHEN first_named THEN 'created' ELSE 'skipped_duplicate' END
-    WHEN stored + names > 1 THEN 'failed' WHEN stored + names = 1 OR bare > 0 THEN 'skipped_duplicate' ELSE 'created' END AS outcome FROM seen
+    WHEN stored + names + CASE WHEN bare > 0 THEN own ELSE 0 END > 1 THEN 'failed' WHEN stored + names = 1 OR bare > 0 THEN 'skipped_duplicate' ELSE 'created' END AS outcome FROM seen
 )
 """
 SIGNALS = f""", o AS (SELECT observation_id, strong_id, {MATCH_NAME} AS k_name, {DOMAIN} AS k_domain, {PLACE.format('state')} AS k_state, {PLACE.format('city')} AS k_city FROM observations WHERE name IS NOT NULL
