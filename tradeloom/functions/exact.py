@@ -6,7 +6,7 @@ import hashlib
 import json
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -28,6 +28,14 @@ def normalized(c: Column, form: str) -> Column:
     return F.when(beyond, helper(F.when(beyond, c))).otherwise(c)
 
 
+def with_normalized(df: DataFrame, columns: dict[str, str], form: str) -> DataFrame:
+    """df with further columns: new name -> column whose text is wanted in the form. Rows of plain ASCII pass no Python."""
+    text = df.withColumns({new: F.col(c).cast("string") for new, c in columns.items()})
+    beyond = F.coalesce(F.greatest(*[F.coalesce(F.col(c).rlike("[^\\x00-\\x7f]"), F.lit(False)) for c in columns], F.lit(False)), F.lit(False))
+    helper = {"NFKC": _nfkc, "NFKD": _nfkd}[form]
+    return text.where(~beyond).union(text.where(beyond).withColumns({c: helper(F.col(c)) for c in columns}))
+
+
 @F.pandas_udf(StringType())
 def content_hash(body: pd.Series) -> pd.Series:
     """SHA-256 of a JSON text written anew: keys sorted, ', ' and ': ' between, beyond ASCII escaped. Null stays null."""

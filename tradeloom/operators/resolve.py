@@ -14,9 +14,10 @@ SIMILAR = 0.72
 
 
 def keyed(df: DataFrame) -> DataFrame:
-    """Names and places as they are compared: in Unicode form NFKC (only text beyond ASCII is sent to Python), upper case."""
-    form = lambda c: exact.normalized(F.col(c), "NFKC")
-    return df.withColumns({"k_name": F.nullif(match_name(form("name")), F.lit("")), "k_domain": match_domain(F.col("website")), "k_state": match_place(form("state")), "k_city": match_place(form("city"))})
+    """Names and places as they are compared: in Unicode form NFKC, upper case."""
+    df = exact.with_normalized(df, {"n_name": "name", "n_state": "state", "n_city": "city"}, "NFKC")
+    keys = {"k_name": F.nullif(match_name(F.col("n_name")), F.lit("")), "k_domain": match_domain(F.col("website")), "k_state": match_place(F.col("n_state")), "k_city": match_place(F.col("n_city"))}
+    return df.withColumns(keys).drop("n_name", "n_state", "n_city")
 
 
 def hits(observations: DataFrame, companies: DataFrame, signal: str, on: dict[str, str]) -> DataFrame:
