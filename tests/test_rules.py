@@ -10,7 +10,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from tradeloom.functions import exact, text
-from tradeloom.operators import promote, provenance, resolve, sessions, similar
+from tradeloom.operators import decisions, promote, provenance, ranks, resolve, sessions, similar
 from tradeloom.sources import payloads
 from tradeloom.streaming import jobs
 
@@ -68,10 +68,36 @@ def test_slugs_equal_one_by_one(spark):
     assert {r.id: r.slug for r in got.collect()} == want
 
 
+def test_a_stem_of_half_the_names(spark):
+    """Half of 4,000 names and of 600 used slugs share a stem; no part of it is large, and the result is the same."""
+    rng = random.Random(3)
+    new = [(i * 3, "Acme Works" if i % 2 else "Firm" + "abcdefgh"[i % 8] + "q" * (i % 5)) for i in range(4000)]
+    rng.shuffle(new)
+    existing = sorted({"acme-works" if rng.random() < 0.01 else f"acme-works-{rng.randint(2, 900)}" for _ in range(600)} | {"firma-2", "firmbq"})
+    used, want = set(existing), {}
+    for i, name in sorted(new):
+        base, n = name.lower().replace(" ", "-"), 2
+        slug = base
+        while slug in used:
+            slug, n = f"{base}-{n}", n + 1
+        used.add(slug)
+        want[i] = slug
+    frame = spark.createDataFrame(new, "id bigint, name string")
+    got = promote.allocate_slugs(frame, spark.createDataFrame([(s,) for s in existing], "slug string"))
+    assert {r.id: r.slug for r in got.collect()} == want
+    parts = frame.where("name = 'Acme Works'").withColumn("part", ranks.parts_of(frame, "id", 8)).groupBy("part").count().collect()
+    assert len(parts) == 8 and max(p["count"] for p in parts) < 300
+
+
+def test_slugs_of_two_unicode_forms(spark):
+    new = spark.createDataFrame([(1, "Caf\u00e9"), (2, "Cafe\u0301"), (3, "\uff21\uff22")], "id bigint, name string")
+    assert {r.id: r.slug for r in promote.allocate_slugs(new, spark.createDataFrame([("cafe-2",)], "slug string")).collect()} == {1: "cafe", 2: "cafe-3", 3: "ab"}
+
+
 def test_replay(spark):
     records = spark.createDataFrame([(1, "observed"), (2, "verified")], "record_id bigint, status string")
     log = spark.createDataFrame([(1, 0, "review", None), (1, 1, "verify", None), (1, 2, "verify", None), (2, 0, "reject", "no"), (2, 1, "expire", None)], "record_id bigint, seq int, action string, note string")
-    out = {r.record_id: (r.status, r.refused) for r in provenance.replay(records, log).collect()}
+    out = {r.record_id: (r.status, r.refused) for r in decisions.replay(records, log).collect()}
     assert out == {1: ("verified", 1), 2: ("expired", 1)}
 
 

@@ -3,44 +3,47 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import exact
 from ..functions.text import slug
+from .ranks import running_count
 
 
 def promote(observations: DataFrame, companies: DataFrame) -> DataFrame:
     """outcome: created, duplicate_strong_id (known, or earlier in the batch) or missing_name."""
     taken = companies.where("cin IS NOT NULL").select(F.col("cin").alias("strong_id")).distinct().withColumn("known", F.lit(True))
-    first = Window.partitionBy("strong_id").orderBy("observation_id")
     named = observations.withColumn("usable", F.coalesce(F.col("name"), F.lit("")) != "")
-    out = named.join(taken, "strong_id", "left").withColumn("earlier", F.count_if("usable").over(first.rowsBetween(Window.unboundedPreceding, -1)))
-    again = F.col("strong_id").isNotNull() & (F.col("known").isNotNull() | (F.coalesce("earlier", F.lit(0)) > 0))
+    first = named.where("usable").groupBy("strong_id").agg(F.min("observation_id").alias("first"))
+    out = named.join(taken, "strong_id", "left").join(first, "strong_id", "left")
+    again = F.col("strong_id").isNotNull() & (F.col("known").isNotNull() | F.coalesce(F.col("first") < F.col("observation_id"), F.lit(False)))
     return out.select("observation_id", "name", F.col("name").alias("legal_name"), F.col("strong_id").alias("cin"), F.when(~F.col("usable"), "missing_name").when(again, "duplicate_strong_id").otherwise("created").alias("outcome"))
 
 
 def allocate_slugs(new: DataFrame, existing: DataFrame) -> DataFrame:
     """new (id, name), existing (slug) -> (id, slug): base, base-2, ... in order of id, what is used left out.
 
-    A stem is a slug without its trailing numbers. Where no new base has such numbers, the k-th new row of a stem gets
-    its k-th free number: k plus the used numbers t_i with t_i - i < k, a running count in one window. Only stems
-    with numbered bases, whose allocations meet each other, are walked row by row.
+    Names are read in Unicode form NFKD. A stem is a slug without its trailing numbers. Where no new base has such
+    numbers, the k-th new row of a stem gets its k-th free number: k plus the used numbers t_i with t_i - i < k. All
+    three counts are running counts in parts, so that a stem of half the names is no task of its own. Only stems with
+    numbered bases, whose allocations meet each other, are walked row by row.
     """
     stem = F.regexp_replace("slug", "(-\\d+)+$", "")
-    rows = new.select("id", slug(F.col("name")).alias("slug")).withColumn("stem", stem)
+    plain_text = exact.with_normalized(new.select("id", "name"), {"form": "name"}, "NFKD")
+    rows = plain_text.select("id", slug(F.col("form")).alias("slug")).withColumn("stem", stem)
     held = existing.select("slug").distinct().withColumn("stem", stem)
     numbered = rows.where("slug <> stem").select("stem").distinct()
     plain, walked = rows.join(numbered, "stem", "left_anti"), rows.join(numbered, "stem", "left_semi")
 
     rest = F.expr("substring(slug, length(stem) + 2)")
     number = F.when(F.col("slug") == F.col("stem"), 1).when((F.length("slug") > F.length("stem")) & rest.rlike("^[1-9]\\d{0,8}$") & (rest != "1"), rest.try_cast("int"))
-    nth = F.row_number().over(Window.partitionBy("stem").orderBy("number"))
-    used = held.withColumn("number", number).where("number IS NOT NULL").select("stem", F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("int").alias("k"), (F.col("number") - nth + 0.5).cast("double").alias("at"))
-    k = F.row_number().over(Window.partitionBy("stem").orderBy("id"))
-    asked = plain.select("stem", "id", k.alias("k")).withColumn("at", F.col("k").cast("double"))
-    before = F.count_if(F.col("k").isNull()).over(Window.partitionBy("stem").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    used = running_count(held.withColumn("number", number).where("number IS NOT NULL").select("stem", "number"), ["stem"], "number", F.lit(True), "nth")
+    used = used.select("stem", F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("bigint").alias("k"), (F.col("number") - F.col("nth") + 0.5).cast("double").alias("at"))
+    asked = running_count(plain.select("stem", "id"), ["stem"], "id", F.lit(True), "k").select("stem", "id", "k", F.col("k").cast("double").alias("at"))
+    both = running_count(used.unionByName(asked), ["stem"], "at", F.col("k").isNull(), "before").where("k IS NOT NULL")
     n = F.col("k") + F.col("before")
-    done = used.unionByName(asked).withColumn("before", before).where("k IS NOT NULL").select("id", F.when(n == 1, F.col("stem")).otherwise(F.concat("stem", F.lit("-"), n.cast("string"))).alias("slug"))
+    done = both.select("id", F.when(n == 1, F.col("stem")).otherwise(F.concat("stem", F.lit("-"), n.cast("string"))).alias("slug"))
 
     def allocate(group: pd.DataFrame) -> pd.DataFrame:
         used = set(group.slug[group.id.isna()])

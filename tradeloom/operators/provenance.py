@@ -38,7 +38,7 @@ def field_quality(records: DataFrame, as_of: datetime) -> DataFrame:
     f = F.col("field_name")
     tagged = conflicts(records).select("company_id", "field_name", F.lit(True).alias("in_conflict"))
     out = current(records).join(tagged, ["company_id", "field_name"], "left")
-    return out.select("company_id", "field_name", "record_id", "value_observed", "status", risk(f).alias("risk"), freshness(f, F.col("last_observed_at"), F.lit(as_of)).alias("freshness"), F.coalesce("in_conflict", F.lit(False)).alias("has_open_conflict"))
+    return out.select("company_id", "field_name", "record_id", "value_observed", "status", F.col("confidence").cast("double").alias("confidence"), risk(f).alias("risk"), freshness(f, F.col("last_observed_at"), F.lit(as_of)).alias("freshness"), F.coalesce("in_conflict", F.lit(False)).alias("has_open_conflict"))
 
 
 def quality_score(quality: DataFrame) -> DataFrame:
@@ -51,30 +51,15 @@ def quality_score(quality: DataFrame) -> DataFrame:
 
 
 def review_queue(records: DataFrame) -> DataFrame:
-    """Each record once with all its reasons."""
+    """Each record once with all its reasons, in order: those under review or in conflict first (level 1), then claims of
+    high risk that nobody has verified (level 2), each the oldest first."""
     tagged = conflicts(records).select("company_id", "field_name", F.lit(True).alias("c"))
     high = F.col("status").isin(UNVERIFIED) & (risk(F.col("field_name")) == "high")
     reasons = F.array_compact(F.array(F.when(F.col("status") == "under_review", "under_review"), F.when(F.col("c"), "open_conflict"), F.when(high, "unverified_high_risk")))
     out = records.join(tagged, ["company_id", "field_name"], "left").withColumn("reasons", F.array_join(reasons, ","))
-    return out.where("reasons <> ''").select("record_id", "company_id", "field_name", "status", "reasons", "last_observed_at")
-
-
-def replay(records: DataFrame, actions: DataFrame) -> DataFrame:
-    """Final status after the log of each record (record_id, seq, action, note), and how many actions were refused."""
-    log = actions.groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("seq", "action", "note"))).alias("log"))
-
-    def legal(s: Column, a: Column) -> Column:
-        act = a["action"]
-        return ((act == "verify") & (s != "verified")) | ((act == "review") & s.isin(UNVERIFIED)) | ((act == "reject") & ~s.isin("verified", "rejected", "expired") & (F.coalesce(a["note"], F.lit("")) != "")) | ((act == "expire") & (s == "verified"))
-
-    def after(s: Column, a: Column) -> Column:
-        act = a["action"]
-        return F.when(act == "verify", "verified").when(act == "review", "under_review").when(act == "reject", "rejected").otherwise("expired")
-
-    start = F.struct(F.col("status").alias("s"), F.lit(0).alias("refused"))
-    fold = F.aggregate("log", start, lambda st, a: F.struct(F.when(legal(st["s"], a), after(st["s"], a)).otherwise(st["s"]).alias("s"), (st["refused"] + F.when(legal(st["s"], a), 0).otherwise(1)).alias("refused")))
-    out = records.join(log, "record_id").withColumn("f", fold)
-    return out.select("record_id", F.col("status").alias("previous_status"), F.col("f.s").alias("status"), F.size("log").alias("actions"), F.col("f.refused").alias("refused"))
+    level = F.when(F.col("reasons") == "unverified_high_risk", 2).otherwise(1).alias("level")
+    queue = out.where("reasons <> ''").select("record_id", "company_id", "field_name", "status", "reasons", "last_observed_at", level)
+    return queue.orderBy("level", "last_observed_at", "record_id")
 
 
 def unpivot(observations: DataFrame, direct: list[str], extra: list[str]) -> DataFrame:

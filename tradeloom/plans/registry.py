@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import gaps, graph, ingest, matching, promote, provenance, resolve, search_index, sessions, trust
 from ..sources.fixtures import ctes
-from . import collected, records, twins
+from . import collected, decided, records, twins
 from .over import Query, over
 
 AS_OF = datetime(1999, 6, 1)
@@ -43,12 +43,6 @@ def certificates(frame_: DataFrame) -> DataFrame:
     return frame_.select("requirement_id", "n", *[text.phrase_in(F.col("certificate"), label).alias(f"is_{kind}") for kind, label in (("iso", "iso"), ("ce", "ce"), ("bis", "bis"), ("licence", "factory license"))])
 
 
-def actions(provenance_: DataFrame) -> DataFrame:
-    act = F.when((F.col("record_id") + F.col("k")) % 4 == 0, "verify").when((F.col("record_id") + F.col("k")) % 4 == 1, "review").when((F.col("record_id") + F.col("k")) % 4 == 2, "reject").otherwise("expire")
-    rows = provenance_.select("record_id", F.explode(F.sequence(F.lit(0), (F.col("record_id") % 3).cast("int"))).alias("k"))
-    return rows.select("record_id", F.col("k").alias("seq"), act.alias("action"), F.when(F.col("record_id") % 2 == 0, "because").alias("note"))
-
-
 def with_term(requirements: DataFrame) -> DataFrame:
     """The product term: the family of the category, of every third requirement a colour instead, as names have it."""
     colour = F.element_at(F.array(F.lit("red"), F.lit("blue"), F.lit("ring"), F.lit("bolt")), (F.col("requirement_id") % 4 + 1).cast("int"))
@@ -80,7 +74,6 @@ QUERIES: dict[str, Query] = {
     "field_quality": over("provenance")(lambda p: provenance.field_quality(p, AS_OF)),
     "quality_scores": over("provenance")(lambda p: provenance.quality_score(provenance.field_quality(p, AS_OF))),
     "review_queue": over("provenance")(provenance.review_queue),
-    "review_replay": over("provenance")(lambda p: provenance.replay(p, actions(p))),
     "graph_edges": over("offerings")(graph.offering_edges),
     "graph_distributors": over("offerings")(lambda o: graph.in_role(o, "distributor", "NATION_2")),
     "graph_manufacturers": over("offerings")(lambda o: graph.in_role(o, "manufacturer")),
@@ -99,5 +92,5 @@ QUERIES: dict[str, Query] = {
     "lockouts": over("auth_events")(sessions.lockouts),
 }
 ORACLES: dict[str, str] = {name: ctes(*tables) + body if tables else body for name, (tables, body) in twins.TWINS.items()}
-QUERIES |= records.QUERIES | collected.QUERIES
-ORACLES |= records.ORACLES | collected.ORACLES
+QUERIES |= records.QUERIES | collected.QUERIES | decided.QUERIES
+ORACLES |= records.ORACLES | collected.ORACLES | decided.ORACLES

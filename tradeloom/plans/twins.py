@@ -89,7 +89,7 @@ CONFLICTS = ", tagged AS (SELECT company_id, field_name, count(*) AS records, mi
 RISK = "CASE WHEN field_name IN ('cin', 'gst_number') THEN 'high' WHEN field_name IN ('name', 'industry', 'country', 'city') THEN 'low' ELSE 'medium' END"
 DAYS = "CASE WHEN field_name IN ('name', 'cin') THEN 180 WHEN field_name IN ('country', 'city') THEN 90 ELSE 30 END * 86400"
 QUALITY = CONFLICTS + f""", latest AS (SELECT *, row_number() OVER (PARTITION BY company_id, field_name ORDER BY last_observed_at DESC, record_id DESC) AS nth, epoch(TIMESTAMP '1999-06-01 00:00:00') - epoch(last_observed_at) AS age FROM provenance
-), quality AS (SELECT l.company_id, l.field_name, l.record_id, l.value_observed, l.status, {RISK.replace('field_name', 'l.field_name')} AS risk, CASE WHEN age >= {DAYS.replace('field_name', 'l.field_name')} THEN 'stale' WHEN age * 5 >= 4 * {DAYS.replace('field_name', 'l.field_name')} THEN 'approaching_stale' ELSE 'fresh' END AS freshness, t.company_id IS NOT NULL AS has_open_conflict
+), quality AS (SELECT l.company_id, l.field_name, l.record_id, l.value_observed, l.status, CAST(l.confidence AS DOUBLE) AS confidence, {RISK.replace('field_name', 'l.field_name')} AS risk, CASE WHEN age >= {DAYS.replace('field_name', 'l.field_name')} THEN 'stale' WHEN age * 5 >= 4 * {DAYS.replace('field_name', 'l.field_name')} THEN 'approaching_stale' ELSE 'fresh' END AS freshness, t.company_id IS NOT NULL AS has_open_conflict
   FROM latest l LEFT JOIN tagged t USING (company_id, field_name) WHERE nth = 1)"""
 
 TERM_SEARCH = """, q AS (SELECT requirement_id, nullif(lower(trim(CASE WHEN requirement_id % 3 = 0 THEN ['red', 'blue', 'ring', 'bolt'][CAST(requirement_id % 4 AS INTEGER) + 1] ELSE split_part(category_id, '/', 1) END)), '') AS term, nullif(lower(trim(country)), '') AS qc, nullif(lower(trim(city)), '') AS qt FROM requirements
@@ -136,7 +136,7 @@ SELECT observation_id, name, name AS legal_name, strong_id AS cin, CASE WHEN NOT
     "conflicts": (["provenance"], CONFLICTS + " SELECT * FROM tagged"),
     "field_quality": (["provenance"], QUALITY + " SELECT * FROM quality"),
     "quality_scores": (["provenance"], QUALITY + " SELECT company_id, round_even(sum(CASE WHEN field_name = 'cin' THEN 2.0 WHEN field_name IN ('name', 'industry', 'country', 'state', 'city') THEN 1.0 ELSE 0.0 END * CASE WHEN status = 'verified' THEN 1.0 WHEN status IN ('observed', 'extracted', 'claimed') THEN 0.5 ELSE 0.0 END)::DOUBLE / 7 * 100, 1)::DOUBLE AS score FROM quality GROUP BY 1"),
-    "review_queue": (["provenance"], CONFLICTS + f""", q AS (SELECT p.record_id, p.company_id, p.field_name, p.status, array_to_string(list_filter([CASE WHEN p.status = 'under_review' THEN 'under_review' END, CASE WHEN t.company_id IS NOT NULL THEN 'open_conflict' END, CASE WHEN p.status IN ('observed', 'extracted', 'claimed') AND {RISK.replace('field_name', 'p.field_name')} = 'high' THEN 'unverified_high_risk' END], lambda x: x IS NOT NULL), ',') AS reasons, p.last_observed_at FROM provenance p LEFT JOIN tagged t USING (company_id, field_name)) SELECT * FROM q WHERE reasons <> ''"""),
+    "review_queue": (["provenance"], CONFLICTS + f""", q AS (SELECT p.record_id, p.company_id, p.field_name, p.status, array_to_string(list_filter([CASE WHEN p.status = 'under_review' THEN 'under_review' END, CASE WHEN t.company_id IS NOT NULL THEN 'open_conflict' END, CASE WHEN p.status IN ('observed', 'extracted', 'claimed') AND {RISK.replace('field_name', 'p.field_name')} = 'high' THEN 'unverified_high_risk' END], lambda x: x IS NOT NULL), ',') AS reasons, p.last_observed_at FROM provenance p LEFT JOIN tagged t USING (company_id, field_name)) SELECT *, CASE WHEN reasons = 'unverified_high_risk' THEN 2 ELSE 1 END AS level FROM q WHERE reasons <> ''"""),
     "graph_edges": (["offerings"], " SELECT company_id, CASE role WHEN 'manufacturer' THEN 'manufactures' WHEN 'distributor' THEN 'distributes' WHEN 'supplier' THEN 'supplies' WHEN 'exporter' THEN 'exports' ELSE 'services' END AS relationship, 'product' AS object_type, product_id AS object_id FROM offerings WHERE status = 'active'"),
     "graph_distributors": (["offerings"], " SELECT product_id, company_id, offering_id, country FROM offerings WHERE role = 'distributor' AND status = 'active' AND country = 'NATION_2'"),
     "graph_manufacturers": (["offerings"], " SELECT product_id, company_id, offering_id, country FROM offerings WHERE role = 'manufacturer' AND status = 'active'"),

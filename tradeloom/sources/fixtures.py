@@ -65,7 +65,7 @@ SELECT c_custkey AS requirement_id, specification, operator, low, high, text_val
 SELECT o_orderkey AS record_id, CAST(floor(o_custkey / 15.0) AS BIGINT) AS company_id,
   CASE CAST(o_orderkey % 8 AS INT) WHEN 0 THEN 'name' WHEN 1 THEN 'cin' WHEN 2 THEN 'website' WHEN 3 THEN 'industry' WHEN 4 THEN 'country' WHEN 5 THEN 'gst_number' WHEN 6 THEN 'city' ELSE 'authorized_capital' END AS field_name,
   CASE WHEN o_orderkey % 8 < 4 THEN o_orderpriority ELSE 'same' END AS value_observed, o_orderdate AS last_observed_at,
-  CASE CAST(o_orderkey % 7 AS INT) WHEN 0 THEN 'verified' WHEN 1 THEN 'observed' WHEN 2 THEN 'extracted' WHEN 3 THEN 'claimed' WHEN 4 THEN 'under_review' WHEN 5 THEN 'rejected' ELSE 'expired' END AS status
+  CASE CAST(o_orderkey % 7 AS INT) WHEN 0 THEN 'verified' WHEN 1 THEN 'observed' WHEN 2 THEN 'extracted' WHEN 3 THEN 'claimed' WHEN 4 THEN 'under_review' WHEN 5 THEN 'rejected' ELSE 'expired' END AS status, (o_orderkey % 11) / 10.0 AS confidence
 FROM orders""",
     "observations": f"""
 SELECT c_custkey AS observation_id, base, v,
@@ -113,10 +113,10 @@ FROM relationships CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT
     "relationship_pairs": """
 SELECT relationship_id AS a, relationship_id + 1 AS b FROM relationships WHERE relationship_id % 4 = 1 AND company_id % 3 = 0""",
     "members": """
-SELECT s_suppkey AS company_id, (s_suppkey * 3 + k) % 40 + 1 AS user_id, CASE WHEN k = 0 THEN 'owner' ELSE 'member' END AS role
+SELECT s_suppkey AS company_id, s_suppkey * 15 + k * 2 AS user_id, CASE WHEN k = 0 THEN 'owner' ELSE 'member' END AS role
 FROM supplier CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) ks WHERE k <= s_suppkey % 3""",
     "users": """
-SELECT c_custkey AS user_id, c_custkey % 3 <> 0 AS email_verified FROM customer WHERE c_custkey <= 40""",
+SELECT c_custkey AS user_id, c_custkey % 3 <> 0 AS email_verified FROM customer""",
     "document_uploads": """
 SELECT o_orderkey AS document_id, o_custkey % 97 * 10 + o_orderkey % 4 AS chain, o_orderdate AS uploaded_at,
   CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderdate END AS expiry_date FROM orders""",
@@ -158,6 +158,14 @@ FROM customer JOIN part ON p_partkey = c_custkey""",
     "entered_offerings": """
 SELECT company_id, product_id, role FROM offerings UNION ALL SELECT company_id, product_id, role FROM offerings WHERE offering_id % 97 = 0
 UNION ALL SELECT company_id + 1000000, product_id, role FROM offerings WHERE offering_id % 89 = 0""",
+    "provenance_actions": """
+SELECT record_id, CAST(k AS BIGINT) AS seq, CASE CAST((record_id + k) % 4 AS INT) WHEN 0 THEN 'verify' WHEN 1 THEN 'review' WHEN 2 THEN 'reject' ELSE 'expire' END AS action, CASE WHEN record_id % 2 = 0 THEN 'because' END AS note
+FROM provenance CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) ks WHERE k < record_id % 4""",
+    "relationship_links": """
+SELECT relationship_id AS link_id, CASE WHEN relationship_id % 2 = 0 THEN 'factory' ELSE 'capability' END AS object_type,
+  CASE WHEN relationship_id % 2 = 0 AND relationship_id % 13 <> 0 OR relationship_id % 17 = 0 THEN object_id END AS factory_object_id, CASE WHEN relationship_id % 2 = 1 THEN object_id END AS capability_object_id FROM relationships""",
+    "entered_members": """
+SELECT company_id, user_id, role FROM members UNION ALL SELECT company_id, user_id + 1, 'owner' FROM members WHERE company_id % 11 = 0 AND role = 'owner' UNION ALL SELECT company_id, user_id, 'member' FROM members WHERE company_id % 13 = 0""",
     "listed_ids": """
 SELECT 'R' || CAST(company_id AS STRING) AS external_id, company_id FROM companies WHERE company_id % 4 <> 3""",
 }
@@ -172,12 +180,12 @@ SELECT s_suppkey AS job_id, CASE CAST(s_suppkey % 6 AS INT) WHEN 0 THEN 'registr
 SELECT c_custkey AS observation_id, 1 + CAST(floor(c_custkey / 16.0) AS BIGINT) AS job_id FROM customer WHERE c_custkey % 5 <> 0""",
     "collected": f"""
 SELECT c_custkey AS observation_id, CASE WHEN c_custkey % 15 = 2 OR c_custkey % 25 = 5 THEN '{{"other":"' || c_name || '"}}'
-  WHEN c_custkey % 3 = 0 THEN '{{"cin":"U' || CAST(c_custkey AS STRING) || '","company_name":"  ' || c_name || '  Ltd","registered_state":"Maharashtra","registered_office_address":"7 Lake Lane, ' || {CITY.format('c_custkey')} || CASE WHEN c_custkey % 2 = 0 THEN ', maharashtra' ELSE '' END || ' 422001","principal_business_activity":"' || c_mktsegment || '","nic_code":"28"}}'
+  WHEN c_custkey % 3 = 0 THEN '{{"cin":"U' || CAST(c_custkey AS STRING) || '","company_name":"  ' || c_name || '  Ltd","registered_state":"Maharashtra","registered_office_address":"7 Lake Lane, ' || {CITY.format('c_custkey')} || CASE WHEN c_custkey % 2 = 0 THEN ', maharashtra' ELSE '' END || ' 422001","principal_business_activity":"' || c_mktsegment || '","nic_code":"28","date_of_registration":"' || CASE CAST(c_custkey % 4 AS INT) WHEN 0 THEN '15/09/2015' WHEN 1 THEN '2016-03-01' WHEN 2 THEN '1-2-2017' ELSE '31/02/2015' END || '"}}'
   WHEN c_custkey % 3 = 1 THEN '{{"name":"' || c_name || '","company_name":"","sic_description":"' || c_mktsegment || '","business_address_state":"CA","business_address_city":"Fresno","cik":"' || CAST(c_custkey AS STRING) || '","website":"https://c.example"}}'
   ELSE '{{"company_name":"' || c_name || '","industry":"' || c_mktsegment || '","country":"India","state":"","city":"Pune","notes":"seen"}}' END AS body FROM customer""",
 }
 #: Which fixtures a fixture reads.
-NEEDS = {"foreign_names": ["companies"], "requirement_certificates": ["requirements"], "observations": ["companies"], "relationship_actions": ["relationships"], "relationship_pairs": ["relationships"], "listed_ids": ["companies"], "entered_offerings": ["offerings"]}
+NEEDS = {"provenance_actions": ["provenance"], "relationship_links": ["relationships"], "entered_members": ["members"], "foreign_names": ["companies"], "requirement_certificates": ["requirements"], "observations": ["companies"], "relationship_actions": ["relationships"], "relationship_pairs": ["relationships"], "listed_ids": ["companies"], "entered_offerings": ["offerings"]}
 
 
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
