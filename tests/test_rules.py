@@ -147,7 +147,7 @@ def test_logs_are_walked_whole(spark):
 def test_payloads(spark):
     body = '{"cik": "41077", "name": "A", "tickers": ["X", "", "Y"], "addresses": {"business": {"city": "C", "stateOrCountry": "S"}}}'
     r = payloads.submissions(spark.createDataFrame([(body,)], "body string")).first()
-    assert (r.external_id, r.tickers, r.city) == ("0000041077", "X, Y", "C")
+    assert (r.external_id, r.tickers, r.business_address_city) == ("0000041077", "X, Y", "C")
     rows = spark.createDataFrame([('[["ESTAB", "NAICS2017", "state"], ["12", "31", "06"]]',), ('[["ESTAB"]]',)], "body string")
     assert [r.external_id for r in payloads.pattern_rows(rows, 2021).collect()] == ["cbp:2021:state:06:naics:31"]
 
@@ -189,7 +189,7 @@ def test_rate_limits_on_a_stream(spark, tmp_path):
 def test_payloads(spark):
     body = '{"cik": "41077", "name": "A", "tickers": ["X", "", "Y"], "addresses": {"business": {"city": "C", "stateOrCountry": "S"}}}'
     r = payloads.submissions(spark.createDataFrame([(body,)], "body string")).first()
-    assert (r.external_id, r.tickers, r.city) == ("0000041077", "X, Y", "C")
+    assert (r.external_id, r.tickers, r.business_address_city) == ("0000041077", "X, Y", "C")
     rows = spark.createDataFrame([('[["ESTAB", "NAICS2017", "state"], ["12", "31", "06"]]',), ('[["ESTAB"]]',)], "body string")
     assert [r.external_id for r in payloads.pattern_rows(rows, 2021).collect()] == ["cbp:2021:state:06:naics:31"]
 

@@ -57,13 +57,36 @@ def as_registry_pages(companies: DataFrame, per_page: int = 10) -> DataFrame:
     return bodies.select("page_id", F.concat(F.lit('{"records":['), F.array_join(F.col("rs.r"), ","), F.lit("]}")).alias("body"))
 
 
+#: A filer's fields by the places that a submission has them at.
+FILER_FIELDS = {
+    "name": "name", "entity_type": "entityType", "sic": "sic", "sic_description": "sicDescription", "ein": "ein", "category": "category", "fiscal_year_end": "fiscalYearEnd", "state_of_incorporation": "stateOfIncorporation",
+    "tickers": "tickers", "exchanges": "exchanges", "phone": "phone", "website": "website", "business_address_street1": "addresses.business.street1", "business_address_city": "addresses.business.city",
+    "business_address_state": "addresses.business.stateOrCountry", "business_address_zip": "addresses.business.zipCode", "former_names": "formerNames",
+}
+_FILER_LISTS = ("tickers", "exchanges")
+
+
 def submissions(rows: DataFrame) -> DataFrame:
-    """Filer submissions (body JSON) -> id zero-padded to ten digits at least, name, tickers, place."""
-    s = F.from_json("body", "STRUCT<cik: STRING, name: STRING, sicDescription: STRING, tickers: ARRAY<STRING>, addresses: STRUCT<business: STRUCT<city: STRING, stateOrCountry: STRING>>>")
-    out = rows.select(s.alias("s"))
+    """Filer submissions (body JSON) -> external_id (zero-padded to ten digits at least, never cut), cik, all fields, and
+    the hash of them all. Lists are joined by commas; absent and empty values are null."""
+    plain = [f"{path}: STRING" for name, path in FILER_FIELDS.items() if "." not in path and name not in (*_FILER_LISTS, "former_names")]
+    address = "STRUCT<street1: STRING, city: STRING, stateOrCountry: STRING, zipCode: STRING>"
+    lists = [f"{name}: ARRAY<STRING>" for name in _FILER_LISTS]
+    schema = f"STRUCT<cik: STRING, {', '.join(plain + lists)}, addresses: STRUCT<business: {address}>, formerNames: ARRAY<STRUCT<name: STRING>>>"
+    out = rows.select(F.from_json("body", schema).alias("s"))
     cik = F.col("s.cik")
     padded = F.when(F.length(cik) >= 10, cik).otherwise(F.lpad(cik, 10, "0"))
-    return out.select(padded.alias("external_id"), F.col("s.name").alias("name"), F.array_join(F.filter("s.tickers", lambda t: t != ""), ", ").alias("tickers"), F.col("s.addresses.business.city").alias("city"), F.col("s.addresses.business.stateOrCountry").alias("state"))
+    joined = lambda items: F.when(F.size(items) > 0, F.array_join(F.filter(items, lambda t: t.isNotNull() & (t != "")), ", "))
+
+    def field(name: str, path: str) -> Column:
+        if name == "former_names":
+            return joined(F.filter(F.transform("s.formerNames", lambda x: x["name"]), lambda t: t.isNotNull() & (t != "")))
+        c = F.col(f"s.{path}")
+        return joined(c) if name in _FILER_LISTS else F.nullif(c, F.lit(""))
+
+    out = out.select(padded.alias("external_id"), padded.alias("cik"), *[field(n, p).alias(n) for n, p in FILER_FIELDS.items()])
+    body = F.to_json(F.struct("cik", *FILER_FIELDS), {"ignoreNullFields": "false"})
+    return out.withColumn("content_hash", content_hash(body))
 
 
 def pattern_rows(rows: DataFrame, year: int) -> DataFrame:
