@@ -51,7 +51,9 @@ def pairs(requirements: DataFrame, criteria: DataFrame, certificates: DataFrame,
     """Every requirement with its candidates: `passes` by the hard criteria, and the score parts."""
     proof = documents.where("status = 'verified'").groupBy("company_id").agg(F.collect_set("document_type").alias("proof"))
     place = companies.select("company_id", F.col("country").alias("own_country"), F.col("state").alias("own_state"), F.col("city").alias("own_city"))
-    offered = candidates(offerings, products).join(attribute_maps(attributes), "product_id", "left").join(place, "company_id").join(proof, "company_id", "left").join(scores.select("company_id", "level"), "company_id")
+    found = candidates(offerings, products)
+    wanted = attributes.join(criteria.select("specification").distinct(), "specification", "left_semi").join(found.select("product_id").distinct(), "product_id", "left_semi")
+    offered = found.join(attribute_maps(wanted), "product_id", "left").join(place, "company_id").join(proof, "company_id", "left").join(scores.select("company_id", "level"), "company_id")
     offered = offered.withColumnRenamed("country", "offer_country")
     hard = criteria.groupBy("requirement_id").agg(F.collect_list(F.struct("specification", "operator", "low", "high", "text_value")).alias("criteria"))
     asked = requirements.where("category_id IS NOT NULL").join(hard, "requirement_id", "left").join(evidence(certificates), "requirement_id", "left")

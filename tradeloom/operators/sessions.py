@@ -59,12 +59,13 @@ def sorted_logs(events: DataFrame, *columns: str) -> DataFrame:
 
 
 def walk_logs(batches: Iterator[pa.RecordBatch], step: Callable, names: list[str], types: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
-    """step(state or None, time, *columns) -> (state, row or None); only the open state of one user is carried on."""
-    user, state = None, None
+    """step(state or None, time, *columns) -> (state, row or None); only the open state of one user is carried on. Rows
+    without a user are one log."""
+    user, state = object(), None  # no user is this one
     for batch in batches:
         out: list[tuple] = []
         for u, event, *rest in zip(*[c.to_pylist() for c in batch.columns]):
-            if u != user or u is None:
+            if u != user:
                 user, state = u, None
             state, row = step(state, *rest)
             if row is not None:

@@ -104,3 +104,12 @@ SELECT 'category' AS kind, category_id, CAST(NULL AS STRING) AS specification, c
 UNION ALL SELECT 'specification', category_id, specification, n, unmet, NULL FROM lacking""")
 query("company_search_slug", ["companies"], lambda c: graph.company_search(slugged(c), name="e-1", city="u", size=15, sort="city", descending=True), f", f AS (SELECT company_id, name, industry, country, city, count(*) OVER () AS total FROM companies WHERE status = 'active' AND (name ILIKE '%e-1%' OR {SLUG} ILIKE '%e-1%') AND city ILIKE '%u%') SELECT * EXCLUDE city, greatest(1, CAST(ceil(total / 15.0) AS BIGINT)) AS pages FROM f ORDER BY city DESC, company_id LIMIT 15")
 query("product_page", ["products", "offerings"], lambda p, o: graph.product_page(p, o, name="e", industry="a", page=2, size=10), ", f AS (SELECT *, count(*) OVER () AS total FROM products WHERE status = 'published' AND name ILIKE '%e%' AND industry ILIKE '%a%'), s AS (SELECT * FROM f ORDER BY product_id DESC LIMIT 10 OFFSET 10) SELECT product_id, name, category_id, (SELECT count(*) FROM offerings o WHERE o.product_id = s.product_id) AS offering_count, total, greatest(1, CAST(ceil(total / 10.0) AS BIGINT)) AS pages FROM s")
+
+_FILED = {**{f: "CAST(NULL AS STRING)" for f in payloads.FILER_FIELDS}, "cik": "lpad(CAST(c_custkey AS STRING), 10, '0')", "name": "c_name", "entity_type": "'operating'", "sic": "CAST(c_custkey % 90 AS STRING)", "tickers": "CASE WHEN c_custkey % 3 <> 0 THEN 'T' || CAST(c_custkey AS STRING) || ', U' END",
+  "business_address_city": "'Fresno'", "business_address_state": "CASE WHEN c_custkey % 5 <> 0 THEN 'CA' END", "former_names": "CASE WHEN c_custkey % 4 = 0 THEN 'Old ' || c_name END"}
+_FILED_CANON = " || ', ' || ".join(f"'\"{f}\": ' || coalesce('\"' || {f} || '\"', 'null')" for f in sorted(_FILED))
+query("filer_fields", ["filings"], payloads.submissions, ", f AS (SELECT " + ", ".join(f"{e} AS {f}" for f, e in _FILED.items()) + f" FROM customer) SELECT cik AS external_id, *, sha256('{{' || {_FILED_CANON} || '}}') AS content_hash FROM f")
+query("census_patterns", ["census_bodies"], lambda b: payloads.pattern_rows(b, 2021).select("external_id", F.col("m")["ESTAB"].alias("establishments")), " SELECT 'cbp:2021:state:06:naics:' || CAST(c_custkey AS STRING) AS external_id, CAST(c_custkey % 100 AS STRING) AS establishments FROM customer WHERE c_custkey % 4 <> 0")
+query("manual_entries", ["manual_forms"], payloads.manual, " SELECT *, nullif(evidence_url, '') AS external_id FROM manual_forms WHERE company_name <> '' AND entered_by <> ''")
+query("devices", ["agents"], lambda a: a.select("event_id", text.browser(F.col("agent")).alias("browser"), text.platform(F.col("agent")).alias("platform")), """ SELECT event_id, CASE WHEN agent <> '' THEN CASE WHEN contains(agent, 'Edg/') THEN 'Edge' WHEN contains(agent, 'Chrome/') THEN 'Chrome' WHEN contains(agent, 'Firefox/') THEN 'Firefox' WHEN regexp_matches(agent, 'Version/.*Safari/') THEN 'Safari' WHEN contains(agent, 'OPR/') THEN 'Opera' ELSE 'Other' END END AS browser,
+  CASE WHEN agent <> '' THEN CASE WHEN regexp_matches(agent, 'iPhone|iPad|iPod') THEN 'iOS' WHEN contains(agent, 'Android') THEN 'Android' WHEN contains(agent, 'Windows') THEN 'Windows' WHEN regexp_matches(agent, 'Macintosh|Mac OS X') THEN 'macOS' WHEN contains(agent, 'Linux') THEN 'Linux' ELSE 'Other' END END AS platform FROM agents""")

@@ -158,6 +158,17 @@ FROM customer JOIN part ON p_partkey = c_custkey""",
     "entered_offerings": """
 SELECT company_id, product_id, role FROM offerings UNION ALL SELECT company_id, product_id, role FROM offerings WHERE offering_id % 97 = 0
 UNION ALL SELECT company_id + 1000000, product_id, role FROM offerings WHERE offering_id % 89 = 0""",
+    "filings": """
+SELECT c_custkey AS filing_id, '{"cik":' || CAST(c_custkey AS STRING) || ',"name":"' || c_name || '","entityType":"operating","sic":"' || CAST(c_custkey % 90 AS STRING) || '","ein":"","tickers":[' || CASE WHEN c_custkey % 3 = 0 THEN '' ELSE '"T' || CAST(c_custkey AS STRING) || '","","U"' END
+  || '],"addresses":{"business":{"city":"Fresno","stateOrCountry":' || CASE WHEN c_custkey % 5 = 0 THEN 'null' ELSE '"CA"' END || '}},"formerNames":[' || CASE WHEN c_custkey % 4 = 0 THEN '{"name":"Old ' || c_name || '"},{"name":""}' ELSE '' END || ']}' AS body FROM customer""",
+    "census_bodies": """
+SELECT c_custkey AS row_id, '[["ESTAB","NAICS2017","state"]' || CASE WHEN c_custkey % 4 = 0 THEN '' ELSE ',["' || CAST(c_custkey % 100 AS STRING) || '","' || CAST(c_custkey AS STRING) || '","06"]' END || ']' AS body FROM customer""",
+    "manual_forms": """
+SELECT c_custkey AS form_id, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE c_name END AS company_name, CASE WHEN c_custkey % 7 <> 0 THEN c_mktsegment END AS entered_by,
+  CASE CAST(c_custkey % 3 AS INT) WHEN 0 THEN 'https://e' || CAST(c_custkey AS STRING) WHEN 1 THEN '' END AS evidence_url FROM customer""",
+    "agents": """
+SELECT event_id, CASE CAST(event_id % 8 AS INT) WHEN 0 THEN 'Mozilla/5.0 (iPhone; CPU iPhone OS 17_0 like Mac OS X) Version/17.0 Mobile Safari/604.1' WHEN 1 THEN 'Mozilla/5.0 (Windows NT 10.0) Chrome/120.0 Safari/537.36 Edg/120.0'
+  WHEN 2 THEN 'Mozilla/5.0 (Linux; Android 14) Chrome/120.0 Mobile Safari/537.36' WHEN 3 THEN 'Mozilla/5.0 (X11; Linux x86_64; rv:121.0) Firefox/121.0' WHEN 4 THEN 'Mozilla/5.0 (Macintosh; Intel Mac OS X 14_0) OPR/105.0' WHEN 5 THEN 'curl/' || CAST(user_id AS STRING) WHEN 6 THEN '' END AS agent FROM events""",
     "provenance_actions": """
 SELECT record_id, CAST(k AS BIGINT) AS seq, CASE CAST((record_id + k) % 4 AS INT) WHEN 0 THEN 'verify' WHEN 1 THEN 'review' WHEN 2 THEN 'reject' ELSE 'expire' END AS action, CASE WHEN record_id % 2 = 0 THEN 'because' END AS note
 FROM provenance CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) ks WHERE k < record_id % 4""",
