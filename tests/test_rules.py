@@ -249,3 +249,25 @@ def test_secrets_are_hidden(spark):
 def test_submitted_by_hand(spark):
     rows = spark.createDataFrame([("A", "me", ""), ("", "me", "u"), ("B", None, "u"), ("C", "me", "u")], "company_name string, entered_by string, evidence_url string")
     assert [(r.company_name, r.external_id) for r in payloads.manual(rows).collect()] == [("A", None), ("C", "u")]
+
+
+def test_a_user_with_a_third_of_all_events(spark):
+    """Chunks of a hot log, summed up and composed, give the walk's breaches; so do gaps, ties and rows without a user."""
+    rng = random.Random(13)
+    start, rows = datetime(2024, 1, 1), []
+    for user, n in ((1, 700), (None, 300), (2, 250), (3, 5)):
+        at = start
+        for _ in range(n):
+            at += timedelta(seconds=rng.choice([0, 0, 1, 3, 10, 30, 61, 400]) * rng.random())
+            rows.append((user, len(rows), at))
+    rng.shuffle(rows)
+    events = spark.createDataFrame(rows, "user_id bigint, event_id bigint, ts timestamp").repartition(5)
+    for seconds, most in ((60, 3), (600, 20), (100_000, 2), (1, 1)):
+        want = set()
+        for user in (1, None, 2, 3):
+            log = sorted((at.timestamp(), e) for u, e, at in rows if u == user)
+            found, _, _ = sessions.first_hit_window([t for t, _ in log], seconds, most)
+            want |= {(user, log[i][1], hit, round(wait, 3)) for i, hit, wait in found}
+        for heavy in (200, 10**6):
+            got = sessions.rate_limit(events, seconds, most, heavy=heavy, parts=16)
+            assert {(r.user_id, r.event_id, r.hit, round(r.retry_after, 3)) for r in got.collect()} == want
