@@ -70,3 +70,17 @@ def completeness(rows: DataFrame) -> DataFrame:
     for c in reversed(known[:4]):
         ask = F.when(F.col(c).isNull(), c).otherwise(ask)
     return rows.select("id", score.cast("int").alias("confidence"), ask.alias("ask_next"))
+
+
+#: The part of its weight that an inferred value earns, the order of asking.
+INFERRED = 0.6
+ASKED = ["intent", "product", "country", "certificates"]
+
+
+def state_confidence(states: DataFrame) -> DataFrame:
+    """states (id, and for each field `explicit`, `inferred` or `missing`; null is missing) -> confidence of 0 to 100,
+    halves rounded up, and the first field to ask for."""
+    part = lambda c: F.when(F.col(c) == "explicit", 1.0).when(F.col(c) == "inferred", INFERRED).otherwise(0.0)
+    score = sum(part(c) * w for c, w in CONFIDENCE.items())
+    missing = F.coalesce(*[F.when(F.coalesce(F.col(c), F.lit("missing")) == "missing", c) for c in ASKED])
+    return states.select("id", F.floor(F.round(score, 6) + 0.5).cast("int").alias("confidence"), missing.alias("ask_next"))

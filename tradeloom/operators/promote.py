@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exact
 from ..functions.text import slug
-from .ranks import running_count
+from .ranks import HEAVY, PARTS, heaviest, running_count
 
 
 def promote(observations: DataFrame, companies: DataFrame) -> DataFrame:
@@ -21,12 +21,12 @@ def promote(observations: DataFrame, companies: DataFrame) -> DataFrame:
     return out.select("observation_id", "name", F.col("name").alias("legal_name"), F.col("strong_id").alias("cin"), F.when(~F.col("usable"), "missing_name").when(again, "duplicate_strong_id").otherwise("created").alias("outcome"))
 
 
-def allocate_slugs(new: DataFrame, existing: DataFrame) -> DataFrame:
+def allocate_slugs(new: DataFrame, existing: DataFrame, heavy: int = HEAVY) -> DataFrame:
     """new (id, name), existing (slug) -> (id, slug): base, base-2, ... in order of id, what is used left out.
 
     Names are read in Unicode form NFKD. A stem is a slug without its trailing numbers. Where no new base has such
     numbers, the k-th new row of a stem gets its k-th free number: k plus the used numbers t_i with t_i - i < k. All
-    three counts are running counts in parts, so that a stem of half the names is no task of its own. Only stems with
+    three counts are running counts, for stems of over `heavy` names in parts, so that none is a task of its own. Only stems with
     numbered bases, whose allocations meet each other, are walked row by row.
     """
     stem = F.regexp_replace("slug", "(-\\d+)+$", "")
@@ -36,12 +36,14 @@ def allocate_slugs(new: DataFrame, existing: DataFrame) -> DataFrame:
     numbered = rows.where("slug <> stem").select("stem").distinct()
     plain, walked = rows.join(numbered, "stem", "left_anti"), rows.join(numbered, "stem", "left_semi")
 
+    parts = PARTS if heaviest(rows.select("stem").union(held.select("stem")), ["stem"], heavy) else 1
+
     rest = F.expr("substring(slug, length(stem) + 2)")
     number = F.when(F.col("slug") == F.col("stem"), 1).when((F.length("slug") > F.length("stem")) & rest.rlike("^[1-9]\\d{0,8}$") & (rest != "1"), rest.try_cast("int"))
-    used = running_count(held.withColumn("number", number).where("number IS NOT NULL").select("stem", "number"), ["stem"], "number", F.lit(True), "nth")
+    used = running_count(held.withColumn("number", number).where("number IS NOT NULL").select("stem", "number"), ["stem"], "number", F.lit(True), "nth", parts)
     used = used.select("stem", F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("bigint").alias("k"), (F.col("number") - F.col("nth") + 0.5).cast("double").alias("at"))
-    asked = running_count(plain.select("stem", "id"), ["stem"], "id", F.lit(True), "k").select("stem", "id", "k", F.col("k").cast("double").alias("at"))
-    both = running_count(used.unionByName(asked), ["stem"], "at", F.col("k").isNull(), "before").where("k IS NOT NULL")
+    asked = running_count(plain.select("stem", "id"), ["stem"], "id", F.lit(True), "k", parts).select("stem", "id", "k", F.col("k").cast("double").alias("at"))
+    both = running_count(used.unionByName(asked), ["stem"], "at", F.col("k").isNull(), "before", parts).where("k IS NOT NULL")
     n = F.col("k") + F.col("before")
     done = both.select("id", F.when(n == 1, F.col("stem")).otherwise(F.concat("stem", F.lit("-"), n.cast("string"))).alias("slug"))
 

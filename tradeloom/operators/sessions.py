@@ -11,14 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranks import PARTS, parts_of
+from .ranks import HEAVY, PARTS, parts_of
 
 # Strikes before a lock, its first and longest seconds, seconds until strikes are forgotten.
 LOCK_AFTER, LOCK_FIRST, LOCK_MOST, FORGET = 5, 30, 900, 24 * 3600
 
-#: Rows of one user's log from which it is cut into chunks.
-HEAVY = 1_000_000
-
 
 def token_reuse(events: DataFrame) -> DataFrame:
     """The second use of a token revokes: (token_id, user_id, revoked_at, uses)."""

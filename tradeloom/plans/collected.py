@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exact, text
-from ..operators import gaps, graph, identity, matching, provenance, telemetry, trust
+from ..operators import extract, gaps, graph, identity, matching, provenance, telemetry, trust
 from ..sources import payloads
 from ..sources.fixtures import ctes
 from .over import over
@@ -113,3 +113,4 @@ query("census_patterns", ["census_bodies"], lambda b: payloads.pattern_rows(b, 2
 query("manual_entries", ["manual_forms"], payloads.manual, " SELECT *, nullif(evidence_url, '') AS external_id FROM manual_forms WHERE company_name <> '' AND entered_by <> ''")
 query("devices", ["agents"], lambda a: a.select("event_id", text.browser(F.col("agent")).alias("browser"), text.platform(F.col("agent")).alias("platform")), """ SELECT event_id, CASE WHEN agent <> '' THEN CASE WHEN contains(agent, 'Edg/') THEN 'Edge' WHEN contains(agent, 'Chrome/') THEN 'Chrome' WHEN contains(agent, 'Firefox/') THEN 'Firefox' WHEN regexp_matches(agent, 'Version/.*Safari/') THEN 'Safari' WHEN contains(agent, 'OPR/') THEN 'Opera' ELSE 'Other' END END AS browser,
   CASE WHEN agent <> '' THEN CASE WHEN regexp_matches(agent, 'iPhone|iPad|iPod') THEN 'iOS' WHEN contains(agent, 'Android') THEN 'Android' WHEN contains(agent, 'Windows') THEN 'Windows' WHEN regexp_matches(agent, 'Macintosh|Mac OS X') THEN 'macOS' WHEN contains(agent, 'Linux') THEN 'Linux' ELSE 'Other' END END AS platform FROM agents""")
+query("requirement_confidence", ["requirement_states"], extract.state_confidence, " SELECT id, CAST(floor(round(" + " + ".join(f"CASE {c} WHEN 'explicit' THEN {w} WHEN 'inferred' THEN {w} * 0.6 ELSE 0 END" for c, w in extract.CONFIDENCE.items()) + ", 6) + 0.5) AS INTEGER) AS confidence, CASE " + " ".join(f"WHEN coalesce({c}, 'missing') = 'missing' THEN '{c}'" for c in extract.ASKED) + " END AS ask_next FROM requirement_states")

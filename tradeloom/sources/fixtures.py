@@ -169,6 +169,8 @@ SELECT c_custkey AS form_id, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE c_name END
     "agents": """
 SELECT event_id, CASE CAST(event_id % 8 AS INT) WHEN 0 THEN 'Mozilla/5.0 (iPhone; CPU iPhone OS 17_0 like Mac OS X) Version/17.0 Mobile Safari/604.1' WHEN 1 THEN 'Mozilla/5.0 (Windows NT 10.0) Chrome/120.0 Safari/537.36 Edg/120.0'
   WHEN 2 THEN 'Mozilla/5.0 (Linux; Android 14) Chrome/120.0 Mobile Safari/537.36' WHEN 3 THEN 'Mozilla/5.0 (X11; Linux x86_64; rv:121.0) Firefox/121.0' WHEN 4 THEN 'Mozilla/5.0 (Macintosh; Intel Mac OS X 14_0) OPR/105.0' WHEN 5 THEN 'curl/' || CAST(user_id AS STRING) WHEN 6 THEN '' END AS agent FROM events""",
+    "requirement_states": """
+SELECT c_custkey AS id, CASE CAST((c_custkey + 0) * 1 % 3 AS INT) WHEN 0 THEN 'explicit' WHEN 1 THEN 'inferred' WHEN 2 THEN 'missing' END AS intent, CASE CAST((c_custkey + 1) * 2 % 4 AS INT) WHEN 0 THEN 'explicit' WHEN 1 THEN 'inferred' WHEN 2 THEN 'missing' END AS product, CASE CAST((c_custkey + 2) * 3 % 3 AS INT) WHEN 0 THEN 'explicit' WHEN 1 THEN 'inferred' WHEN 2 THEN 'missing' END AS country, CASE CAST((c_custkey + 3) * 4 % 4 AS INT) WHEN 0 THEN 'explicit' WHEN 1 THEN 'inferred' WHEN 2 THEN 'missing' END AS certificates, CASE CAST((c_custkey + 4) * 5 % 3 AS INT) WHEN 0 THEN 'explicit' WHEN 1 THEN 'inferred' WHEN 2 THEN 'missing' END AS quantity, CASE CAST((c_custkey + 5) * 6 % 4 AS INT) WHEN 0 THEN 'explicit' WHEN 1 THEN 'inferred' WHEN 2 THEN 'missing' END AS budget, CASE CAST((c_custkey + 6) * 7 % 3 AS INT) WHEN 0 THEN 'explicit' WHEN 1 THEN 'inferred' WHEN 2 THEN 'missing' END AS timeline FROM customer""",
     "provenance_actions": """
 SELECT record_id, CAST(k AS BIGINT) AS seq, CASE CAST((record_id + k) % 4 AS INT) WHEN 0 THEN 'verify' WHEN 1 THEN 'review' WHEN 2 THEN 'reject' ELSE 'expire' END AS action, CASE WHEN record_id % 2 = 0 THEN 'because' END AS note
 FROM provenance CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) ks WHERE k < record_id % 4""",
