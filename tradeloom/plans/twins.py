@@ -105,6 +105,26 @@ DISCOVER = """, q AS (SELECT DISTINCT trim(term) AS shown, lower(trim(term)) AS
 ), l AS (SELECT shown, company_id, i FROM f JOIN (VALUES (0), (1), (2), (3)) v(i) ON CASE i WHEN 0 THEN h0 WHEN 1 THEN h1 WHEN 2 THEN h2 ELSE h3 END QUALIFY row_number() OVER (PARTITION BY shown, i ORDER BY company_id DESC) <= 50
 ), m AS (SELECT shown, company_id, min(i) AS first FROM l GROUP BY 1, 2), r AS (SELECT f.*, m.first, CAST(h0 AS INTEGER) + CAST(h1 AS INTEGER) + CAST(h2 AS INTEGER) + CAST(h3 AS INTEGER) AS n_fields FROM f JOIN m USING (shown, company_id))
 SELECT shown AS term, company_id, concat_ws(',', CASE WHEN h0 THEN 'name' END, CASE WHEN h1 THEN 'industry' END, CASE WHEN h2 THEN 'city' END, CASE WHEN h3 THEN 'country' END) AS matched_fields, n_fields, CAST(row_number() OVER (PARTITION BY shown ORDER BY n_fields DESC, first, company_id DESC) AS INTEGER) AS rank FROM r"""
+# Rules that depend on order are walked one row at a time: step n of every user or stem at once.
+LOG = """, log AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS t, coalesce(failed, false) AS failed, coalesce(succeeded, false) AS succeeded, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM auth_events{})"""
+RATE_LIMIT = LOG.format("") + """ SELECT user_id, event_id, CAST(hit AS INTEGER) AS hit, start + 3600 - t AS retry_after FROM (WITH RECURSIVE walk AS (SELECT user_id, event_id, n, t, t AS start, 1 AS hit FROM log WHERE n = 1
+UNION ALL SELECT l.user_id, l.event_id, l.n, l.t, CASE WHEN l.t >= w.start + 3600 THEN l.t ELSE w.start END, CASE WHEN l.t >= w.start + 3600 THEN 1 ELSE w.hit + 1 END FROM walk w JOIN log l ON l.user_id IS NOT DISTINCT FROM w.user_id AND l.n = w.n + 1
+) FROM walk) WHERE hit > 2"""
+# strikes, first, until: the state after a row; live: strikes that still count when it comes
+LOCKOUTS = LOG.format(" WHERE failed OR succeeded") + """ SELECT user_id, event_id, outcome, CAST(strikes AS INTEGER) AS strikes, lock_seconds FROM (WITH RECURSIVE walk AS (SELECT user_id, NULL::BIGINT AS event_id, 0::BIGINT AS n, 0 AS strikes, 0.0::DOUBLE AS first, 0.0::DOUBLE AS until, '' AS outcome, 0.0::DOUBLE AS lock_seconds FROM log WHERE n = 1
+UNION ALL SELECT user_id, event_id, n, strikes, first, CASE WHEN outcome = 'failed' AND strikes >= 5 THEN t + lock ELSE until END, outcome, CASE WHEN outcome = 'blocked' THEN until - t WHEN outcome = 'failed' THEN lock ELSE 0.0 END
+  FROM (SELECT *, CASE WHEN strikes >= 5 THEN least(30.0 * 2 ** least(strikes - 5, 30), 900.0) ELSE 0.0 END::DOUBLE AS lock
+    FROM (SELECT user_id, event_id, n, t, until, CASE WHEN t < until THEN 'blocked' WHEN failed THEN 'failed' ELSE 'passed' END AS outcome, CASE WHEN t < until THEN held WHEN failed THEN live + 1 ELSE 0 END AS strikes, CASE WHEN t >= until AND failed AND live = 0 THEN t ELSE first END AS first
+      FROM (SELECT l.*, w.strikes AS held, w.first, w.until, CASE WHEN l.t >= w.first + 86400 THEN 0 ELSE w.strikes END AS live FROM walk w JOIN log l ON l.user_id IS NOT DISTINCT FROM w.user_id AND l.n = w.n + 1)))
+) FROM walk) WHERE n > 0"""
+# the names of the fixture are ASCII, so their Unicode form is as it is
+SLUGS = f""", base AS (SELECT observation_id AS id, CASE WHEN s = '' THEN 'company' ELSE s END AS slug FROM (SELECT observation_id, {SLUG} AS s FROM observations WHERE name IS NOT NULL)
+), stems AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY id) AS n FROM (SELECT *, regexp_replace(slug, '(-\\d+)+$', '') AS stem FROM base)
+), held AS (SELECT regexp_replace(slug, '(-\\d+)+$', '') AS stem, list(DISTINCT slug) AS used FROM (SELECT CASE WHEN {SLUG} = '' THEN 'company' ELSE {SLUG} END AS slug FROM companies) GROUP BY 1
+) SELECT id, slug FROM (WITH RECURSIVE walk AS (SELECT s.stem, 0::BIGINT AS n, NULL::BIGINT AS id, NULL::VARCHAR AS slug, coalesce(any_value(h.used), []) AS used FROM stems s LEFT JOIN held h USING (stem) GROUP BY 1
+UNION ALL SELECT stem, n, id, free, list_append(used, free)
+  FROM (SELECT s.stem, s.n, s.id, w.used, list_filter(list_prepend(s.slug, list_transform(range(2, len(w.used) + 3), lambda k: s.slug || '-' || k)), lambda x: NOT list_contains(w.used, x))[1] AS free FROM walk w JOIN stems s ON s.stem = w.stem AND s.n = w.n + 1)
+) FROM walk) WHERE n > 0"""
 TWINS: dict[str, tuple[list[str], str]] = {
     "names": (["companies"], f" SELECT company_id, {NAME.format(PLAIN.format('name'))} AS match_name, {DOMAIN} AS domain, {PLACE.format('city')} AS place, CASE WHEN {SLUG} = '' THEN 'company' ELSE {SLUG} END AS slug, trim(regexp_replace(name, '\\s+', ' ', 'g')) AS display FROM companies"),
     "certificate_words": (["requirement_certificates"], ", w AS (SELECT requirement_id, n, ' ' || array_to_string(regexp_extract_all(lower(certificate), '[a-z0-9]+'), ' ') || ' ' AS p FROM requirement_certificates) SELECT requirement_id, n, contains(p, ' iso ') AS is_iso, contains(p, ' ce ') AS is_ce, contains(p, ' bis ') AS is_bis, contains(p, ' factory license ') AS is_licence FROM w"),
@@ -154,4 +174,7 @@ SELECT company_id, array_to_string(list_filter([CASE WHEN a THEN 'name' END, CAS
     "token_reuse": (["auth_events"], ", n AS (SELECT *, row_number() OVER (PARTITION BY token_id ORDER BY ts, event_id) AS nth FROM auth_events) SELECT token_id, user_id, ts AS revoked_at FROM n WHERE nth = 2"),
     "session_expiry": (["auth_events"], ", g AS (SELECT *, ts - lag(ts) OVER w > INTERVAL 3600 SECOND AS gap FROM auth_events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), d AS (SELECT *, coalesce(bool_or(gap) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), false) AS dead FROM g) SELECT user_id, max(ts) FILTER (NOT dead) AS last_valid, count(*) FILTER (NOT dead) AS rotations, count(*) FILTER (dead) AS failed FROM d GROUP BY 1"),
     "keep_last": (["auth_events"], ", n AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS INTEGER) AS nth FROM auth_events) SELECT user_id, nth, event_id FROM n WHERE nth <= 5"),
+    "rate_limit": (["auth_events"], RATE_LIMIT),
+    "lockouts": (["auth_events"], LOCKOUTS),
+    "slugs": (["observations", "companies"], SLUGS),
 }
