@@ -1,10 +1,13 @@
 """Toxicity by compression distance between two zstandard dictionaries.
 
 Both are trained on a bounded sample of labelled texts: one on ordinary texts, one on the word stems of toxic texts
-that ordinary ones hardly have. A text is cut at blanks into windows; each window is compressed with the ordinary
-dictionary and with both (the toxic one farther off, so that what is common costs the same), and the bytes saved
-are its distance. Windows count from a threshold that few ordinary windows reach; a logistic curve, calibrated on
-the other half of the sample, turns a text's sums into a score.
+that ordinary ones hardly have. The first HEAD bytes of each word are marked (letters as capitals), so that a stem at
+the start of a word is not met inside another. A text is cut at blanks into windows; each window is compressed with
+the ordinary dictionary and with both (the toxic one farther off, so that what is common costs the same), and the
+bytes saved are its distance. Windows count from a threshold that few ordinary windows reach; a logistic curve turns a
+text's sums into a score. Threshold and curve are fitted to both halves of the sample, each compressed with what the
+other half trained; of the lengths of stems in STEMS those are taken whose curve loses least there, and their
+dictionaries are trained on the whole sample.
 
 The toxic dictionary holds stretches around word stems, as one trained on whole toxic texts tells them from ordinary
 ones too rarely (README has the figures). A text's sums are clipped before the curve, at MOST_SUM and MOST_ONE bytes:
@@ -31,8 +34,10 @@ from pyspark.sql import functions as F
 from .common import fold
 
 MOST_TOXIC, MOST_ORDINARY, MOST_BYTES = 1600, 2800, 1 << 15
-#: Bytes of a window, of the stems compared, and of the two dictionaries.
-WINDOW, STEM, TOXIC_BYTES, ORDINARY_BYTES = 208, 5, 1400, 1200
+#: Bytes of a window, of a word's head, and of the two dictionaries.
+WINDOW, HEAD, TOXIC_BYTES, ORDINARY_BYTES = 208, 4, 1400, 1200
+#: Bytes of the stems compared, the blank before a word included: the choices.
+STEMS = ((5,), (5, 8))
 #: A stem is toxic from this share of toxic texts on, if that is so many times its share of ordinary ones.
 SHARE, RATIO = 0.015, 30
 #: Share of ordinary windows that may reach the window threshold.
@@ -41,18 +46,35 @@ FALSE_WINDOWS = 0.002
 MOST_SUM, MOST_ONE = 40, 12
 
 
-def stems(text: bytes) -> set[bytes]:
-    return {x[i : i + STEM] for w in set(text.split()) for x in (b" " + w,) for i in range(len(x) - STEM + 1)}
+#: Bytes of a word's head: small letters as capitals, bytes beyond ASCII as others beyond ASCII.
+MARKED = np.arange(256, dtype=np.uint8)
+MARKED[97:123] ^= 0x20
+MARKED[128:] ^= 0x20
 
 
-def toxic_text(text: bytes, toxic: set[bytes]) -> bytes:
+def prepared(text: str | None) -> bytes:
+    """Lower case, lines joined by blanks, the first HEAD bytes after each blank marked."""
+    raw = (text or "").lower().encode("utf-8", "surrogatepass").replace(b"\n", b" ")
+    data = np.frombuffer(raw, np.uint8)
+    blank = np.append(True, data == 32)  # a blank before the first byte
+    near = blank[:-1].copy()
+    for k in range(1, HEAD):
+        near[k:] |= blank[: max(0, len(data) - k)]
+    return np.where(near & ~blank[1:], MARKED[data], data).tobytes()
+
+
+def stems(text: bytes, lengths: tuple[int, ...]) -> set[bytes]:
+    return {x[i : i + n] for w in set(text.split()) for x in (b" " + w,) for n in lengths for i in range(len(x) - n + 1)}
+
+
+def toxic_text(text: bytes, toxic: set[bytes], lengths: tuple[int, ...]) -> bytes:
     """The stretches of the words that hold toxic stems."""
     out = []
     for w in text.split():
         x = b" " + w
-        hit = [i for i in range(len(x) - STEM + 1) if x[i : i + STEM] in toxic]
+        hit = [(i, i + n) for n in lengths for i in range(len(x) - n + 1) if x[i : i + n] in toxic]
         if hit:
-            out.append(x[hit[0] : hit[-1] + STEM])
+            out.append(x[min(i for i, _ in hit) : max(j for _, j in hit)])
     return b"".join(out)
 
 
@@ -98,12 +120,15 @@ def windows(text: bytes) -> list[bytes]:
     return out
 
 
-def distances(text: str | None, model: Model) -> list[int]:
+def saved(raw: bytes, model: Model) -> list[int]:
     plain, both = compressors(model.toxic, model.ordinary)
-    raw = (text or "").lower().encode("utf-8", "surrogatepass").replace(b"\n", b" ")
     return [len(plain(w)) - len(both(w)) for w in windows(raw)]
 
 
+def distances(text: str | None, model: Model) -> list[int]:
+    return saved(prepared(text), model)
+
+
 def features(found: list[int], threshold: float) -> list[float]:
     over = [d for d in found if d >= threshold]
     return [1.0, float(min(sum(over), MOST_SUM)), float(min(max(found, default=0), MOST_ONE)), np.log1p(len(over)), np.log1p(len(found)), sum(found) / (len(found) + 4)]
@@ -126,27 +151,41 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 25, ridge: float = 1.0)
     return w
 
 
-def fit(sample: list[tuple[str, int]], share: float | None = None) -> Model:
-    """sample: (text, toxic 0/1); even ones train the dictionaries, odd ones calibrate. share: toxic ones among all."""
-    kinds = [[t for t, y in sample if y == k] for k in (0, 1)]
-    if not all(len(k) > 1 for k in kinds):
-        return Model(b"", b"")
-    (ordinary, toxic), (more, worse) = ([[t.lower().encode("utf-8", "surrogatepass") for t in k[half::2]] for k in kinds] for half in (0, 1))
+def dictionaries(ordinary: list[bytes], toxic: list[bytes], lengths: tuple[int, ...]) -> Model:
     seen = [Counter(), Counter()]
     for counter, texts in zip(seen, (ordinary, toxic)):
         for t in texts:
-            counter.update(stems(t))
+            counter.update(stems(t, lengths))
     marked = {s for s, c in seen[1].items() if c >= max(2, SHARE * len(toxic)) and c / len(toxic) >= RATIO * (seen[0][s] + 0.25) / len(ordinary)}
-    model = Model(trained([toxic_text(t, marked) for t in toxic], TOXIC_BYTES, 24, 6), trained(ordinary, ORDINARY_BYTES, 48, 8))
-    found = [[distances(t.decode("utf-8", "surrogatepass"), model) for t in k] for k in (more, worse)]
-    every = np.array([d for x in found[0] for d in x] or [0])
-    model.threshold = float(max(2, np.quantile(every, 1 - FALSE_WINDOWS)))
-    x = np.array([features(d, model.threshold) for k in found for d in k])
-    y = np.repeat([0.0, 1.0], [len(k) for k in found])
+    return Model(trained([toxic_text(t, marked, lengths) for t in toxic], TOXIC_BYTES, 24, 6), trained(ordinary, ORDINARY_BYTES, 48, 8))
+
+
+def calibrated(ordinary: list[bytes], toxic: list[bytes], lengths: tuple[int, ...]) -> tuple[float, float, np.ndarray]:
+    """(loss, threshold, weights) of the curve of each half's texts by the dictionaries of the other half."""
+    found: list[list[list[int]]] = [[], []]
+    for half in (0, 1):
+        model = dictionaries(ordinary[1 - half :: 2], toxic[1 - half :: 2], lengths)
+        for of_kind, texts in zip(found, (ordinary, toxic)):
+            of_kind += [saved(t, model) for t in texts[half::2]]
+    threshold = float(max(2, np.quantile(np.array([d for x in found[0] for d in x] or [0]), 1 - FALSE_WINDOWS)))
+    x = np.array([features(d, threshold) for of_kind in found for d in of_kind])
+    y = np.repeat([0.0, 1.0], [len(of_kind) for of_kind in found])
     w = logistic(x, y)
-    p = float(np.clip(share if share is not None else y.mean(), 1e-3, 1 - 1e-3))
-    w[0] += np.log(p / (1 - p)) - np.log(y.mean() / (1 - y.mean()))  # the sample holds more toxic texts than the labels do
-    model.weights = tuple(w.tolist())
+    z = np.clip(x @ w, -50, 50)
+    return float(np.mean(np.log1p(np.exp(z)) - y * z)), threshold, w
+
+
+def fit(sample: list[tuple[str, int]], share: float | None = None) -> Model:
+    """sample: (text, toxic 0/1). share: toxic ones among all."""
+    ordinary, toxic = ([prepared(t) for t, y in sample if y == k] for k in (0, 1))
+    if not (len(ordinary) > 1 and len(toxic) > 1):
+        return Model(b"", b"")
+    (_, threshold, w), lengths = min(((calibrated(ordinary, toxic, x), x) for x in STEMS), key=lambda c: c[0][0])
+    model = dictionaries(ordinary, toxic, lengths)
+    mean = len(toxic) / (len(toxic) + len(ordinary))
+    p = float(np.clip(share if share is not None else mean, 1e-3, 1 - 1e-3))
+    w[0] += np.log(p / (1 - p)) - np.log(mean / (1 - mean))  # the sample holds more toxic texts than the labels do
+    model.threshold, model.weights = threshold, tuple(w.tolist())
     return model
 
 
