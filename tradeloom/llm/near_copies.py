@@ -1,4 +1,4 @@
-"""Near copies by word shingles: candidates from anchor-point covering, each link checked exactly.
+"""Near copies by word shingles: candidates from anchor-point covering, then the rest by prefixes, each link checked exactly.
 
 1. A text's key is the hash of its words (A-Z in lower case, one blank between); texts of one key are copies and go on
    as one row. A changed word touches five shingles of five words but one word, so texts whose shingles are similar
@@ -15,9 +15,10 @@
    the anchors' candidates only.
 4. Two rounds of exact checks: first each text with the partner it was next to most often, then all other candidates
    whose ends are still in different groups.
+5. These candidates are probable, not certain. So all pairs of texts in different groups that still may be links are
+   found by a prefix filter, which leaves none out, and checked too (near_exact). Pairs inside a group need no check.
 
-A link is a similarity of `least` or more between the sets of word shingles. Candidates are probable, not certain:
-the README has the measured recall.
+A link is a similarity of `least` or more between the sets of word shingles.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import near_exact
 from .common import Scratch, by_key, mix64, text_chunks, whole_rows
 from .components import components
 from .shingles import shingle_hashes, word_hashes, words
@@ -256,7 +258,21 @@ def near_groups(keys: DataFrame, rows: DataFrame, scratch: Scratch, width: int,
     apart = F.coalesce("u_root", "u") != F.coalesce("v_root", "v")
     others = pairs.join(closest, ["u", "v"], "left_anti").join(root("u"), "u", "left").join(root("v"), "v", "left").where(apart).select("u", "v")
     more = similar(scratch.write("near-others", others), texts, width, least)
-    return components(edges.union(more), scratch, "near-last")
+    return whole_groups(components(edges.union(more), scratch, "near-last"), keys, rows, scratch, width, least)
+
+
+def whole_groups(groups: DataFrame, keys: DataFrame, rows: DataFrame, scratch: Scratch, width: int, least: float) -> DataFrame:
+    """groups (node, root) joined wherever texts of two of them have a link, found without chance."""
+    scratch.drop("near-pairs", "near-wanted", "near-texts", "near-first", "near-others")
+    spark = keys.sparkSession
+    order = spark.sparkContext.broadcast(near_exact.frequent(rows, keys.count(), width))
+    whole = near_exact.prefixes(rows, order, width, least).join(groups.withColumnRenamed("node", "key"), "key", "left")
+    whole = scratch.write("near-prefixes", whole.withColumn("root", F.coalesce("root", "key")))
+    pairs = scratch.write("near-crossing", near_exact.possible(near_exact.crossing(near_exact.spread(whole), least), whole, least))
+    scratch.drop("near-prefixes")
+    texts = scratch.write("near-texts", near_exact.texts_of(pairs, keys, rows))
+    links = similar(pairs, texts, width, least)
+    return components(groups.toDF("u", "v").union(links), scratch, "near-whole")
 
 
 def deduplicated(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
