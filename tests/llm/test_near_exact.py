@@ -85,6 +85,27 @@ def test_copies_in_a_family_are_all_found(spark):
     assert kept == set(range(2500))
 
 
+def test_checks_grow_with_texts(spark, monkeypatch):
+    """Texts of one template, few of them links, meet in very many pairs: a bounded number a text is checked, no link is lost."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base, texts = [word() for _ in range(100)], []
+    for _ in range(500):
+        m = rng.choice((3, 8, 9, 10))
+        at = rng.randint(0, 100 - m)
+        texts.append(" ".join(base[:at] + [word() for _ in range(m)] + base[at + m :]))
+    checked, similar = [], near_copies.similar
+
+    def counted(pairs, *args):
+        checked.append(pairs.count())
+        return similar(pairs, *args)
+
+    monkeypatch.setattr(near_copies, "similar", counted)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    assert {r.doc_id for r in near_copies.deduplicated(rows).collect()} == brute_force(texts)
+    assert sum(checked[:-1]) <= sum(near_copies.ROUNDS) * len(texts) and checked[-1] <= 2 * len(texts)
+
+
 def test_parities_never_rule_a_link_out():
     rng = random.Random(5)
     for _ in range(300):

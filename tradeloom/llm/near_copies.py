@@ -13,9 +13,10 @@
    text's); texts that are next to each other under a shingle of at most RARE texts are a candidate pair, if AGREE of
    their minimum hashes are equal (at a similarity of 0.8 fewer are in one of 800 pairs). Frequent shingles lead to
    the anchors' candidates only.
-4. Two rounds of exact checks: first each text with the partner it was next to most often, then all other candidates
-   whose ends are still in different groups.
-5. These candidates are probable, not certain. So all pairs of texts in different groups that still may be links are
+4. Rounds of exact checks: in each, every text with the partners it was next to most often, of those not checked yet and
+   in another group so far; ROUNDS says with how many, so that a large group has in proportion to its texts checked,
+   not to its pairs.
+5. These candidates are probable, not certain, and not all of them are checked. So all pairs of texts in different groups that still may be links are
    found by a prefix filter, which leaves none out, and checked too (near_exact). Pairs inside a group need no check.
 
 A link is a similarity of `least` or more between the sets of word shingles.
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import near_exact
@@ -44,6 +45,8 @@ SLICE = 4096
 PRINT_BYTES = 6
 #: Texts that a rare shingle is in at most, minimum hashes that a candidate pair has in common at least.
 RARE, AGREE = 16, 3
+#: Candidates by chance that a text has checked at most, of those still between groups, in one round after the other.
+ROUNDS = (1, 4, 16)
 FAMILY = 0x9E3779B97F4A7C15
 
 
@@ -241,6 +244,13 @@ def similar(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> Dat
     return by_key(by_key(pairs).join(one, "u")).join(other, "v").select("u", "v", "u_text", "v_text").mapInArrow(judge, "u bigint, v bigint")
 
 
+def strongest(pairs: DataFrame, most: int) -> DataFrame:
+    """(u, v, n) -> (u, v): of each key the `most` pairs that were next to each other most often, equals by a hash."""
+    both = pairs.select("u", "v", "n", F.col("u").alias("key")).union(pairs.select("u", "v", "n", F.col("v").alias("key")))
+    order = Window.partitionBy("key").orderBy(F.desc("n"), F.xxhash64("u", "v"), "u", "v")
+    return both.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).select("u", "v").distinct()
+
+
 def near_groups(keys: DataFrame, rows: DataFrame, scratch: Scratch, width: int, least: float) -> DataFrame:
     """keys (key, d, t, fps, subs, some) of different texts, rows (d, t, text) -> (node, root) of keys that have links."""
     slices = slices_of(keys).groupBy("key").agg(F.collect_list(F.struct("j", "n")).alias("slices"))
@@ -252,18 +262,22 @@ def near_groups(keys: DataFrame, rows: DataFrame, scratch: Scratch, width: int,
     wanted = scratch.write("near-wanted", keys.select("key", "d", "t").join(ends, "key"))
     texts = rows.join(by_key(wanted), ["d", "t"]).select("key", "text")
     texts = scratch.write("near-texts", texts.dropDuplicates(["key"]))
-    closest = pairs.groupBy("u").agg(F.max_by("v", F.struct("n", "v")).alias("v"))
-    edges = components(similar(closest, texts, width, least), scratch, "near-first").toDF("u", "v")
-    root = lambda k: edges.select(F.col("u").alias(k), F.col("v").alias(f"{k}_root"))
-    apart = F.coalesce("u_root", "u") != F.coalesce("v_root", "v")
-    others = pairs.join(closest, ["u", "v"], "left_anti").join(root("u"), "u", "left").join(root("v"), "v", "left").where(apart).select("u", "v")
-    more = similar(scratch.write("near-others", others), texts, width, least)
-    return whole_groups(components(edges.union(more), scratch, "near-last"), keys, rows, scratch, width, least)
+    groups = scratch.write("near-groups", pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).limit(0))
+    for i, most in enumerate(ROUNDS):
+        chosen = scratch.write("near-chosen", strongest(pairs, most))
+        links = similar(chosen, texts, width, least)
+        groups = components(groups.toDF("u", "v").union(links), scratch, "near-groups")
+        if i + 1 < len(ROUNDS):
+            root = lambda k: groups.select(F.col("node").alias(k), F.col("root").alias(f"{k}_root"))  # noqa: B023, E731
+            apart = F.coalesce("u_root", "u") != F.coalesce("v_root", "v")
+            left = pairs.join(chosen, ["u", "v"], "left_anti").join(root("u"), "u", "left").join(root("v"), "v", "left").where(apart)
+            pairs = scratch.write("near-pairs", left.select("u", "v", "n"))
+    return whole_groups(groups, keys, rows, scratch, width, least)
 
 
 def whole_groups(groups: DataFrame, keys: DataFrame, rows: DataFrame, scratch: Scratch, width: int, least: float) -> DataFrame:
     """groups (node, root) joined wherever texts of two of them have a link, found without chance."""
-    scratch.drop("near-pairs", "near-wanted", "near-texts", "near-first", "near-others")
+    scratch.drop("near-pairs", "near-wanted", "near-texts", "near-chosen")
     spark = keys.sparkSession
     order = spark.sparkContext.broadcast(near_exact.frequent(rows, keys.count(), width))
     whole = near_exact.prefixes(rows, order, width, least).join(groups.withColumnRenamed("node", "key"), "key", "left")
