@@ -114,3 +114,25 @@ def test_parities_never_rule_a_link_out():
         b |= set(list(a)[: rng.randint(0, len(a))])
         pack = lambda s, size: sum(1 << i for i, n in Counter(x % (8 * size) for x in s).items() if n % 2).to_bytes(size, "little")
         assert near_exact.differ(pack(a, small), pack(b, large)) <= len(a ^ b)
+
+
+def test_candidates_go_on_by_texts_not_by_pairs(spark, monkeypatch):
+    """Of the pairs that texts of one template meet in, a bounded number a text is written for the rounds, once; none is lost."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base, texts = [word() for _ in range(100)], []
+    for _ in range(300):
+        m = rng.choice((2, 3, 9))
+        at = rng.randint(0, 100 - m)
+        texts.append(" ".join(base[:at] + [word() for _ in range(m)] + base[at + m :]))
+    rows, write = [], near_copies.Scratch.write
+
+    def counted(self, name, df):
+        out = write(self, name, df)
+        rows.extend([out.count()] if name == "near-pairs" else [])
+        return out
+
+    monkeypatch.setattr(near_copies.Scratch, "write", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    assert {r.doc_id for r in near_copies.deduplicated(docs).collect()} == brute_force(texts)
+    assert len(rows) == 1 and 0 < rows[0] <= sum(near_copies.ROUNDS) * len(texts), rows

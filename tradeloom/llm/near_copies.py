@@ -13,9 +13,9 @@
    text's); texts that are next to each other under a shingle of at most RARE texts are a candidate pair, if AGREE of
    their minimum hashes are equal (at a similarity of 0.8 fewer are in one of 800 pairs). Frequent shingles lead to
    the anchors' candidates only.
-4. Rounds of exact checks: in each, every text with the partners it was next to most often, of those not checked yet and
-   in another group so far; ROUNDS says with how many, so that a large group has in proportion to its texts checked,
-   not to its pairs.
+4. Rounds of exact checks: of each text's partners, by how often it was next to them, the first, then the next few, each
+   if in another group so far; ROUNDS says how many, so that a large group has in proportion to its texts checked, not
+   to its pairs.
 5. These candidates are probable, not certain, and not all of them are checked. So all pairs of texts in different groups that still may be links are
    found by a prefix filter, which leaves none out, and checked too (near_exact). Pairs inside a group need no check.
 
@@ -45,7 +45,7 @@ SLICE = 4096
 PRINT_BYTES = 6
 #: Texts that a rare shingle is in at most, minimum hashes that a candidate pair has in common at least.
 RARE, AGREE = 16, 3
-#: Candidates by chance that a text has checked at most, of those still between groups, in one round after the other.
+#: Candidates by chance that a text has checked at most, in one round after the other, where still between groups.
 ROUNDS = (1, 4, 16)
 FAMILY = 0x9E3779B97F4A7C15
 
@@ -245,10 +245,11 @@ def similar(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> Dat
 
 
 def strongest(pairs: DataFrame, most: int) -> DataFrame:
-    """(u, v, n) -> (u, v): of each key the `most` pairs that were next to each other most often, equals by a hash."""
+    """(u, v, n) -> (u, v, nth): the pairs that are among the `most` of either key that were next to each other most
+    often, equals by a hash, with the better of their two places."""
     both = pairs.select("u", "v", "n", F.col("u").alias("key")).union(pairs.select("u", "v", "n", F.col("v").alias("key")))
     order = Window.partitionBy("key").orderBy(F.desc("n"), F.xxhash64("u", "v"), "u", "v")
-    return both.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).select("u", "v").distinct()
+    return both.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).groupBy("u", "v").agg(F.min("nth").alias("nth"))
 
 
 def near_groups(keys: DataFrame, rows: DataFrame, scratch: Scratch, width: int, least: float) -> DataFrame:
@@ -256,22 +257,24 @@ def near_groups(keys: DataFrame, rows: DataFrame, scratch: Scratch, width: int,
     slices = slices_of(keys).groupBy("key").agg(F.collect_list(F.struct("j", "n")).alias("slices"))
     shared = scratch.write("near-shared", rare_neighbours(keys))
     found = neighbours(meetings(keys.join(slices, "key", "left"))).union(agreeing(shared, keys))
-    pairs = scratch.write("near-pairs", found.groupBy("u", "v").agg(F.sum("n").alias("n")))
+    found = scratch.write("near-found", found.groupBy("u", "v").agg(F.sum("n").alias("n")))
     scratch.drop("near-shared")
+    pairs = scratch.write("near-pairs", strongest(found, sum(ROUNDS)))
+    scratch.drop("near-found")
     ends = pairs.select(F.col("u").alias("key")).union(pairs.select(F.col("v").alias("key"))).distinct()
     wanted = scratch.write("near-wanted", keys.select("key", "d", "t").join(ends, "key"))
     texts = rows.join(by_key(wanted), ["d", "t"]).select("key", "text")
     texts = scratch.write("near-texts", texts.dropDuplicates(["key"]))
     groups = scratch.write("near-groups", pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).limit(0))
-    for i, most in enumerate(ROUNDS):
-        chosen = scratch.write("near-chosen", strongest(pairs, most))
-        links = similar(chosen, texts, width, least)
-        groups = components(groups.toDF("u", "v").union(links), scratch, "near-groups")
-        if i + 1 < len(ROUNDS):
+    before = 0
+    for most in ROUNDS:
+        chosen = pairs.where((F.col("nth") > before) & (F.col("nth") <= before + most))
+        if before:
             root = lambda k: groups.select(F.col("node").alias(k), F.col("root").alias(f"{k}_root"))  # noqa: B023, E731
-            apart = F.coalesce("u_root", "u") != F.coalesce("v_root", "v")
-            left = pairs.join(chosen, ["u", "v"], "left_anti").join(root("u"), "u", "left").join(root("v"), "v", "left").where(apart)
-            pairs = scratch.write("near-pairs", left.select("u", "v", "n"))
+            chosen = chosen.join(root("u"), "u", "left").join(root("v"), "v", "left").where(F.coalesce("u_root", "u") != F.coalesce("v_root", "v"))
+        chosen = scratch.write("near-chosen", chosen.select("u", "v"))
+        groups = components(groups.toDF("u", "v").union(similar(chosen, texts, width, least)), scratch, "near-groups")
+        before += most
     return whole_groups(groups, keys, rows, scratch, width, least)
 
 
